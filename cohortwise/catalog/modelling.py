@@ -179,13 +179,13 @@ DISTANCE_SQL = "list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
     "query_vs_candidates",
     "J5",
     f"""SELECT e.vec_id, e.label, round({DISTANCE_SQL}, 6) AS distance
-        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.label <> 0""",
+        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.label <> 0 AND e.vec_id <> 7""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     near = similarity.query_vs_candidates(
         table(spark, sf, "embeddings"), _features(), "vec_id", F.col("vec_id") == 7, F.col("label") != 0, ["label"]
     )
-    return near.withColumn("distance", F.round("distance", 6))
+    return near.filter(~F.col("is_query")).select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
 @query(

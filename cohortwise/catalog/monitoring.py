@@ -114,11 +114,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 STABILITY_SQL = f"""{SCORE_SQL}, {MELT_SQL},
   cuts AS (SELECT variable, list_distinct(quantile_disc(value, [0.2, 0.4, 0.6, 0.8])) AS q
-           FROM melt WHERE sample = 'test' GROUP BY variable),
-  bucketed AS (SELECT m.variable, sample, len(list_filter(q, lambda c: m.value >= c))::INT AS bucket
+           FROM melt WHERE segment = 'F' GROUP BY variable),
+  bucketed AS (SELECT m.variable, segment, len(list_filter(q, lambda c: m.value >= c))::INT AS bucket
                FROM melt m JOIN cuts USING (variable)),
-  x AS (SELECT variable, bucket, count(*) AS frequency_x FROM bucketed WHERE sample = 'test' GROUP BY ALL),
-  y AS (SELECT variable, bucket, count(*) AS frequency_y FROM bucketed WHERE sample = 'train' GROUP BY ALL),
+  x AS (SELECT variable, bucket, count(*) AS frequency_x FROM bucketed WHERE segment = 'F' GROUP BY ALL),
+  y AS (SELECT variable, bucket, count(*) AS frequency_y FROM bucketed WHERE segment = 'O' GROUP BY ALL),
   px AS (SELECT *, {share_sql('frequency_x', 'sum(frequency_x) OVER (PARTITION BY variable)', 3)} AS proportion_x FROM x),
   py AS (SELECT *, {share_sql('frequency_y', 'sum(frequency_y) OVER (PARTITION BY variable)', 3)} AS proportion_y FROM y),
   ie AS (SELECT *, CASE WHEN proportion_x > 0 AND proportion_y > 0
@@ -127,7 +127,7 @@ STABILITY_SQL = f"""{SCORE_SQL}, {MELT_SQL},
 
 
 def _stability(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return stability.stability_index(score(spark, sf), VARIABLES, "sample", PARTS, SPECIAL, labels=("test", "train"))
+    return stability.stability_index(score(spark, sf), VARIABLES, "segment", PARTS, SPECIAL, labels=("F", "O"))
 
 
 def stability_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,7 +146,7 @@ query(
     "stability_cuts",
     "U13",
     f"""WITH {SCORE_SQL}, {MELT_SQL},
-        q AS (SELECT variable, quantile_disc(value, [0.2, 0.4, 0.6, 0.8]) AS q FROM melt WHERE sample = 'test' GROUP BY 1)
+        q AS (SELECT variable, quantile_disc(value, [0.2, 0.4, 0.6, 0.8]) AS q FROM melt WHERE segment = 'F' GROUP BY 1)
         SELECT variable, i::INT AS position, q[i] AS value FROM q, (SELECT unnest([1, 2, 3, 4]) AS i)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:

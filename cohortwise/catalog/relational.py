@@ -208,9 +208,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     long = relational.melt_numeric(relational.null_out_sentinels(score(spark, sf), SPECIAL), VARIABLES)
-    sketch = quantiles_approx(long, "value", [0.0, 0.25, 0.5, 0.75, 1.0], ["variable"], accuracy=1_000_000)
-    names = ["q_0", "q_25", "median", "q_75", "q_100"]
-    return sketch.select("variable", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
+    exact = exact_quantiles(long, "value", ["0", "0.25", "0.5", "0.75", "1"], ["variable"], groups=len(VARIABLES))
+    five = exact.groupBy("variable").pivot("position", [1, 2, 3, 4, 5]).agg(F.max("value"))
+    return five.toDF("variable", "q_0", "q_25", "median", "q_75", "q_100")
+
+
+@query("quantiles_approx", "A12")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    long = relational.melt_numeric(relational.null_out_sentinels(score(spark, sf), SPECIAL), VARIABLES)
+    sketch = quantiles_approx(long, "value", [0.0, 0.25, 0.5, 0.75, 1.0], ["variable"])
+    return sketch.select("variable", F.posexplode("quantiles").alias("position", "value"))
 
 
 def _pairs_sql() -> str:

@@ -11,29 +11,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELLS_PER_LOG_UNIT = 32
 FINE_CELLS = 4096
 ROWS_PER_CELL = 1_000_000
-BROADCAST_GROUPS = 100_000
+MAX_BROADCAST_ROWS = 200_000
 
 
-def has_few_groups(df: DataFrame, by: Sequence[str], limit: int = BROADCAST_GROUPS) -> bool:
+def has_few_groups(df: DataFrame, by: Sequence[str], limit: int) -> bool:
     """Whether ``by`` has at most ``limit`` distinct values; counts them, up to the limit."""
     return df.select(*by).distinct().limit(limit + 1).count() <= limit
 
 
-def coarse_cell(value: Column) -> Column:
-    """A cell number that never falls when the value rises."""
-    return F.floor(F.signum(value) * CELLS_PER_LOG_UNIT * F.log1p(F.abs(value)))
+def coarse_cell(value: str) -> str:
+    """SQL of a cell number that never falls when the value rises."""
+    return f"floor(signum({value}) * {CELLS_PER_LOG_UNIT} * log1p(abs({value})))"
 
 
-def fine_cell(value: Column, low: Column, high: Column, cells: Column) -> Column:
-    """An equal-width cell between the smallest and the largest value of a coarse cell."""
-    place = F.floor((value - low) / (high - low) * cells)
-    return F.when(high > low, F.least(place, cells.cast("bigint") - 1)).otherwise(F.lit(0).cast("bigint"))
+def fine_cell(value: str, low: str, high: str, cells: str) -> str:
+    """SQL of an equal-width cell between the smallest and the largest value of a coarse cell."""
+    place = f"floor(({value} - {low}) / ({high} - {low}) * {cells})"
+    return f"case when {high} > {low} then least({place}, {cells} - 1) else 0L end"
 
 
 def exact_quantiles(
@@ -47,62 +47,69 @@ def exact_quantiles(
     broadcast, otherwise they are joined by a shuffle that adaptive execution can split.
     """
     by = list(by)
+    most = MAX_BROADCAST_ROWS // len(probabilities)
     if groups is None:
-        groups = 1 if not by else BROADCAST_GROUPS if has_few_groups(df, by) else None
-    small = groups is not None and groups * len(probabilities) <= BROADCAST_GROUPS * 10
+        small = not by or has_few_groups(df, by, most)
+    else:
+        small = groups <= most
 
     rows = (
         df.select(*by, F.col(value).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .withColumn("_cell", coarse_cell(F.col("_v")))
+        .filter("_v is not null and not isnan(_v)")
+        .withColumn("_cell", F.expr(coarse_cell("_v")))
     )
-    extent = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    extent = [F.expr(e) for e in ("count(*) as _n", "min(_v) as _lo", "max(_v) as _hi")]
+    keys = ", ".join(f"`{name}`" for name in [*by, "_cell"])
+    group = f"partition by {', '.join(f'`{name}`' for name in by)}" if by else ""
+    holds_rank = F.expr(" or ".join(f"_start < {_rank(p)} and {_rank(p)} <= _start + _n" for p in probabilities))
 
     # Pass 1: counts on the coarse grid give the total and the rank at which each cell starts.
     coarse = rows.groupBy(*by, "_cell").agg(*extent)
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    coarse = coarse.select(
-        *by, "_cell", "_lo", "_hi", "_n",
-        F.sum("_n").over(whole).alias("_total"),
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
+    wanted = coarse.selectExpr(
+        *_names(by, "_cell", "_lo", "_hi", "_n"),
+        f"sum(_n) over ({group}) as _total",
+        f"sum(_n) over ({group} order by _cell rows unbounded preceding) - _n as _start",
     )
-    wanted = coarse.filter(_holds_rank(probabilities)).select(*by, "_cell", "_lo", "_hi", "_total", "_start")
+    wanted = wanted.filter(holds_rank).withColumnRenamed("_n", "_rows")
 
-    # Pass 2: the wanted cells again, on a finer grid.
-    cell = fine_cell(F.col("_v"), F.col("_lo"), F.col("_hi"), F.lit(FINE_CELLS))
+    # Pass 2: the wanted cells again. A cell with few rows is counted by its values, which settles
+    # its ranks; a crowded one on a finer grid.
     joined = rows.join(F.broadcast(wanted) if small else wanted, [*by, "_cell"])
-    fine = joined.groupBy(*by, "_cell", "_total", "_start", cell.alias("_fine")).agg(*extent)
-    upto = Window.partitionBy(*by, "_cell").orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
-    fine = fine.withColumn("_start", F.col("_start") + F.sum("_n").over(upto) - F.col("_n"))
-    wanted = fine.filter(_holds_rank(probabilities)).select(*by, "_cell", "_lo", "_hi", "_total", "_start")
-
-    # Pass 3: the distinct values of the wanted fine cells, in order.
-    joined = rows.join(F.broadcast(wanted) if small else wanted, [*by, "_cell"]).filter(
-        F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    )
-    values = joined.groupBy(*by, "_cell", "_lo", "_total", "_start", "_v").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*by, "_cell", "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("_start", F.col("_start") + F.sum("_n").over(upto) - F.col("_n"))
-    places = F.array(*[F.struct(F.lit(i).alias("position"), _rank(p).alias("rank")) for i, p in enumerate(probabilities, 1)])
+    fine = joined.groupBy(
+        *by, "_cell", "_total", "_start",
+        F.expr(f"case when _rows > {ROWS_PER_CELL} then {fine_cell('_v', '_lo', '_hi', str(FINE_CELLS))} end as _fine"),
+        F.expr(f"case when _rows <= {ROWS_PER_CELL} then _v end as _value"),
+    ).agg(*extent)
+    upto = f"sum(_n) over (partition by {keys} order by _fine, _value rows unbounded preceding)"
+    wanted = fine.selectExpr(*_names(by, "_cell", "_lo", "_hi", "_n", "_total"), f"_start + {upto} - _n as _start")
+    wanted = wanted.filter(holds_rank)
+    settled = wanted.filter("_lo = _hi").select(*by, "_lo", "_n", "_total", "_start")
+
+    # Pass 3: the distinct values of fine cells that are still open, in order. Adaptive execution
+    # skips this scan when the broadcast of open cells turns out to be empty.
+    still_open = wanted.filter("_lo < _hi").drop("_n")
+    joined = rows.join(F.broadcast(still_open) if small else still_open, [*by, "_cell"]).filter("_v between _lo and _hi")
+    values = joined.groupBy(*by, "_cell", "_lo", "_total", "_start", "_v").agg(F.expr("count(*) as _n"))
+    upto = f"sum(_n) over (partition by {keys}, _lo order by _v rows unbounded preceding)"
+    in_order = values.selectExpr(*_names(by), "_v as _lo", "_n", "_total", f"_start + {upto} - _n as _start")
+
+    places = ", ".join(f"struct({i} as position, {_rank(p)} as rank)" for i, p in enumerate(probabilities, 1))
     return (
-        values.filter(_holds_rank(probabilities))
-        .select(*by, "_v", "_start", "_n", F.inline(places))
-        .filter((F.col("_start") < F.col("rank")) & (F.col("rank") <= F.col("_start") + F.col("_n")))
-        .select(*by, "position", F.col("_v").alias("value"))
+        settled.unionByName(in_order)
+        .selectExpr(*_names(by, "_lo", "_start", "_n"), f"inline(array({places}))")
+        .filter("_start < rank and rank <= _start + _n")
+        .selectExpr(*_names(by), "position", "_lo as value")
     )
 
 
-def _rank(probability: str) -> Column:
-    exact = F.lit(Decimal(probability)).cast("decimal(9,8)") * F.col("_total").cast("decimal(20,0)")
-    return F.greatest(F.lit(1).cast("bigint"), F.ceil(exact).cast("bigint"))
+def _names(by: Sequence[str], *others: str) -> list[str]:
+    return [f"`{name}`" for name in (*by, *others)]
 
 
-def _holds_rank(probabilities: Sequence[str]) -> Column:
-    holds = F.lit(False)
-    for p in probabilities:
-        holds = holds | ((F.col("_start") < _rank(p)) & (_rank(p) <= F.col("_start") + F.col("_n")))
-    return holds
+def _rank(probability: str) -> str:
+    """The first rank that reaches a probability, in exact decimal arithmetic."""
+    exact = f"cast({Decimal(probability):f} as decimal(9,8)) * cast(_total as decimal(20,0))"
+    return f"greatest(1L, cast(ceil({exact}) as bigint))"
 
 
 def quantiles_approx(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str], accuracy: int = 10000) -> DataFrame:
@@ -116,38 +123,34 @@ def rank_auc(long: DataFrame, by: str, value: str, target: str) -> DataFrame:
     Equal values count one half. Values are counted per distinct value, ordered inside cells, and
     only the cells' totals are ordered per group. A cell with very many rows is cut further.
     """
-    rows = long.select(by, F.col(value).cast("double").alias("_v"), F.col(target).cast("bigint").alias("_t"))
-    rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & F.col("_t").isin(0, 1))
-    rows = rows.withColumn("_cell", coarse_cell(F.col("_v")))
+    rows = (
+        long.select(by, F.col(value).cast("double").alias("_v"), F.col(target).cast("bigint").alias("_t"))
+        .filter("_v is not null and not isnan(_v) and _t in (0, 1)")
+        .withColumn("_cell", F.expr(coarse_cell("_v")))
+    )
 
     # The grid has at most 2 * 32 * 710 cells per variable, so the crowded ones fit a broadcast.
     crowded = (
         rows.groupBy(by, "_cell")
-        .agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .filter(F.col("_n") > ROWS_PER_CELL)
-        .select(by, "_cell", "_lo", "_hi", F.ceil(F.col("_n") / ROWS_PER_CELL).alias("_cuts"))
+        .agg(*[F.expr(e) for e in ("count(*) as _n", "min(_v) as _lo", "max(_v) as _hi")])
+        .filter(f"_n > {ROWS_PER_CELL}")
+        .selectExpr(f"`{by}`", "_cell", "_lo", "_hi", f"cast(ceil(_n / {ROWS_PER_CELL}) as bigint) as _cuts")
     )
-    cut = F.coalesce(fine_cell(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_cuts")), F.lit(0).cast("bigint"))
     counts = (
         rows.join(F.broadcast(crowded), [by, "_cell"], "left")
-        .groupBy(by, "_cell", cut.alias("_cut"), "_v")
-        .agg(F.sum("_t").alias("_pos"), F.sum(1 - F.col("_t")).alias("_neg"))
+        .groupBy(by, "_cell", F.expr(f"coalesce({fine_cell('_v', '_lo', '_hi', '_cuts')}, 0L) as _cut"), "_v")
+        .agg(F.expr("sum(_t) as _pos"), F.expr("sum(1 - _t) as _neg"))
     )
-    below = Window.partitionBy(by, "_cell", "_cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") / 2)
+    below = f"sum(_neg) over (partition by `{by}`, _cell, _cut order by _v rows between unbounded preceding and 1 preceding)"
     cells = (
-        counts.withColumn("_wins", wins)
+        counts.withColumn("_wins", F.expr(f"_pos * (coalesce({below}, 0L) + _neg / 2)"))
         .groupBy(by, "_cell", "_cut")
-        .agg(F.sum("_wins").alias("_wins"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+        .agg(*[F.expr(f"sum({c}) as {c}") for c in ("_wins", "_pos", "_neg")])
     )
-    before = Window.partitionBy(by).orderBy("_cell", "_cut").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.col("_pos").cast("double") * F.coalesce(F.sum("_neg").over(before), F.lit(0))
+    before = f"sum(_neg) over (partition by `{by}` order by _cell, _cut rows between unbounded preceding and 1 preceding)"
     return (
-        cells.withColumn("_wins", F.col("_wins") + carried)
+        cells.withColumn("_wins", F.expr(f"_wins + cast(_pos as double) * coalesce({before}, 0L)"))
         .groupBy(by)
-        .agg(F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"), F.sum("_wins").alias("_wins"))
-        .select(
-            by, "positives", "negatives",
-            F.try_divide(F.col("_wins"), F.col("positives").cast("double") * F.col("negatives")).alias("auc"),
-        )
+        .agg(F.expr("sum(_pos) as positives"), F.expr("sum(_neg) as negatives"), F.expr("sum(_wins) as _wins"))
+        .selectExpr(f"`{by}`", "positives", "negatives", "try_divide(_wins, cast(positives as double) * negatives) as auc")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -107,13 +108,20 @@ def label_concat(*parts: Column) -> Column:
     return F.concat_ws("_", *parts)
 
 
-def hash_fraction(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) fixed by integer keys and a seed, the same on every run and engine."""
+def hash_below(fraction: float, seed: int, *keys: Column) -> Column:
+    """True for a share ``fraction`` of the rows, fixed by integer keys and a seed.
+
+    The first 32 bits of a digest are compared as hexadecimal text, which orders like the number,
+    so the outcome is the same on every run, partitioning and engine.
+    """
     text = F.concat_ws("-", *[key.cast("string") for key in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    limit = min(max(math.ceil(fraction * 2**32), 0), 2**32)
+    if limit == 2**32:
+        return F.lit(True)
+    return F.substring(F.md5(text), 1, 8) < F.lit(f"{limit:08x}")
 
 
 def random_flag(seed: int, *keys: Column) -> Column:
     """0 or 1 with equal odds: from ``rand`` without keys, repeatable from them otherwise."""
-    draw = hash_fraction(seed, *keys) if keys else F.rand(seed)
-    return F.when(draw < 0.5, 0).otherwise(1)
+    zero = hash_below(0.5, seed, *keys) if keys else F.rand(seed) < 0.5
+    return F.when(zero, 0).otherwise(1)

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions.quantiles import exact_quantiles
 from cohortwise.operators.relational import melt_numeric, numeric_columns, share_of_total
 
+# A correlation keeps six numbers, and generated code holds about a hundred.
+MAX_PAIRS_IN_AGGREGATE = 15
+
 
 def group_sum_numeric(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum of every numeric column that is not a key."""
@@ -60,7 +65,8 @@ def share_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def percent_labels(counts: DataFrame, count: str = "count") -> DataFrame:
     """A count table with its percentage of the total, to two decimals."""
-    return share_of_total(counts, count, "percent").withColumn("percent", F.round(F.col("percent") * 100, 2))
+    total = counts.agg(F.sum(count)).scalar()
+    return counts.withColumn("percent", F.round(F.try_divide(F.col(count) * 100.0, total.cast("double")), 2))
 
 
 def distinct_and_spread(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -74,12 +80,19 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """row, column, correlation (absolute) for the pairs above the diagonal, in one aggregate.
+    """row, column, correlation (absolute) for the pairs above the diagonal.
 
-    ``row`` is the earlier of the two names. A pair is null when one of its columns is constant.
+    ``row`` is the earlier of the two names; rows with a null in any column are left out, and a
+    pair is null when one of its columns is constant. A few pairs are one aggregate. More of them
+    would exceed what one generated aggregate can hold, so they come from the covariance matrix
+    that the ML library builds from whole row vectors.
     """
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[_corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    if len(pairs) > MAX_PAIRS_IN_AGGREGATE:
+        return _pearson_of_vectors(rows, columns, pairs)
+    nothing = F.lit(None).cast("double")
+    wide = rows.agg(*[F.nanvl(F.corr(a, b), nothing).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     stacked = [
         F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.abs(F.col(f"p{i}")).alias("correlation"))
         for i, (a, b) in enumerate(pairs)
@@ -87,8 +100,13 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*stacked)))
 
 
-def _corr(a: str, b: str) -> Column:
-    return F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(None).cast("double"))
+def _pearson_of_vectors(rows: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(rows).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    place = {name: i for i, name in enumerate(columns)}
+    values = [(a, b, abs(float(matrix[place[a], place[b]]))) for a, b in pairs]
+    found = [(a, b, None if c != c else c) for a, b, c in values]
+    return rows.sparkSession.createDataFrame(found, "row string, column string, correlation double")
 
 
 def join_strings(

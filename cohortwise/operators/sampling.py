@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.functions.scalars import hash_fraction
+from cohortwise.functions.scalars import hash_below
 
 
 def sample_simple(df: DataFrame, fraction: float, seed: int) -> DataFrame:
@@ -26,5 +26,5 @@ def split_train_test(df: DataFrame, target: str, keys: Sequence[str], fraction:
     The side is fixed by integer row keys and the seed, the same for any partitioning, and rows
     that are equal in all columns are kept. A row whose target is neither 0 nor 1 is in test.
     """
-    train = F.col(target).isin(0, 1) & (hash_fraction(seed, *[F.col(k) for k in keys]) < fraction)
+    train = F.col(target).isin(0, 1) & hash_below(fraction, seed, *[F.col(k) for k in keys])
     return df.withColumn("sample", F.when(train, "train").otherwise("test"))

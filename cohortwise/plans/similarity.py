@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,15 +14,19 @@ MAX_QUERIES = 1000
 def query_vs_candidates(
     df: DataFrame, features: Sequence[Column], id_column: str, query: Column, pool: Column, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """id, ``extra``, distance of every row of the pool to the one query row.
+    """id, ``extra``, is_query and distance of every row of the pool, and of the query row itself.
 
     The query row enters as a scalar subquery: a constant to all tasks, without a join. When
     several rows satisfy ``query`` the one with the smallest id is used.
     """
-    target = df.filter(query).agg(F.min_by(F.array(*features), F.col(id_column))).scalar()
-    near = df.filter(pool).select(id_column, *extra, F.array(*features).alias("_f"), target.alias("_q"))
-    terms = [F.pow(F.get("_f", F.lit(i)) - F.get("_q", F.lit(i)), F.lit(2.0)) for i in range(len(features))]
-    return near.select(id_column, *extra, F.sqrt(reduce(add, terms)).alias("distance"))
+    vector = F.array(*features)
+    target = df.filter(query).agg(F.min_by(F.struct(F.col(id_column).alias("id"), vector.alias("f")), id_column)).scalar()
+    rows = df.withColumns({"_q": target, "_f": vector})
+    is_query = F.coalesce(F.col(id_column) == F.col("_q.id"), F.lit(False))
+    terms = [f"power(_f[{i}] - _q.f[{i}], 2)" for i in range(len(features))]
+    return rows.filter(pool | is_query).select(
+        id_column, *extra, is_query.alias("is_query"), F.expr(f"sqrt({' + '.join(terms)})").alias("distance")
+    )
 
 
 def top_k_similar(
@@ -44,17 +46,15 @@ def top_k_similar(
     """
     query = F.col(name) == F.lit(query_name)
     near = query_vs_candidates(df, features, id_column, query, pool & (F.col(name) != F.lit(query_name)), extra)
-    best = near.orderBy("distance", id_column).limit(k)
-    whole = Window.partitionBy(F.lit(0))  # k rows
+    order = [F.desc("is_query"), F.asc("distance"), F.asc(id_column)]
+    best = near.orderBy(*order).limit(k + 1)
+    whole = Window.partitionBy(F.lit(0))  # the k + 1 rows just kept
     ranked = best.select(
-        F.row_number().over(whole.orderBy("distance", id_column)).alias("rank"),
+        (F.row_number().over(whole.orderBy(*order)) - 1).alias("rank"),
         id_column, *extra, "distance",
         F.count("*").over(whole).alias("_found"),
-    ).filter(F.col("_found") >= k)
-    first = df.filter(query).orderBy(id_column).limit(1)
-    enough = ranked.agg(F.count("*")).scalar() >= k
-    itself = first.filter(enough).select(F.lit(0).alias("rank"), id_column, *extra, F.lit(0.0).alias("distance"))
-    return itself.unionByName(ranked.drop("_found"))
+    )
+    return ranked.filter(F.col("_found") > k).drop("_found")
 
 
 def top_k_similar_batch(

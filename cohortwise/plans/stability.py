@@ -6,8 +6,6 @@ All variables are handled together: one melt, one set of cut points, one grouped
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +31,13 @@ def cut_points(long: DataFrame, n: int, variables: Sequence[str]) -> DataFrame:
 
 def cut_columns(cuts: DataFrame, n: int, unique: bool = True) -> DataFrame:
     """One row per variable with ``cut_1 ..``; with ``unique`` a repeated cut becomes null."""
-    slots = [F.max(F.when(F.col("position") == i, F.col("value"))).alias(f"cut_{i}") for i in range(1, n)]
+    slots = [F.expr(f"max(value) filter (where position = {i}) as cut_{i}") for i in range(1, n)]
     wide = cuts.groupBy("variable").agg(*slots)
     if not unique:
         return wide
-    first = [F.col("cut_1")] if n > 1 else []
-    rest = [
-        F.when(F.col(f"cut_{i}") > F.col(f"cut_{i - 1}"), F.col(f"cut_{i}")).alias(f"cut_{i}") for i in range(2, n)
-    ]
-    return wide.select("variable", *first, *rest)
+    first = ["cut_1"] if n > 1 else []
+    rest = [f"case when cut_{i} > cut_{i - 1} then cut_{i} end as cut_{i}" for i in range(2, n)]
+    return wide.selectExpr("variable", *first, *rest)
 
 
 def assign_bucket(long: DataFrame, cuts: DataFrame, n: int) -> DataFrame:
@@ -49,9 +45,10 @@ def assign_bucket(long: DataFrame, cuts: DataFrame, n: int) -> DataFrame:
 
     ``cuts`` has one row per variable of the caller's list, so it is small enough to broadcast.
     """
-    reached = [F.when(F.col("value") >= F.col(f"cut_{i}"), 1).otherwise(0) for i in range(1, n)]
-    bucket = reduce(add, reached, F.lit(0))
-    return long.join(F.broadcast(cuts), "variable", "left").select(*long.columns, bucket.alias("bucket"))
+    reached = [f"case when value >= cut_{i} then 1 else 0 end" for i in range(1, n)]
+    bucket = " + ".join(reached) or "0"
+    kept = [f"`{name}`" for name in long.columns]
+    return long.join(F.broadcast(cuts), "variable", "left").selectExpr(*kept, f"{bucket} as bucket")
 
 
 def index_term(p: Column, q: Column) -> Column:
