@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortwise.functions.quantiles import exact_quantiles
 from cohortwise.operators.relational import melt_numeric, numeric_columns, share_of_total
 
-# A correlation keeps six numbers, and generated code holds about a hundred.
+# A covariance keeps four numbers and a deviation three, and generated code holds about a hundred.
 MAX_PAIRS_IN_AGGREGATE = 15
 
 
@@ -91,13 +91,16 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     if len(pairs) > MAX_PAIRS_IN_AGGREGATE:
         return _pearson_of_vectors(rows, columns, pairs)
-    nothing = F.lit(None).cast("double")
-    wide = rows.agg(*[F.nanvl(F.corr(a, b), nothing).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    stacked = [
-        F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.abs(F.col(f"p{i}")).alias("correlation"))
+    wide = rows.agg(
+        *[F.expr(f"stddev_pop(`{c}`) as s{j}") for j, c in enumerate(columns)],
+        *[F.expr(f"covar_pop(`{a}`, `{b}`) as p{i}") for i, (a, b) in enumerate(pairs)],
+    )
+    place = {name: j for j, name in enumerate(columns)}
+    stacked = ", ".join(
+        f"struct('{a}' as row, '{b}' as column, abs(try_divide(p{i}, s{place[a]} * s{place[b]})) as correlation)"
         for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.inline(F.array(*stacked)))
+    )
+    return wide.selectExpr(f"inline(array({stacked}))")
 
 
 def _pearson_of_vectors(rows: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:

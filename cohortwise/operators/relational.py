@@ -92,10 +92,10 @@ def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
 def except_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct rows of ``left`` that are not in ``right``.
 
-    Both sides lose their copies before the join, so that a row with very many copies does not
-    become a hot join key.
+    The copies of a row on the right are removed before the join, so that it meets each left row
+    at most once; a left row with very many copies is split by the adaptive skew join.
     """
-    return left.distinct().subtract(right.distinct())
+    return left.subtract(right.distinct())
 
 
 def except_all(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ def top_k_similar(
 ) -> DataFrame:
     """The query row (rank 0) and its ``k`` nearest rows among ``pool``, ties in id order.
 
-    Rows that carry the query's own name are not candidates. With fewer than ``k`` candidates
-    the answer is empty.
+    Rows that carry the query's own name are not candidates. With an unknown name or fewer than
+    ``k`` candidates the answer is empty.
     """
     query = F.col(name) == F.lit(query_name)
     near = query_vs_candidates(df, features, id_column, query, pool & (F.col(name) != F.lit(query_name)), extra)
@@ -53,8 +53,9 @@ def top_k_similar(
         (F.row_number().over(whole.orderBy(*order)) - 1).alias("rank"),
         id_column, *extra, "distance",
         F.count("*").over(whole).alias("_found"),
+        F.bool_or("is_query").over(whole).alias("_known"),
     )
-    return ranked.filter(F.col("_found") > k).drop("_found")
+    return ranked.filter((F.col("_found") > k) & F.col("_known")).drop("_found", "_known")
 
 
 def top_k_similar_batch(
