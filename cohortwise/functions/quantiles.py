@@ -26,8 +26,11 @@ def has_few_groups(df: DataFrame, by: Sequence[str], limit: int) -> bool:
 
 
 def coarse_cell(value: str) -> str:
-    """SQL of a cell number that never falls when the value rises."""
-    return f"floor(signum({value}) * {CELLS_PER_LOG_UNIT} * log1p(abs({value})))"
+    """SQL of a cell number that never falls when the value rises.
+
+    Never null, so that a join on it adds no null test that would be computed again at the scan.
+    """
+    return f"coalesce(floor(signum({value}) * {CELLS_PER_LOG_UNIT} * log1p(abs({value}))), 0L)"
 
 
 def fine_cell(value: str, low: str, high: str, cells: str) -> str:
@@ -120,27 +123,28 @@ def quantiles_approx(df: DataFrame, value: str, probabilities: Sequence[float],
 def rank_auc(long: DataFrame, by: str, value: str, target: str) -> DataFrame:
     """``by``, positives, negatives, auc: the chance that a bad has a larger value than a good.
 
-    Equal values count one half. Values are counted per distinct value, ordered inside cells, and
-    only the cells' totals are ordered per group. A cell with very many rows is cut further.
+    Equal values count one half. The rows are read once and counted per distinct value; those are
+    ordered inside cells, and only the cells' totals are ordered per group. A cell with very many
+    distinct values is cut further.
     """
-    rows = (
+    counts = (
         long.select(by, F.col(value).cast("double").alias("_v"), F.col(target).cast("bigint").alias("_t"))
-        .filter("_v is not null and not isnan(_v) and _t in (0, 1)")
+        .filter("_v is not null and not isnan(_v)")
+        .groupBy(by, "_v")
+        .agg(F.expr("count_if(_t = 1) as _pos"), F.expr("count_if(_t = 0) as _neg"))
         .withColumn("_cell", F.expr(coarse_cell("_v")))
     )
 
     # The grid has at most 2 * 32 * 710 cells per variable, so the crowded ones fit a broadcast.
+    # The filter reads all counts: with the same columns both uses of them share one shuffle.
     crowded = (
-        rows.groupBy(by, "_cell")
-        .agg(*[F.expr(e) for e in ("count(*) as _n", "min(_v) as _lo", "max(_v) as _hi")])
-        .filter(f"_n > {ROWS_PER_CELL}")
+        counts.groupBy(by, "_cell")
+        .agg(*[F.expr(e) for e in ("count(*) as _n", "sum(_pos + _neg) as _all", "min(_v) as _lo", "max(_v) as _hi")])
+        .filter(f"_n > {ROWS_PER_CELL} and _all >= 0")
         .selectExpr(f"`{by}`", "_cell", "_lo", "_hi", f"cast(ceil(_n / {ROWS_PER_CELL}) as bigint) as _cuts")
     )
-    counts = (
-        rows.join(F.broadcast(crowded), [by, "_cell"], "left")
-        .groupBy(by, "_cell", F.expr(f"coalesce({fine_cell('_v', '_lo', '_hi', '_cuts')}, 0L) as _cut"), "_v")
-        .agg(F.expr("sum(_t) as _pos"), F.expr("sum(1 - _t) as _neg"))
-    )
+    cut = F.expr(f"coalesce({fine_cell('_v', '_lo', '_hi', '_cuts')}, 0L)")
+    counts = counts.join(F.broadcast(crowded), [by, "_cell"], "left").select(by, "_cell", cut.alias("_cut"), "_v", "_pos", "_neg")
     below = f"sum(_neg) over (partition by `{by}`, _cell, _cut order by _v rows between unbounded preceding and 1 preceding)"
     cells = (
         counts.withColumn("_wins", F.expr(f"_pos * (coalesce({below}, 0L) + _neg / 2)"))

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions.quantiles import exact_quantiles
-from cohortwise.operators.relational import melt_numeric, numeric_columns, share_of_total
+from cohortwise.operators.relational import melt_numeric, numeric_columns, share_of_total, union_all
 
-# A covariance keeps four numbers and a deviation three, and generated code holds about a hundred.
-MAX_PAIRS_IN_AGGREGATE = 15
+# A covariance keeps four numbers and a deviation three; generated code holds about a hundred.
+PAIRS_IN_AGGREGATE = 15
+MOST_AGGREGATES = 4
 
 
 def group_sum_numeric(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,19 +84,24 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """row, column, correlation (absolute) for the pairs above the diagonal.
 
     ``row`` is the earlier of the two names; rows with a null in any column are left out, and a
-    pair is null when one of its columns is constant. A few pairs are one aggregate. More of them
-    would exceed what one generated aggregate can hold, so they come from the covariance matrix
-    that the ML library builds from whole row vectors.
+    pair is null when one of its columns is constant. Up to ``PAIRS_IN_AGGREGATE`` pairs are one
+    aggregate, more of them a few such aggregates. Many pairs would need as many scans, so they
+    come from the covariance matrix that the ML library builds from whole row vectors.
     """
     pairs = list(combinations(columns, 2))
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    if len(pairs) > MAX_PAIRS_IN_AGGREGATE:
+    if len(pairs) > MOST_AGGREGATES * PAIRS_IN_AGGREGATE:
         return _pearson_of_vectors(rows, columns, pairs)
+    parts = [pairs[i : i + PAIRS_IN_AGGREGATE] for i in range(0, len(pairs), PAIRS_IN_AGGREGATE)]
+    return union_all(*[_pearson_of_pairs(rows, part) for part in parts])
+
+
+def _pearson_of_pairs(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    place = {name: j for j, name in enumerate(dict.fromkeys(name for pair in pairs for name in pair))}
     wide = rows.agg(
-        *[F.expr(f"stddev_pop(`{c}`) as s{j}") for j, c in enumerate(columns)],
+        *[F.expr(f"stddev_pop(`{name}`) as s{j}") for name, j in place.items()],
         *[F.expr(f"covar_pop(`{a}`, `{b}`) as p{i}") for i, (a, b) in enumerate(pairs)],
     )
-    place = {name: j for j, name in enumerate(columns)}
     stacked = ", ".join(
         f"struct('{a}' as row, '{b}' as column, abs(try_divide(p{i}, s{place[a]} * s{place[b]})) as correlation)"
         for i, (a, b) in enumerate(pairs)

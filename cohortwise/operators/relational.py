@@ -118,10 +118,14 @@ def unpivot_wide_to_long(
 
 
 def melt_numeric(df: DataFrame, variables: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``keep``, variable, value as double; unknown values (null or NaN) make no row."""
-    wide = df.select(*keep, *[F.col(name).cast("double").alias(name) for name in variables])
-    long = wide.unpivot(list(keep), list(variables), "variable", "value")
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    """``keep``, variable, value as double; unknown values (null or NaN) make no row.
+
+    An inlined array rather than ``unpivot``: two uses of such a table in one plan stay
+    recognisably equal, so Spark runs their common part once.
+    """
+    cells = ", ".join(f"struct('{name}' as variable, cast(`{name}` as double) as value)" for name in variables)
+    long = df.selectExpr(*[f"`{name}`" for name in keep], f"inline(array({cells}))")
+    return long.filter("value is not null and not isnan(value)")
 
 
 def explode_array(df: DataFrame, column: str, value: str, position: str = "position") -> DataFrame:

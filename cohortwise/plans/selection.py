@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from cohortwise.functions.quantiles import exact_quantiles, quantiles_approx, rank_auc
 from cohortwise.operators.aggregates import join_strings, pearson_matrix
 from cohortwise.operators.relational import (
-    lookup_join,
     melt_numeric,
     null_out_sentinels,
     numeric_columns,
@@ -72,11 +71,19 @@ def _logistic_gini(df: DataFrame, variables: Sequence[str], target: str) -> Data
 
 
 def attach_gini(pairs: DataFrame, gini: DataFrame) -> DataFrame:
-    """Pairs with row_gini, column_gini and ``drop``: the weaker one, on a tie the column side."""
-    both = lookup_join(pairs, gini, "row", "variable", "gini", "row_gini")
-    both = lookup_join(both, gini, "column", "variable", "gini", "column_gini")
+    """Pairs with row_gini, column_gini and ``drop``: the weaker one, on a tie the column side.
+
+    The ginis, one per variable, enter as one map value, so that they are computed once although
+    both sides of a pair look them up.
+    """
+    by_name = gini.agg(F.map_from_entries(F.collect_list(F.struct("variable", "gini")))).scalar()
+    both = pairs.withColumn("_gini", by_name).select(
+        "row", "column", "correlation",
+        F.try_element_at("_gini", F.col("row")).alias("row_gini"),
+        F.try_element_at("_gini", F.col("column")).alias("column_gini"),
+    )
     weaker = F.when(F.col("row_gini") >= F.col("column_gini"), F.col("column")).otherwise(F.col("row"))
-    return both.select("row", "column", "correlation", "row_gini", "column_gini", weaker.alias("drop"))
+    return both.withColumn("drop", weaker)
 
 
 def correlation_drop_list(pairs: DataFrame, gini: DataFrame) -> DataFrame:
@@ -117,11 +124,21 @@ def forest_importance(
         *[F.col(name).cast("double").alias(name) for name in variables], F.col(target).cast("double").alias("label")
     ).na.drop()
     data = VectorAssembler(inputCols=list(variables), outputCol="features").transform(data).select("features", "label")
+    data = spread_over_cores(data)
     model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed).fit(data)
     rows = [(name, float(model.featureImportances[i])) for i, name in enumerate(variables)]
     return df.sparkSession.createDataFrame(rows, "variable string, importance double").orderBy(F.desc("importance"))
 
 
+def spread_over_cores(df: DataFrame) -> DataFrame:
+    """A table that is read many times, in at least one partition per core.
+
+    Only a table of fewer partitions is moved, that is a small one; a large one stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def low_importance_list(table: DataFrame, k: int, metric: str = "importance") -> DataFrame:
     """The ``k`` least important variables."""
     return top_rows(table, [F.asc(metric), F.desc("variable")], k).select("variable")
@@ -180,7 +197,7 @@ def select_features(
     """
     names = candidates(df, variables, target, black_list)
     spark = df.sparkSession
-    with persist_stage(df.select(*names, target)) as table:
+    with persist_stage(spread_over_cores(df.select(*names, target))) as table:
         pairs = _settle(correlated_pairs(table, names, lim_corr))
         gini = _settle(univariate_gini(table, names, target, only=pair_members(pairs)))
         spread = _settle(variability(table, names, special_values))

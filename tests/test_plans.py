@@ -197,10 +197,12 @@ def test_no_pairs_give_an_empty_drop_list(model):
 def test_many_pairs_agree_with_few(model, monkeypatch):
     names = ["a", "b", "c", "flat"]
     few = {(r.row, r.column): r.correlation for r in aggregates.pearson_matrix(model, names).collect()}
-    monkeypatch.setattr(aggregates, "MAX_PAIRS_IN_AGGREGATE", 1)
-    many = {(r.row, r.column): r.correlation for r in aggregates.pearson_matrix(model, names).collect()}
-    assert few.keys() == many.keys()
-    assert all(few[p] == pytest.approx(many[p], abs=1e-9) if few[p] is not None else many[p] is None for p in few)
+    monkeypatch.setattr(aggregates, "PAIRS_IN_AGGREGATE", 2)
+    for most in (4, 1):  # three small aggregates, then row vectors
+        monkeypatch.setattr(aggregates, "MOST_AGGREGATES", most)
+        many = {(r.row, r.column): r.correlation for r in aggregates.pearson_matrix(model, names).collect()}
+        assert few.keys() == many.keys()
+        assert all(few[p] == pytest.approx(many[p], abs=1e-9) if few[p] is not None else many[p] is None for p in few)
     assert few[("a", "flat")] is None
 
 
