@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +21,8 @@ from cohortwise.operators.relational import (
 )
 from cohortwise.sources.readers import persist_stage
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def candidates(df: DataFrame, variables: Sequence[str], target: str, black_list: Sequence[str] = ()) -> list[str]:
     """The numeric variables that are neither the target nor black-listed."""
@@ -120,23 +123,36 @@ def forest_importance(
     df: DataFrame, variables: Sequence[str], target: str, num_trees: int = 20, max_depth: int = 5, seed: int = 0
 ) -> DataFrame:
     """variable, importance from a random forest over the rows where everything is known."""
-    data = df.select(
+    rows = df.select(
         *[F.col(name).cast("double").alias(name) for name in variables], F.col(target).cast("double").alias("label")
     ).na.drop()
-    data = VectorAssembler(inputCols=list(variables), outputCol="features").transform(data).select("features", "label")
-    data = spread_over_cores(data)
+    with working_table(rows) as table:
+        return _fit_forest(table, variables, num_trees, max_depth, seed)
+
+
+def _fit_forest(table: DataFrame, variables: Sequence[str], num_trees: int, max_depth: int, seed: int) -> DataFrame:
+    """Importances from a table of known numbers with its ``label``."""
+    data = VectorAssembler(inputCols=list(variables), outputCol="features").transform(table).select("features", "label")
     model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed).fit(data)
-    rows = [(name, float(model.featureImportances[i])) for i, name in enumerate(variables)]
-    return df.sparkSession.createDataFrame(rows, "variable string, importance double").orderBy(F.desc("importance"))
+    found = [(name, float(model.featureImportances[i])) for i, name in enumerate(variables)]
+    return table.sparkSession.createDataFrame(found, "variable string, importance double").orderBy(F.desc("importance"))
 
 
-def spread_over_cores(df: DataFrame) -> DataFrame:
-    """A table that is read many times, in at least one partition per core.
+@contextmanager
+def working_table(df: DataFrame, keep: bool = False) -> Iterator[DataFrame]:
+    """A table that is about to be read several times.
 
-    Only a table of fewer partitions is moved, that is a small one; a large one stays as it is.
+    One whose estimated size would not keep the cores busy is spread over them and persisted. A
+    larger one keeps its partitions and is persisted only with ``keep``: a forest, for instance,
+    already persists a compact copy of its own.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * SPLIT_BYTES
+    if small or keep:
+        with persist_stage(df.repartition(cores, *df.columns) if small else df) as kept:
+            yield kept
+    else:
+        yield df
 
 
 def low_importance_list(table: DataFrame, k: int, metric: str = "importance") -> DataFrame:
@@ -197,11 +213,12 @@ def select_features(
     """
     names = candidates(df, variables, target, black_list)
     spark = df.sparkSession
-    with persist_stage(spread_over_cores(df.select(*names, target))) as table:
+    with working_table(df.select(*names, target), keep=True) as table:
         pairs = _settle(correlated_pairs(table, names, lim_corr))
         gini = _settle(univariate_gini(table, names, target, only=pair_members(pairs)))
         spread = _settle(variability(table, names, special_values))
-        importance = forest_importance(table, names, target, num_trees, max_depth, seed)
+        known = table.withColumn("label", F.col(target).cast("double")).na.drop(subset=[*names, "label"])
+        importance = _fit_forest(known, names, num_trees, max_depth, seed)
         matrix = selection_matrix(
             spark.createDataFrame([(name,) for name in names], "variable string"),
             correlation_drop_list(pairs, gini),
