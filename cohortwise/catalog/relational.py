@@ -13,11 +13,9 @@ from cohortwise.catalog.registry import (
     VARIABLES,
     query,
     score,
-    share_sql,
     table,
 )
 from cohortwise.functions.quantiles import exact_quantiles, quantiles_approx
-from cohortwise.functions.scalars import yyyymm
 from cohortwise.operators import aggregates, relational, sampling
 from cohortwise.plans.charts import control_limits
 from cohortwise.plans.curves import profile_fill

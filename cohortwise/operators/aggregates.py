@@ -16,6 +16,7 @@ from cohortwise.operators.relational import melt_numeric, numeric_columns, share
 # A covariance keeps four numbers and a deviation three; generated code holds about a hundred.
 PAIRS_IN_AGGREGATE = 15
 MOST_AGGREGATES = 4
+PAIR_SCHEMA = "row string, column string, correlation double"
 
 
 def group_sum_numeric(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,6 +90,8 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     come from the covariance matrix that the ML library builds from whole row vectors.
     """
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     if len(pairs) > MOST_AGGREGATES * PAIRS_IN_AGGREGATE:
         return _pearson_of_vectors(rows, columns, pairs)
@@ -115,7 +118,7 @@ def _pearson_of_vectors(rows: DataFrame, columns: Sequence[str], pairs: Sequence
     place = {name: i for i, name in enumerate(columns)}
     values = [(a, b, abs(float(matrix[place[a], place[b]]))) for a, b in pairs]
     found = [(a, b, None if c != c else c) for a, b, c in values]
-    return rows.sparkSession.createDataFrame(found, "row string, column string, correlation double")
+    return rows.sparkSession.createDataFrame(found, PAIR_SCHEMA)
 
 
 def join_strings(

@@ -194,6 +194,12 @@ def test_no_pairs_give_an_empty_drop_list(model):
     assert gini.isEmpty() and selection.correlation_drop_list(pairs, gini).isEmpty()
 
 
+def test_one_column_has_no_pairs(model):
+    assert aggregates.pearson_matrix(model, ["a"]).isEmpty()
+    report = selection.select_features(model, ["a"], "target", lim_corr=0.5, lim_variab=10, lim_importance=1, num_trees=3)
+    assert report["pairs"].isEmpty() and report["matrix"].first().low_importance == 1
+
+
 def test_many_pairs_agree_with_few(model, monkeypatch):
     names = ["a", "b", "c", "flat"]
     few = {(r.row, r.column): r.correlation for r in aggregates.pearson_matrix(model, names).collect()}

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,7 +113,14 @@ def test_backfill_scales_and_repeats(spark):
     assert [(str(r.d), str(r.scaled)) for r in rows] == [("2015-01-01", "123.45670"), ("2015-02-01", "200.00000")]
 
 
-def test_scratch_dir_follows_the_session_setting(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path)) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
-    assert first != second
+def _session(master, folder=None):
+    conf = SimpleNamespace(get=lambda key, default=None: folder or default)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
+def test_scratch_dir_follows_the_session_setting():
+    first, second = (scratch_dir(_session("yarn", "hdfs:///shared/"), "x") for _ in range(2))
+    assert first.startswith("hdfs:///shared/x-") and first != second
+    with pytest.raises(ValueError):
+        scratch_dir(_session("yarn"), "x")
+    assert scratch_dir(_session("local[2]"), "x").startswith("/tmp/run-")
