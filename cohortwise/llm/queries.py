@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, token_counts
+from cohortwise.llm import bpe, decontamination, fingerprints, licenses, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,84 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_fingerprints")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf, "documents"))
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf: str) -> toxicity.ToxicityModel:
+    """Fitted on the labelled rows of ``docs`` outside the held-out fold."""
+    labels = _table(spark, sf, "labels").where(~toxicity.held_out())
+    return toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+
+
+@query("op3_toxicity")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, spark, sf))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+# Words and shingles as the operators take them, for the SQL below.
+_WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES_SQL = f"""
+  SELECT {{id}} AS id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM (SELECT {{id}}, {_WORDS_SQL.replace("coalesce(text, '')", _LOWER_SQL)} AS w FROM {{table}})
+"""
+
+
+@query(
+    "op6_substring_dedup",
+    f"""
+    WITH w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 20], ' ')) AS h
+            FROM w, unnest(range(0, len(w) - 19)) AS t(i) WHERE len(w) >= 20),
+    dup AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+    gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS at FROM dup GROUP BY doc_id)
+    SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
+           sha256(array_to_string(CASE WHEN at IS NULL THEN w ELSE list_transform(
+             list_sort(list_where(range(1, len(w) + 1), list_transform(range(0, len(w)), i -> NOT list_contains(at, i)))), i -> w[i]) END, ' ')) AS kept_sha256
+    FROM w LEFT JOIN gone USING (doc_id)
+    """,
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.repeats_removed(_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@query("op8_licenses")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf, "documents"))
+
+
+@query(
+    "op9_decontamination",
+    f"""
+    WITH d AS ({_SHINGLES_SQL.format(id="doc_id", table="documents")}), b AS ({_SHINGLES_SQL.format(id="item_id", table="benchmark")}),
+    du AS (SELECT id, unnest(s) AS h FROM d), bu AS (SELECT id, len(s) AS n, unnest(s) AS h FROM b)
+    SELECT du.id AS doc_id, bu.id AS item_id, count(*) AS n_shared, n AS n_item, count(*) / n AS containment
+    FROM bu JOIN du USING (h) GROUP BY du.id, bu.id, n HAVING 100 * count(*) >= 75 * n
+    """,
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contaminations(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+@query("op10_secret_scan")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id",
+        *map(number, secret_scan.BASE),
+        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.session import scratch_dir
@@ -198,15 +199,14 @@ def range_bounds(docs: DataFrame, group_bytes: int) -> list[int]:
     return sorted({int(x) for x in quantiles})
 
 
-def range_group(doc_id: str, cuts: list[int]) -> F.Column:
+def range_group(doc_id: str, cuts: list[int]) -> Column:
     """Number of the range that holds ``doc_id``: how many cuts are at or below it (null: -1)."""
     if not cuts:
-        return F.when(F.col(doc_id).isNull(), -1).otherwise(0)
-    # a balanced tree of comparisons: depth grows with the logarithm of the number of cuts
-    def tree(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(doc_id) < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(F.col(doc_id).isNull(), -1).otherwise(tree(0, len(cuts)))
+        return F.when(F.col(doc_id).isNull(), -1).otherwise(0).cast("int")
+    at = np.array(cuts, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, ids.to_numpy(dtype=np.int64), side="right").astype(np.int32))
+
+    return F.when(F.col(doc_id).isNull(), -1).otherwise(place(F.coalesce(F.col(doc_id), F.lit(0))))
