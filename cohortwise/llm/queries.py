@@ -78,10 +78,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Words and shingles as the operators take them, for the SQL below.
-_WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SHINGLES_SQL = f"""
-  SELECT {{id}} AS id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+  SELECT {{id}} AS id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
   FROM (SELECT {{id}}, {_WORDS_SQL.replace("coalesce(text, '')", _LOWER_SQL)} AS w FROM {{table}})
 """
@@ -94,10 +94,10 @@ _SHINGLES_SQL = f"""
     win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 20], ' ')) AS h
             FROM w, unnest(range(0, len(w) - 19)) AS t(i) WHERE len(w) >= 20),
     dup AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
-    gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS at FROM dup GROUP BY doc_id)
-    SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-           sha256(array_to_string(CASE WHEN at IS NULL THEN w ELSE list_transform(
-             list_sort(list_where(range(1, len(w) + 1), list_transform(range(0, len(w)), i -> NOT list_contains(at, i)))), i -> w[i]) END, ' ')) AS kept_sha256
+    gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS spots FROM dup GROUP BY doc_id)
+    SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(spots), 0)::BIGINT AS n_removed,
+           sha256(array_to_string(CASE WHEN spots IS NULL THEN w ELSE list_transform(
+             list_sort(list_where(range(1, len(w) + 1), list_transform(range(0, len(w)), lambda i: NOT list_contains(spots, i)))), lambda i: w[i]) END, ' ')) AS kept_sha256
     FROM w LEFT JOIN gone USING (doc_id)
     """,
 )

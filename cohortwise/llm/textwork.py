@@ -130,10 +130,8 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
             values = _BYTE_VALUE[_LOWER[piece] if lower else piece]
             values *= up[: len(piece)]
             total = np.cumsum(values, dtype=np.uint64)
-            h = total[e - 1]
-            h[1:] -= total[s[1:] - 1]
-            if s[0]:
-                h[0] -= total[s[0] - 1]
+            total = np.concatenate([np.zeros(1, dtype=np.uint64), total])
+            h = total[e] - total[s]
             h *= down[s]
             found.append((mix(h), s + at, e + at))
         at = to
