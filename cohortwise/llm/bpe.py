@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from functools import cache
 from itertools import groupby
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -183,15 +184,22 @@ def split_special(text: str, special: dict[str, int]) -> Iterator[tuple[str, int
 
 
 class PieceCache(dict):
-    """Results by piece, made when first asked for. Emptied when full, so that memory is bounded."""
+    """Results by piece, made when first asked for.
+
+    Two generations: when the younger one is full it becomes the older one, from which pieces asked
+    for again come back. So memory is bounded and frequent pieces stay.
+    """
 
     def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str) -> bytes:
-        made = self.make(piece)
+        made = self.older.get(piece)
+        if made is None:
+            made = self.make(piece)
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = made
         return made
@@ -202,7 +210,8 @@ def encoder(vocabulary: Vocabulary) -> Callable[[str], bytes]:
     symbols, merges, find = vocabulary.symbols, vocabulary.merges, splitter()
 
     def make(piece: str) -> bytes:
-        return np.array(merge_symbols([symbols[b] for b in piece.encode()], merges), dtype="<u4").tobytes()
+        ids = merge_symbols([symbols[b] for b in piece.encode()], merges)
+        return pack(f"<{len(ids)}I", *ids)
 
     pieces = PieceCache(make)
 

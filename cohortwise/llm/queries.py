@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, decontamination, fingerprints, licenses, secret_scan, substring_dedup, token_counts, toxicity
+from cohortwise.llm import bpe, decontamination, fingerprints, licenses, near_dedup, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,3 +136,23 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
         secret_scan.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query(
+    "op7_near_dedup",
+    f"""
+    WITH RECURSIVE d AS ({_SHINGLES_SQL.format(id="doc_id", table="documents")}),
+    cls AS (SELECT min(id) AS id, any_value(s) AS s, list(id) AS ids FROM (SELECT id, list_sort(s) AS s FROM d WHERE len(s) > 0) GROUP BY hash(s), len(s)),
+    u AS (SELECT id, len(s) AS n, unnest(s) AS h FROM cls),
+    pair AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.h = b.h AND a.id < b.id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+             GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+    reach AS (SELECT id AS a, id AS b FROM cls UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+    root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+    member AS (SELECT unnest(ids) AS doc_id, root FROM cls JOIN root USING (id))
+    SELECT d.id AS doc_id, len(s)::BIGINT AS n_shingles, coalesce(root, d.id) AS component_id, coalesce(root, d.id) = d.id AS kept
+    FROM d LEFT JOIN member ON member.doc_id = d.id
+    """,
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf, "documents"))

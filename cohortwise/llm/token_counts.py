@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ class PrefixCounter:
         self.find = splitter()
         self.merges = vocabulary.merges
         self.parts = {made: (key >> 32, key & 0xFFFFFFFF, rank) for key, (rank, made) in vocabulary.merges.items()}
-        self.reachable = {vocabulary.strings[i]: i for i in [*vocabulary.symbols, *self.parts]}
-        self.longest = max(map(len, self.reachable))
+        # every beginning of a vocabulary string: its token, or -1 if it is only a beginning
+        reachable = {vocabulary.strings[i]: i for i in [*vocabulary.symbols, *self.parts]}
+        self.tree = {s[:k]: -1 for s in reachable for k in range(1, len(s))} | reachable
         self.fits: dict[int, bool] = {}
         self.pieces = PieceCache(self.piece_counts)
 
@@ -73,35 +75,35 @@ class PrefixCounter:
 
     def byte_counts(self, data: bytes) -> list[int]:
         """Token counts of the prefixes of a piece, at every byte (index 0: nothing)."""
-        last, count = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        tokens, known, fits = self.reachable, self.fits, self.may_follow
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = tokens.get(data[start:end])
+        n = len(data)
+        last, count = [-1] * (n + 1), [0] * (n + 1)
+        known, fits, tree = self.fits, self.may_follow, self.tree
+        for start in range(n):
+            before, more = last[start], count[start] + 1
+            for end in range(start + 1, n + 1):
+                token = tree.get(data[start:end])
                 if token is None:
+                    break  # no vocabulary string begins like this
+                if token < 0 or count[end]:
                     continue
                 if start:
-                    ok = known.get(last[start] << 32 | token)
+                    ok = known.get(before << 32 | token)
                     if ok is None:
-                        ok = fits(last[start], token)
+                        ok = fits(before, token)
                     if not ok:
                         continue
-                last[end], count[end] = token, count[start] + 1
-                break
+                last[end], count[end] = token, more
         return count
 
     def piece_counts(self, piece: str) -> bytes:
         """Counts after each code point of a piece, as unsigned 32-bit integers."""
         data = piece.encode()
-        count = self.byte_counts(data)
-        if len(data) == len(piece):
-            out = np.array(count[1:], dtype="<u4")
-        else:
-            ends = np.cumsum([len(c.encode()) for c in piece])
-            out = np.array(count, dtype="<u4")[ends]
+        count = self.byte_counts(data)[1:]
+        if len(data) != len(piece):  # counts inside a character are left out
+            count = [c for c, after in zip(count, data[1:] + b" ", strict=True) if after & 0xC0 != 0x80]
         if piece in ("'re", "'ve", "'ll"):  # a contraction's second prefix is two pieces
-            out[1] = self.total("'") + self.total(piece[1])
-        return out.tobytes()
+            count[1] = self.total("'") + self.total(piece[1])
+        return pack(f"<{len(count)}I", *count)
 
     def total(self, piece: str) -> int:
         return int.from_bytes(self.pieces[piece][-4:], "little")
