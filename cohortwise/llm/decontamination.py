@@ -166,22 +166,25 @@ def contaminations(docs: DataFrame, items: DataFrame, percent: int = 75) -> Data
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def _holds(shared_index, percent: int):
+    """Whether a text holds an item of one shard."""
+
+    @F.pandas_udf("boolean")
+    def holds(column: pd.Series) -> pd.Series:
+        index, done = shared_index.value, []
+        quick = index.quick()
+        batch = pa.RecordBatch.from_arrays([pa.array(column, pa.string())], ["text"])
+        for part in slices(iter([batch])):
+            flags = np.zeros(part.num_rows, dtype=bool)
+            flags[[r for r, _, _ in index.contained(part, quick, percent)]] = True
+            done.append(flags)
+        return pd.Series(np.concatenate(done)) if done else pd.Series([], dtype=bool)
+
+    return holds
+
+
 def contaminated_columns(docs: DataFrame, items: DataFrame, percent: int = 75, text: str = "text") -> list[Column]:
     """For each shard of items, whether a text holds one of them."""
-    out = []
-    for index in item_shards(items):
-        shared_index = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def holds(column: pd.Series, shared_index=shared_index) -> pd.Series:
-            index, done = shared_index.value, []
-            quick = index.quick()
-            batch = pa.RecordBatch.from_arrays([pa.array(column, pa.string())], ["text"])
-            for part in slices(iter([batch])):
-                flags = np.zeros(part.num_rows, dtype=bool)
-                flags[[r for r, _, _ in index.contained(part, quick, percent)]] = True
-                done.append(flags)
-            return pd.Series(np.concatenate(done)) if done else pd.Series([], dtype=bool)
-
-        out.append(holds(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return out
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [_holds(broadcast(index), percent)(whole) for index in item_shards(items)]
