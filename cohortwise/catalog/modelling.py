@@ -210,7 +210,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH near AS (SELECT q.vec_id AS query_id, e.vec_id, {DISTANCE_SQL} AS distance
           FROM embeddings e JOIN embeddings q ON q.vec_id IN (3, 7, 11, 20) AND e.vec_id <> q.vec_id)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank, vec_id,
-               round(distance, 6) AS distance FROM near QUALIFY rank <= 10""",
+               round(distance, 6) AS distance FROM near QUALIFY rank <= 10
+        UNION ALL SELECT vec_id, 0, vec_id, 0.0 FROM embeddings WHERE vec_id IN (3, 7, 11, 20)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     best = similarity.top_k_similar_batch(

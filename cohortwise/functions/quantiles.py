@@ -1,68 +1,57 @@
 """Exact quantiles and rank statistics without gathering a group in one task.
 
 Values are first counted on a logarithmic grid that does not depend on the data. Only the cells
-that hold a wanted rank are counted again on a finer grid, and only the finer cells that hold it
-are sorted. Each pass shuffles counts, never rows, so a variable with a third of a very large
-table costs the same shuffle as a small one.
+that hold a wanted rank are counted again, on finer and finer grids, until their values themselves
+can be counted in order. Counts are shuffled, never rows, and an ordered window never holds more
+than ``MOST_VALUES`` entries: the last grid's cells are so narrow that no more doubles exist in one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS_PER_LOG_UNIT = 32
-FINE_CELLS = 4096
+CELLS_PER_OCTAVE = 16
+FINE_CELLS = 65_536
 ROWS_PER_CELL = 1_000_000
-MAX_BROADCAST_ROWS = 200_000
-
-
-def has_few_groups(df: DataFrame, by: Sequence[str], limit: int) -> bool:
-    """Whether ``by`` has at most ``limit`` distinct values; counts them, up to the limit."""
-    return df.select(*by).distinct().limit(limit + 1).count() <= limit
+# A coarse cell spans a factor of 2**(1/16); two finer grids divide it by 2**32, and a double has 52
+# binary digits, which leaves at most 2**17 values. A cell with few rows is not cut at all.
+MOST_VALUES = ROWS_PER_CELL
 
 
 def coarse_cell(value: str) -> str:
-    """SQL of a cell number that never falls when the value rises.
+    """SQL of a cell number that never falls when the value rises: sixteen cells for each power of two.
 
     Never null, so that a join on it adds no null test that would be computed again at the scan.
     """
-    return f"coalesce(floor(signum({value}) * {CELLS_PER_LOG_UNIT} * log1p(abs({value}))), 0L)"
+    octave = f"least(greatest(log2(abs({value})), -1075D), 1025D)"
+    return f"coalesce(cast(signum({value}) as bigint) * (17201L + cast(floor({CELLS_PER_OCTAVE} * {octave}) as bigint)), 0L)"
 
 
 def fine_cell(value: str, low: str, high: str, cells: str) -> str:
-    """SQL of an equal-width cell between the smallest and the largest value of a coarse cell."""
+    """SQL of an equal-width cell between the smallest and the largest value of a cell above it."""
     place = f"floor(({value} - {low}) / ({high} - {low}) * {cells})"
     return f"case when {high} > {low} then least({place}, {cells} - 1) else 0L end"
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = (), groups: int | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``by``, position (from 1), value: the smallest value whose rank reaches ``p * n``.
 
-    ``probabilities`` are decimal texts such as ``"0.25"``, so that ``p * n`` is exact. ``groups``
-    is an upper bound of the number of groups the caller can prove, for instance the length of a
-    variable list. Without one the groups are counted; when there are few, the wanted cells are
-    broadcast, otherwise they are joined by a shuffle that adaptive execution can split.
+    ``probabilities`` are decimal texts such as ``"0.25"``, so that ``p * n`` is exact. The wanted
+    cells are a small aggregate, at most one for each group and probability; adaptive execution
+    knows its size and broadcasts it or not. A grid that has nothing left to settle skips its scan.
     """
     by = list(by)
-    most = MAX_BROADCAST_ROWS // len(probabilities)
-    if groups is None:
-        small = not by or has_few_groups(df, by, most)
-    else:
-        small = groups <= most
-
     rows = (
         df.select(*by, F.col(value).cast("double").alias("_v"))
         .filter("_v is not null and not isnan(_v)")
         .withColumn("_cell", F.expr(coarse_cell("_v")))
     )
     extent = [F.expr(e) for e in ("count(*) as _n", "min(_v) as _lo", "max(_v) as _hi")]
-    keys = ", ".join(f"`{name}`" for name in [*by, "_cell"])
     group = f"partition by {', '.join(f'`{name}`' for name in by)}" if by else ""
     holds_rank = F.expr(" or ".join(f"_start < {_rank(p)} and {_rank(p)} <= _start + _n" for p in probabilities))
 
@@ -72,33 +61,31 @@ def exact_quantiles(
         *_names(by, "_cell", "_lo", "_hi", "_n"),
         f"sum(_n) over ({group}) as _total",
         f"sum(_n) over ({group} order by _cell rows unbounded preceding) - _n as _start",
-    )
-    wanted = wanted.filter(holds_rank).withColumnRenamed("_n", "_rows")
-
-    # Pass 2: the wanted cells again. A cell with few rows is counted by its values, which settles
-    # its ranks; a crowded one on a finer grid.
-    joined = rows.join(F.broadcast(wanted) if small else wanted, [*by, "_cell"])
-    fine = joined.groupBy(
-        *by, "_cell", "_total", "_start",
-        F.expr(f"case when _rows > {ROWS_PER_CELL} then {fine_cell('_v', '_lo', '_hi', str(FINE_CELLS))} end as _fine"),
-        F.expr(f"case when _rows <= {ROWS_PER_CELL} then _v end as _value"),
-    ).agg(*extent)
-    upto = f"sum(_n) over (partition by {keys} order by _fine, _value rows unbounded preceding)"
-    wanted = fine.selectExpr(*_names(by, "_cell", "_lo", "_hi", "_n", "_total"), f"_start + {upto} - _n as _start")
-    wanted = wanted.filter(holds_rank)
-    settled = wanted.filter("_lo = _hi").select(*by, "_lo", "_n", "_total", "_start")
-
-    # Pass 3: the distinct values of fine cells that are still open, in order. Adaptive execution
-    # skips this scan when the broadcast of open cells turns out to be empty.
-    still_open = wanted.filter("_lo < _hi").drop("_n")
-    joined = rows.join(F.broadcast(still_open) if small else still_open, [*by, "_cell"]).filter("_v between _lo and _hi")
-    values = joined.groupBy(*by, "_cell", "_lo", "_total", "_start", "_v").agg(F.expr("count(*) as _n"))
-    upto = f"sum(_n) over (partition by {keys}, _lo order by _v rows unbounded preceding)"
-    in_order = values.selectExpr(*_names(by), "_v as _lo", "_n", "_total", f"_start + {upto} - _n as _start")
+    ).filter(holds_rank)
+
+    # Passes 2 to 4: the wanted cells again. One with few rows is counted by its values, which settles
+    # its ranks, a crowded one on a grid between its least and largest value; the last pass counts
+    # all by value.
+    settled = []
+    for last in (False, False, True):
+        crowded = "false" if last else f"_rows > {ROWS_PER_CELL}"
+        cells = wanted.withColumnsRenamed({"_n": "_rows", "_lo": "_from", "_hi": "_to"})
+        joined = rows.join(cells, [*by, "_cell"]).filter("_v between _from and _to")
+        finer = joined.groupBy(
+            *by, "_cell", "_from", "_total", "_start",
+            F.expr(f"case when {crowded} then {fine_cell('_v', '_from', '_to', str(FINE_CELLS))} end as _fine"),
+            F.expr(f"case when {crowded} then null else _v end as _value"),
+        ).agg(*extent)
+        inside = ", ".join(f"`{name}`" for name in [*by, "_cell", "_from"])
+        upto = f"sum(_n) over (partition by {inside} order by _fine, _value rows unbounded preceding)"
+        found = finer.selectExpr(*_names(by, "_cell", "_lo", "_hi", "_n", "_total"), f"_start + {upto} - _n as _start")
+        found = found.filter(holds_rank)
+        settled.append(found.filter("_lo = _hi").select(*by, "_lo", "_n", "_total", "_start"))
+        wanted = found.filter("_lo < _hi")
 
     places = ", ".join(f"struct({i} as position, {_rank(p)} as rank)" for i, p in enumerate(probabilities, 1))
     return (
-        settled.unionByName(in_order)
+        reduce(DataFrame.unionByName, settled)
         .selectExpr(*_names(by, "_lo", "_start", "_n"), f"inline(array({places}))")
         .filter("_start < rank and rank <= _start + _n")
         .selectExpr(*_names(by), "position", "_lo as value")
@@ -124,8 +111,9 @@ def rank_auc(long: DataFrame, by: str, value: str, target: str) -> DataFrame:
     """``by``, positives, negatives, auc: the chance that a bad has a larger value than a good.
 
     Equal values count one half. The rows are read once and counted per distinct value; those are
-    ordered inside cells, and only the cells' totals are ordered per group. A cell with very many
-    distinct values is cut further.
+    ordered inside cells, and only the cells' totals are ordered per group. A cell with more than
+    ``ROWS_PER_CELL`` distinct values is cut on a finer grid, and so are its cells, after which no
+    more doubles exist in one than ``MOST_VALUES``.
     """
     counts = (
         long.select(by, F.col(value).cast("double").alias("_v"), F.col(target).cast("bigint").alias("_t"))
@@ -134,26 +122,36 @@ def rank_auc(long: DataFrame, by: str, value: str, target: str) -> DataFrame:
         .agg(F.expr("count_if(_t = 1) as _pos"), F.expr("count_if(_t = 0) as _neg"))
         .withColumn("_cell", F.expr(coarse_cell("_v")))
     )
-
-    # The grid has at most 2 * 32 * 710 cells per variable, so the crowded ones fit a broadcast.
-    # The filter reads all counts: with the same columns both uses of them share one shuffle.
-    crowded = (
-        counts.groupBy(by, "_cell")
-        .agg(*[F.expr(e) for e in ("count(*) as _n", "sum(_pos + _neg) as _all", "min(_v) as _lo", "max(_v) as _hi")])
-        .filter(f"_n > {ROWS_PER_CELL} and _all >= 0")
-        .selectExpr(f"`{by}`", "_cell", "_lo", "_hi", f"cast(ceil(_n / {ROWS_PER_CELL}) as bigint) as _cuts")
-    )
-    cut = F.expr(f"coalesce({fine_cell('_v', '_lo', '_hi', '_cuts')}, 0L)")
-    counts = counts.join(F.broadcast(crowded), [by, "_cell"], "left").select(by, "_cell", cut.alias("_cut"), "_v", "_pos", "_neg")
-    below = f"sum(_neg) over (partition by `{by}`, _cell, _cut order by _v rows between unbounded preceding and 1 preceding)"
+    grid = ["_cell"]
+    for level in ("_cut", "_cut2"):
+        # One row for each cell with very many distinct values, so at most one in ROWS_PER_CELL of
+        # them. The filter reads all counts: with the same columns all uses share one shuffle.
+        crowded = (
+            counts.groupBy(by, *grid)
+            .agg(*[F.expr(e) for e in ("count(*) as _n", "sum(_pos + _neg) as _all", "min(_v) as _lo", "max(_v) as _hi")])
+            .filter(f"_n > {ROWS_PER_CELL} and _all >= 0")
+            .select(by, *grid, "_lo", "_hi")
+        )
+        cut = F.expr(f"coalesce({fine_cell('_v', '_lo', '_hi', str(FINE_CELLS))}, 0L)")
+        counts = counts.join(crowded, [by, *grid], "left").select(by, *grid, cut.alias(level), "_v", "_pos", "_neg")
+        grid.append(level)
+    cell = ", ".join(grid)
+    below = f"sum(_neg) over (partition by `{by}`, {cell} order by _v rows between unbounded preceding and 1 preceding)"
     cells = (
         counts.withColumn("_wins", F.expr(f"_pos * (coalesce({below}, 0L) + _neg / 2)"))
-        .groupBy(by, "_cell", "_cut")
+        .groupBy(by, *grid)
+        .agg(*[F.expr(f"sum({c}) as {c}") for c in ("_wins", "_pos", "_neg")])
+    )
+    # totals of fine cells are ordered inside their coarse cell first, so that this window is short too
+    order = f"sum(_neg) over (partition by `{by}`, _cell order by _cut, _cut2 rows between unbounded preceding and 1 preceding)"
+    whole = (
+        cells.withColumn("_wins", F.expr(f"_wins + cast(_pos as double) * coalesce({order}, 0L)"))
+        .groupBy(by, "_cell")
         .agg(*[F.expr(f"sum({c}) as {c}") for c in ("_wins", "_pos", "_neg")])
     )
-    before = f"sum(_neg) over (partition by `{by}` order by _cell, _cut rows between unbounded preceding and 1 preceding)"
+    before = f"sum(_neg) over (partition by `{by}` order by _cell rows between unbounded preceding and 1 preceding)"
     return (
-        cells.withColumn("_wins", F.expr(f"_wins + cast(_pos as double) * coalesce({before}, 0L)"))
+        whole.withColumn("_wins", F.expr(f"_wins + cast(_pos as double) * coalesce({before}, 0L)"))
         .groupBy(by)
         .agg(F.expr("sum(_pos) as positives"), F.expr("sum(_neg) as negatives"), F.expr("sum(_wins) as _wins"))
         .selectExpr(f"`{by}`", "positives", "negatives", "try_divide(_wins, cast(positives as double) * negatives) as auc")

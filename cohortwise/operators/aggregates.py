@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions.quantiles import exact_quantiles
-from cohortwise.operators.relational import melt_numeric, numeric_columns, share_of_total, union_all
+from cohortwise.operators.relational import melt_numeric, numeric_columns, share_of_total
 
-# A covariance keeps four numbers and a deviation three; generated code holds about a hundred.
-PAIRS_IN_AGGREGATE = 15
-MOST_AGGREGATES = 4
 PAIR_SCHEMA = "row string, column string, correlation double"
+PAIR_ARROW = pa.schema([("row", pa.string()), ("column", pa.string()), ("correlation", pa.float64())])
 
 
 def group_sum_numeric(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,7 +35,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """``describe`` with the quartiles, one row per numeric column."""
     names = list(columns or numeric_columns(df))
     quartiles = (
-        exact_quantiles(melt_numeric(df, names), "value", ["0.25", "0.5", "0.75"], by=["variable"], groups=len(names))
+        exact_quantiles(melt_numeric(df, names), "value", ["0.25", "0.5", "0.75"], by=["variable"])
         .groupBy("variable")
         .agg(*[F.max(F.when(F.col("position") == i, F.col("value"))).alias(n) for i, n in enumerate(("q_25", "median", "q_75"), 1)])
     )
@@ -81,44 +78,80 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
-def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pearson_matrix(df: DataFrame, columns: Sequence[str], limit: float | None = None) -> DataFrame:
     """row, column, correlation (absolute) for the pairs above the diagonal.
 
-    ``row`` is the earlier of the two names; rows with a null in any column are left out, and a
-    pair is null when one of its columns is constant. Up to ``PAIRS_IN_AGGREGATE`` pairs are one
-    aggregate, more of them a few such aggregates. Many pairs would need as many scans, so they
-    come from the covariance matrix that the ML library builds from whole row vectors.
+    ``row`` is the earlier of the two names; rows with a null or NaN in any column are left out,
+    and a pair is null when one of its columns is constant or no row is left. With ``limit`` only
+    pairs above it are made.
+
+    One scan whatever the number of columns: each task keeps counts, means and centred products of
+    all pairs (columns squared, 8 bytes each), these are merged by row of the matrix, and a row of
+    the matrix gives its pairs where it is merged. Nothing passes the driver.
     """
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    names = list(columns)
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    if len(pairs) > MOST_AGGREGATES * PAIRS_IN_AGGREGATE:
-        return _pearson_of_vectors(rows, columns, pairs)
-    parts = [pairs[i : i + PAIRS_IN_AGGREGATE] for i in range(0, len(pairs), PAIRS_IN_AGGREGATE)]
-    return union_all(*[_pearson_of_pairs(rows, part) for part in parts])
-
-
-def _pearson_of_pairs(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    place = {name: j for j, name in enumerate(dict.fromkeys(name for pair in pairs for name in pair))}
-    wide = rows.agg(
-        *[F.expr(f"stddev_pop(`{name}`) as s{j}") for name, j in place.items()],
-        *[F.expr(f"covar_pop(`{a}`, `{b}`) as p{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    stacked = ", ".join(
-        f"struct('{a}' as row, '{b}' as column, abs(try_divide(p{i}, s{place[a]} * s{place[b]})) as correlation)"
-        for i, (a, b) in enumerate(pairs)
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)]).na.drop()
+    size = len(names)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, product = 0, np.zeros(size), np.zeros((size, size))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            own = x.mean(axis=0)
+            centred = x - own
+            n, mean, product = _merged((n, mean, product), (len(x), own, centred.T @ centred))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(size), pa.int32()),
+                pa.array([n] * size, pa.int64()),
+                pa.array([mean.tobytes()] * size, pa.binary()),
+                pa.array([p.tobytes() for p in product], pa.binary()),
+                pa.array([np.diag(product).tobytes()] * size, pa.binary()),
+            ],
+            ["i", "n", "mean", "product", "own"],
+        )
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        i = key[0].as_py()
+        parts = [
+            (n, *(np.frombuffer(b) for b in blobs))
+            for n, *blobs in zip(*[table.column(c).to_pylist() for c in ("n", "mean", "product", "own")], strict=True)
+        ]
+        total = sum(p[0] for p in parts) or 1
+        mean = sum(p[0] * p[1] for p in parts) / total
+        away = [(n, m - mean) for n, m, _, _ in parts]
+        product = sum(p[2] for p in parts) + sum(n * d[i] * d for n, d in away)
+        own = sum(p[3] for p in parts) + sum(n * d * d for n, d in away)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.abs(product / np.sqrt(own[i] * own))[i + 1 :]
+        known = np.isfinite(value)
+        keep = np.ones(len(value), dtype=bool) if limit is None else known & (value > limit)
+        found = [float(v) if k else None for v, k in zip(value[keep], known[keep])]
+        others = [names[j] for j in np.flatnonzero(keep) + i + 1]
+        return pa.table({"row": [names[i]] * len(others), "column": others, "correlation": found}, PAIR_ARROW)
+
+    kept = "i int, n long, mean binary, product binary, own binary"
+    # a part without rows, so that every pair is there even if no task has any
+    zero = df.sparkSession.range(size).select(
+        F.col("id").cast("int").alias("i"),
+        F.lit(0).cast("long").alias("n"),
+        *[F.unhex(F.lit("00" * 8 * size)).alias(c) for c in ("mean", "product", "own")],
     )
-    return wide.selectExpr(f"inline(array({stacked}))")
+    return rows.mapInArrow(moments, kept).unionAll(zero).groupBy("i").applyInArrow(merge, PAIR_SCHEMA)
+
 
+Moments = tuple[int, np.ndarray, np.ndarray]
 
-def _pearson_of_vectors(rows: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(rows).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    place = {name: i for i, name in enumerate(columns)}
-    values = [(a, b, abs(float(matrix[place[a], place[b]]))) for a, b in pairs]
-    found = [(a, b, None if c != c else c) for a, b, c in values]
-    return rows.sparkSession.createDataFrame(found, PAIR_SCHEMA)
+
+def _merged(a: Moments, b: Moments) -> Moments:
+    """Count, mean and centred products of two parts together."""
+    n = a[0] + b[0]
+    away = b[1] - a[1]
+    return n, a[1] + away * (b[0] / n), a[2] + b[2] + np.outer(away, away) * (a[0] * b[0] / n)
 
 
 def join_strings(
@@ -139,16 +172,22 @@ def join_strings(
     )
 
 
-def collect_ordered(df: DataFrame, keys: Sequence[str], order: str, value: Column, periods: Sequence, name: str) -> DataFrame:
-    """Per key, the value of each listed period as an array in period order; gaps make no element.
+def collect_ordered(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, periods: Sequence | None = None
+) -> DataFrame:
+    """Per key, all its known values as an array, by period and then value; copies are kept.
 
-    One conditional aggregate per period: an array never holds more than ``len(periods)`` values,
-    whatever the number of rows of a key, and no list is gathered in the shuffle. Of several
-    values in one period the largest is kept.
+    Equal values of a period are counted first, so that what is gathered for a key is one entry for
+    each distinct value and not each row. With ``periods`` a row of another period is an error.
     """
-    slots = {f"_s{i}": F.max(F.when(F.col(order) == p, value)) for i, p in enumerate(sorted(periods))}
-    grouped = df.groupBy(*keys).agg(*[slot.alias(key) for key, slot in slots.items()])
-    return grouped.select(*keys, F.array_compact(F.array(*slots)).alias(name))
+    rows = df.select(*keys, F.col(order).alias("_p"), value.alias("_x"))
+    if periods is not None:
+        other = F.raise_error(F.concat(F.lit("period outside the list: "), F.col("_p").cast("string")))
+        rows = rows.filter(F.when(F.col("_p").isin(list(periods)), True).otherwise(other.cast("boolean")))
+    counts = rows.groupBy(*keys, "_p", "_x").agg(F.count("*").cast("int").alias("_n"))
+    known = F.when(F.col("_x").isNotNull(), F.struct("_p", "_x", "_n"))  # lists leave out nulls
+    lists = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(known)).alias("_l"))
+    return lists.select(*keys, F.flatten(F.transform("_l", lambda e: F.array_repeat(e["_x"], e["_n"]))).alias(name))
 
 
 def weighted_std(

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.functions.quantiles import MAX_BROADCAST_ROWS, exact_quantiles, has_few_groups
+from cohortwise.functions.quantiles import exact_quantiles
 from cohortwise.operators.relational import melt_numeric, null_out_sentinels, pivot_long_to_wide
 from cohortwise.plans.stability import assign_bucket, cut_columns, cut_points, index_term, percent_positions
 from cohortwise.plans.universe import default_rate
@@ -33,9 +32,7 @@ def median_by_cohort(df: DataFrame, variables: Sequence[str], cohort: str, speci
     """cohort, variable, q_25, median, q_75."""
     long = melt_numeric(null_out_sentinels(df, special_values or {}), variables, keep=[cohort])
     names, points, by = ("q_25", "median", "q_75"), ["0.25", "0.5", "0.75"], [cohort, "variable"]
-    cohorts = MAX_BROADCAST_ROWS // (len(points) * len(variables))
-    bound = cohorts * len(variables) if has_few_groups(df, [cohort], cohorts) else sys.maxsize
-    quartiles = exact_quantiles(long, "value", points, by=by, groups=bound)
+    quartiles = exact_quantiles(long, "value", points, by=by)
     slots = [F.max(F.when(F.col("position") == i, F.col("value"))).alias(name) for i, name in enumerate(names, 1)]
     return quartiles.groupBy(*by).agg(*slots)
 

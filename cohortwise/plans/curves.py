@@ -27,6 +27,7 @@ def weighted_mean_curve(
     return df.groupBy(*keys).agg(*sums).select(*keys, F.array(*points).alias("curve"))
 
 
+# The default bounds are those of the curve's specification.
 def monotone_clamped_curve(df: DataFrame, curve: str = "curve", lower: float = -2.0, upper: float = 1.5) -> DataFrame:
     """Replace ``curve`` by a non-falling one inside the bounds; the first point stays as it is.
 
@@ -82,7 +83,9 @@ def profile_fill(
 
     December has the year's own profile if there is one. The other months carry the last profile
     known at the end of the year before, and the first year has its own December throughout.
-    Where a client has several rows in a year the one with the largest ``order`` counts.
+    Where a client has several rows in a year the one with the largest ``order`` counts. Every
+    client of ``df`` gets all its months, null where nothing is known; rows outside the years add
+    nothing else.
 
     One aggregate with a slot per year replaces a client-month grid: a client costs one row in
     the shuffle, whatever the number of its rows.
@@ -95,9 +98,7 @@ def profile_fill(
             return F.max(F.when(here, F.col(profile)))
         return F.max_by(F.when(here, F.col(profile)), F.when(here, F.col(order)))
 
-    slots = df.filter(F.col(period).between(first_year * 100 + 12, last_year * 100 + 12)).groupBy(client).agg(
-        *[own(year).alias(f"_y{i}") for i, year in enumerate(years)]
-    )
+    slots = df.groupBy(client).agg(*[own(year).alias(f"_y{i}") for i, year in enumerate(years)])
 
     def known(i: int) -> Column:
         return F.coalesce(*[F.col(f"_y{j}") for j in range(i, -1, -1)])

@@ -21,8 +21,6 @@ from cohortwise.operators.relational import (
 )
 from cohortwise.sources.readers import persist_stage
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
 
 def candidates(df: DataFrame, variables: Sequence[str], target: str, black_list: Sequence[str] = ()) -> list[str]:
     """The numeric variables that are neither the target nor black-listed."""
@@ -32,7 +30,7 @@ def candidates(df: DataFrame, variables: Sequence[str], target: str, black_list:
 
 def correlated_pairs(df: DataFrame, variables: Sequence[str], limit: float) -> DataFrame:
     """row, column, correlation for pairs whose absolute correlation is above the limit."""
-    return threshold_rank(pearson_matrix(df, variables), "correlation", limit)
+    return threshold_rank(pearson_matrix(df, variables, limit), "correlation", limit)
 
 
 def pair_members(pairs: DataFrame) -> DataFrame:
@@ -64,12 +62,13 @@ def univariate_gini(
 
 
 def _logistic_gini(df: DataFrame, variables: Sequence[str], target: str) -> DataFrame:
+    """One fit per variable, all from one persisted table."""
     rows = []
-    for name in variables:
-        data = df.select(F.col(name).cast("double").alias(name), F.col(target).cast("double").alias("label")).na.drop()
-        data = VectorAssembler(inputCols=[name], outputCol="features").transform(data)
-        auc = float(LogisticRegression(maxIter=10).fit(data).summary.areaUnderROC)
-        rows.append((name, abs(2 * auc - 1), "u" if auc < 0.5 else "d"))
+    with working_table(df.select(*[F.col(v).cast("double").alias(v) for v in variables], F.col(target).cast("double").alias("label"))) as table:
+        for name in variables:
+            data = VectorAssembler(inputCols=[name], outputCol="features").transform(table.select(name, "label").na.drop())
+            auc = float(LogisticRegression(maxIter=10).fit(data).summary.areaUnderROC)
+            rows.append((name, abs(2 * auc - 1), "u" if auc < 0.5 else "d"))
     return df.sparkSession.createDataFrame(rows, "variable string, gini double, direction string")
 
 
@@ -107,7 +106,7 @@ def variability(
         sketch = quantiles_approx(long, "value", [float(p) for p in points], ["variable"], accuracy)
         wide = sketch.select("variable", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
     else:
-        exact = exact_quantiles(long, "value", points, by=["variable"], groups=len(variables))
+        exact = exact_quantiles(long, "value", points, by=["variable"])
         slots = [F.max(F.when(F.col("position") == i, F.col("value"))).alias(name) for i, name in enumerate(names, 1)]
         wide = exact.groupBy("variable").agg(*slots)
     wide = wide.withColumn("iqr", F.col("q_75") - F.col("q_25"))
@@ -139,20 +138,14 @@ def _fit_forest(table: DataFrame, variables: Sequence[str], num_trees: int, max_
 
 
 @contextmanager
-def working_table(df: DataFrame, keep: bool = False) -> Iterator[DataFrame]:
-    """A table that is about to be read several times.
+def working_table(df: DataFrame) -> Iterator[DataFrame]:
+    """A table that is about to be read several times: dealt out evenly over the cores and persisted.
 
-    One whose estimated size would not keep the cores busy is spread over them and persisted. A
-    larger one keeps its partitions and is persisted only with ``keep``: a forest, for instance,
-    already persists a compact copy of its own.
+    One layout at every size, since a forest samples by partition. The dealing is by position, not
+    by a key, so equal rows don't meet in one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * SPLIT_BYTES
-    if small or keep:
-        with persist_stage(df.repartition(cores, *df.columns) if small else df) as kept:
-            yield kept
-    else:
-        yield df
+    with persist_stage(df.repartition(df.sparkSession.sparkContext.defaultParallelism)) as kept:
+        yield kept
 
 
 def low_importance_list(table: DataFrame, k: int, metric: str = "importance") -> DataFrame:
@@ -213,7 +206,7 @@ def select_features(
     """
     names = candidates(df, variables, target, black_list)
     spark = df.sparkSession
-    with working_table(df.select(*names, target), keep=True) as table:
+    with working_table(df.select(*names, target)) as table:
         pairs = _settle(correlated_pairs(table, names, lim_corr))
         gini = _settle(univariate_gini(table, names, target, only=pair_members(pairs)))
         spread = _settle(variability(table, names, special_values))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
-MAX_QUERIES = 1000
+QUERIES_PER_PASS = 1000
 
 
 def query_vs_candidates(
@@ -41,8 +43,8 @@ def top_k_similar(
 ) -> DataFrame:
     """The query row (rank 0) and its ``k`` nearest rows among ``pool``, ties in id order.
 
-    Rows that carry the query's own name are not candidates. With an unknown name or fewer than
-    ``k`` candidates the answer is empty.
+    Rows that carry the query's own name are not candidates. A small pool gives what it has; an
+    unknown name gives nothing.
     """
     query = F.col(name) == F.lit(query_name)
     near = query_vs_candidates(df, features, id_column, query, pool & (F.col(name) != F.lit(query_name)), extra)
@@ -52,29 +54,38 @@ def top_k_similar(
     ranked = best.select(
         (F.row_number().over(whole.orderBy(*order)) - 1).alias("rank"),
         id_column, *extra, "distance",
-        F.count("*").over(whole).alias("_found"),
         F.bool_or("is_query").over(whole).alias("_known"),
     )
-    return ranked.filter((F.col("_found") > k) & F.col("_known")).drop("_found", "_known")
+    return ranked.filter("_known").drop("_known")
 
 
 def top_k_similar_batch(
-    df: DataFrame, vector: Column, id_column: str, query_ids: Sequence[int], pool: Column, k: int = 10
+    df: DataFrame, vector: Column, id_column: str, query_ids: Sequence, pool: Column, k: int = 10
 ) -> DataFrame:
-    """query_id, rank, id, distance for a list of at most ``MAX_QUERIES`` query rows.
+    """query_id, rank, id, distance for a list of query rows: each query row (rank 0) and its ``k`` nearest.
 
-    The list is bounded, so its vectors travel with the tasks. Each task keeps its ``k`` nearest
-    rows per query and only those are shuffled; no pair table is made.
+    The rules are those of ``top_k_similar``: ties in id order, the query's own id is no candidate, a
+    small pool gives what it has, an unknown id nothing. Ids may be of any type that can be ordered.
+    The list is worked on in blocks of ``QUERIES_PER_PASS``, whose vectors travel with the tasks; each
+    task keeps its ``k`` nearest rows per query and only those are shuffled; no pair table is made.
     """
-    if len(query_ids) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per call")
-    queries = df.filter(F.col(id_column).isin(list(query_ids))).select(id_column, vector.cast("array<double>")).collect()
-    ids, vectors = [row[0] for row in queries], [row[1] for row in queries]
+    wanted = list(dict.fromkeys(query_ids))
+    blocks = [wanted[i : i + QUERIES_PER_PASS] for i in range(0, len(wanted), QUERIES_PER_PASS)] or [[]]
+    near = [_nearest(df, vector, id_column, block, pool, k) for block in blocks]
+    return reduce(DataFrame.unionAll, near)
+
+
+def _nearest(df: DataFrame, vector: Column, id_column: str, query_ids: Sequence, pool: Column, k: int) -> DataFrame:
+    """One block of queries against the pool."""
+    id_type = df.schema[id_column].dataType
+    queries = df.filter(F.col(id_column).isin(list(query_ids))).select(id_column, vector.cast("array<double>"))
+    found = queries.dropDuplicates([id_column]).collect()  # at most QUERIES_PER_PASS rows
+    ids, vectors = [row[0] for row in found], [row[1] for row in found]
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        wanted = np.array(vectors, dtype="float64")
+        targets = np.array(vectors, dtype="float64")
         best = None
         for batch in batches:
             if batch.empty or not ids:
@@ -82,7 +93,7 @@ def top_k_similar_batch(
             points = np.stack(batch["v"].to_numpy()).astype("float64")
             own = batch["id"].to_numpy()
             parts = [] if best is None else [best]
-            for query_id, target in zip(ids, wanted):
+            for query_id, target in zip(ids, targets):
                 distance = np.sqrt(((points - target) ** 2).sum(axis=1))
                 distance[own == query_id] = np.inf
                 order = np.lexsort((own, distance))[:k]
@@ -92,8 +103,15 @@ def top_k_similar_batch(
         if best is not None:
             yield best[["query_id", "id", "distance"]]
 
-    near = df.filter(pool).select(F.col(id_column).alias("id"), vector.cast("array<double>").alias("v"))
-    local = near.mapInPandas(nearest, "query_id bigint, id bigint, distance double")
+    rows = df.filter(pool).filter(F.col(id_column).isNotNull())
+    schema = StructType([StructField("query_id", id_type), StructField("id", id_type), StructField("distance", DoubleType())])
+    local = rows.select(F.col(id_column).alias("id"), vector.cast("array<double>").alias("v")).filter("v is not null")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_column), "distance")
+    ranked = local.mapInPandas(nearest, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    itself = df.sparkSession.createDataFrame([(i, 0, i, 0.0) for i in ids], _with_rank(id_type, id_column))
+    return ranked.select("query_id", "rank", F.col("id").alias(id_column), "distance").unionAll(itself)
+
+
+def _with_rank(id_type: DataType, id_column: str) -> StructType:
+    fields = [("query_id", id_type), ("rank", IntegerType()), (id_column, id_type), ("distance", DoubleType())]
+    return StructType([StructField(name, kind) for name, kind in fields])

@@ -26,7 +26,7 @@ def percent_positions(n: int) -> list[str]:
 
 def cut_points(long: DataFrame, n: int, variables: Sequence[str]) -> DataFrame:
     """variable, position, value: the exact quantiles of a melted table at ``n`` equal parts."""
-    return exact_quantiles(long, "value", percent_positions(n), by=["variable"], groups=len(variables))
+    return exact_quantiles(long, "value", percent_positions(n), by=["variable"])
 
 
 def cut_columns(cuts: DataFrame, n: int, unique: bool = True) -> DataFrame:

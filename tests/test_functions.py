@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -129,17 +130,15 @@ VALUES = st.one_of(
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(VALUES, min_size=1, max_size=60), st.sampled_from([1, 3, 10**6]), st.booleans())
-def test_exact_quantiles_match_brute_force(spark, values, rows_per_cell, small):
+@given(st.lists(VALUES, min_size=1, max_size=60), st.sampled_from([1, 3, 10**6]))
+def test_exact_quantiles_match_brute_force(spark, values, rows_per_cell):
     before = quantiles.ROWS_PER_CELL, quantiles.FINE_CELLS
     quantiles.ROWS_PER_CELL, quantiles.FINE_CELLS = rows_per_cell, 4
     try:
         groups = {"a": values, "b": values[: len(values) // 2 + 1]}
         df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
         points = [0, 7, 25, 50, 60, 100]
-        found = quantiles.exact_quantiles(
-            df, "v", [str(p / 100) for p in points], ["g"], groups=2 if small else 10**9
-        ).collect()
+        found = quantiles.exact_quantiles(df, "v", [str(p / 100) for p in points], ["g"]).collect()
     finally:
         quantiles.ROWS_PER_CELL, quantiles.FINE_CELLS = before
     expected = {(g, i): brute_quantile(vs, p) for g, vs in groups.items() for i, p in enumerate(points, 1)}
@@ -155,6 +154,37 @@ def test_quantiles_of_a_hot_value_and_nulls(spark):
     assert [r.value for r in found.orderBy("position").collect()] == [brute_quantile(known, p) for p in (10, 50, 100)]
 
 
+SHAPES = {
+    "log_uniform": "pow(10D, -12 + 10 * rand(3))",
+    "one_outlier": "case when id = 7 then 1.04e9 else 1e9 + rand(4) end",
+    "shifted": "1e9 + 1e-4 * rand(5)",
+    "signed": "(rand(6) - 0.5) * pow(10D, 300 * rand(7))",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_hot_cells_are_split(spark, monkeypatch, shape):
+    """Values that crowd into few cells stay exact, and no ordered window outgrows the bound."""
+    monkeypatch.setattr(quantiles, "ROWS_PER_CELL", 500)
+    df = spark.range(40_000).selectExpr(f"{SHAPES[shape]} as v", "cast(rand(9) < 0.4 as int) as t", "'x' as k").persist()
+    values = sorted(r.v for r in df.collect())
+    found = quantiles.exact_quantiles(df, "v", ["0.01", "0.5", "0.9"])
+    assert [r.value for r in found.orderBy("position").collect()] == [brute_quantile(values, p) for p in (1, 50, 90)]
+    cells = df.selectExpr(f"{quantiles.coarse_cell('v')} as c", "v")
+    grid = "c"
+    for level in ("f1", "f2"):
+        edges = cells.selectExpr("*", f"min(v) over (partition by {grid}) as lo", f"max(v) over (partition by {grid}) as hi")
+        cells = edges.selectExpr(*grid.split(", "), "v", f"{quantiles.fine_cell('v', 'lo', 'hi', str(quantiles.FINE_CELLS))} as {level}")
+        grid += f", {level}"
+    assert cells.groupBy(*grid.split(", ")).count().agg({"count": "max"}).first()[0] <= 500
+    rows = df.collect()
+    auc = quantiles.rank_auc(df, "k", "v", "t").first().auc
+    bads, goods = sorted(r.v for r in rows if r.t), sorted(r.v for r in rows if not r.t)
+    wins = sum((bisect_left(goods, b) + bisect_right(goods, b)) / 2 for b in bads)
+    assert auc == pytest.approx(wins / (len(bads) * len(goods)), abs=1e-12)
+    df.unpersist()
+
+
 def test_quantiles_without_rows(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert quantiles.exact_quantiles(empty, "v", ["0.5"], ["g"]).isEmpty()

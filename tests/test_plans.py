@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,16 +202,36 @@ def test_one_column_has_no_pairs(model):
     assert report["pairs"].isEmpty() and report["matrix"].first().low_importance == 1
 
 
-def test_many_pairs_agree_with_few(model, monkeypatch):
-    names = ["a", "b", "c", "flat"]
-    few = {(r.row, r.column): r.correlation for r in aggregates.pearson_matrix(model, names).collect()}
-    monkeypatch.setattr(aggregates, "PAIRS_IN_AGGREGATE", 2)
-    for most in (4, 1):  # three small aggregates, then row vectors
-        monkeypatch.setattr(aggregates, "MOST_AGGREGATES", most)
-        many = {(r.row, r.column): r.correlation for r in aggregates.pearson_matrix(model, names).collect()}
-        assert few.keys() == many.keys()
-        assert all(few[p] == pytest.approx(many[p], abs=1e-9) if few[p] is not None else many[p] is None for p in few)
-    assert few[("a", "flat")] is None
+@pytest.mark.parametrize("width", [7, 11, 12, 60])
+def test_correlations_are_one_algorithm(spark, width):
+    """Any number of columns: equal to a plain calculation, from one scan."""
+    rng = np.random.default_rng(width)
+    x = rng.normal(1e6, 1, (300, width))
+    x[:, 1] = x[:, 0] + rng.normal(0, 0.1, 300)
+    x[:, 2] = 5.0
+    names = [f"v{i}" for i in range(width)]
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names)).repartition(5)
+    table = aggregates.pearson_matrix(df, names)
+    assert len(re.findall(r"\bScan ", table._jdf.queryExecution().executedPlan().toString())) == 1
+    found = {(r.row, r.column): r.correlation for r in table.collect()}
+    with np.errstate(all="ignore"):
+        wanted = np.abs(np.corrcoef(x.T))
+    assert len(found) == width * (width - 1) // 2
+    for (a, b), value in found.items():
+        i, j = names.index(a), names.index(b)
+        assert i < j and (value is None if 2 in (i, j) else value == pytest.approx(wanted[i, j], abs=1e-6))
+    strong = aggregates.pearson_matrix(df, names, 0.9).collect()
+    assert [(r.row, r.column) for r in strong] == [("v0", "v1")]
+
+
+@pytest.mark.parametrize("width", [11, 12])
+def test_correlations_without_complete_rows(spark, width):
+    names = [f"v{i}" for i in range(width)]
+    rows = [tuple([None] + [float(i * k) for k in range(1, width)]) for i in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    found = aggregates.pearson_matrix(df, names).collect()
+    assert len(found) == width * (width - 1) // 2 and all(r.correlation is None for r in found)
+    assert aggregates.pearson_matrix(df.limit(0), names).count() == len(found)
 
 
 def test_rank_gini_is_close_to_logistic(model):
@@ -257,38 +279,24 @@ def test_select_features_releases_its_table(spark, model):
 # --- curves and profiles ---------------------------------------------------------------------
 
 
-def brute_curve(points):
-    out, corrected, clamped = [], None, None
-    for i, x in enumerate(points):
-        if i:
-            if (x or 0) < (out[-1] or 0):
-                x = max(v for v in (out[-1], x) if v is not None)
-                corrected = "S"
-            if (x or 0) > 1.5:
-                x, clamped = 1.5, "S"
-            if x is not None and x < -2:
-                x, clamped = -2.0, "I"
-        out.append(x)
-    return out, corrected, clamped
-
-
-@pytest.mark.parametrize(
-    "points",
-    [
-        [0.1, 0.3, 0.2, 0.5],
-        [-3.0, -2.5, 0.5, 2.0, 1.0],
-        [1.9, 1.0, 0.2],
-        [None, None, -1.0, 0.2],
-        [0.4, None, None, 0.6],
-        [-1.0, None, -0.5, None],
-        [None, -2.5, None, 1.6],
-        [0.5],
-    ],
-)
-def test_curve_matches_its_rules(spark, points):
+# Worked out by hand: points, corrected points, whether one was raised (S), the last bound met (S upper, I lower).
+CURVES = [
+    ([0.1, 0.3, 0.2, 0.5], [0.1, 0.3, 0.3, 0.5], "S", None),  # the dip takes the point before it
+    ([-3.0, -2.5, 0.5, 2.0, 1.0], [-3.0, -2.0, 0.5, 1.5, 1.5], "S", "S"),  # the first point is free of bounds
+    ([1.9, 1.0, 0.2], [1.9, 1.5, 1.5], "S", "S"),  # raised to 1.9, held at 1.5, then raised to 1.5
+    ([None, None, -1.0, 0.2], [None, None, -1.0, 0.2], "S", None),  # below an unknown point, nothing to raise it to
+    ([0.4, None, None, 0.6], [0.4, 0.4, 0.4, 0.6], "S", None),
+    ([-1.0, None, -0.5, None], [-1.0, None, -0.5, None], "S", None),  # -0.5 is below zero, which an unknown stands for
+    ([None, -2.5, None, 1.6], [None, -2.0, None, 1.5], "S", "S"),
+    ([0.5], [0.5], None, None),
+]
+
+
+@pytest.mark.parametrize("points, wanted, corrected, clamped", CURVES)
+def test_curve_matches_its_rules(spark, points, wanted, corrected, clamped):
     df = spark.createDataFrame([(points,)], "curve array<double>")
     row = curves.monotone_clamped_curve(df).first()
-    assert (row.curve, row.corrected, row.clamped) == brute_curve(points)
+    assert (row.curve, row.corrected, row.clamped) == (wanted, corrected, clamped)
 
 
 def test_mean_curve_without_weight_is_null(spark):
@@ -327,10 +335,23 @@ def test_profile_fill(spark):
     assert found == {c: brute_profile(ys, 2005, 2007) for c, ys in clients.items()}
 
 
-def test_collect_ordered_skips_gaps(spark):
-    df = spark.createDataFrame([("a", 3, "z"), ("a", 1, "x"), ("a", 1, "w"), ("b", 9, "n")], "k string, p int, v string")
-    rows = {r.k: r.vs for r in aggregates.collect_ordered(df, ["k"], "p", F.col("v"), [1, 2, 3], "vs").collect()}
-    assert rows == {"a": ["x", "z"], "b": []}
+def test_profile_fill_keeps_every_client(spark):
+    rows = [("before", 200412, "a"), ("midyear", 200503, "b"), ("known", 200512, "c")]
+    df = spark.createDataFrame(rows, "client string, period int, profile string")
+    found = curves.profile_fill(df, "client", "period", "profile", 2005, 2006).collect()
+    assert len(found) == 3 * 24
+    assert {r.client for r in found if r.profile is None} == {"before", "midyear"}
+    assert {r.profile for r in found if r.client == "known"} == {"c"}
+
+
+def test_collect_ordered_keeps_every_value(spark):
+    rows = [("a", 3, "z"), ("a", 1, "x"), ("a", 1, "w"), ("a", 1, "w"), ("b", 9, None), ("a", 20, "y")]
+    df = spark.createDataFrame(rows, "k string, p int, v string")
+    found = {r.k: r.vs for r in aggregates.collect_ordered(df, ["k"], "p", F.col("v"), "vs").collect()}
+    assert found == {"a": ["w", "w", "x", "z", "y"], "b": []}
+    assert aggregates.collect_ordered(df, ["k"], "p", F.col("v"), "vs", [1, 3, 9, 20]).count() == 2
+    with pytest.raises(Exception, match="period outside the list: 20"):
+        aggregates.collect_ordered(df, ["k"], "p", F.col("v"), "vs", [1, 3, 9]).collect()
 
 
 # --- structural break ------------------------------------------------------------------------
@@ -385,18 +406,29 @@ def test_nearest_players(players):
     assert [r.distance for r in found[1:]] == pytest.approx([d for d, _ in expected])
 
 
-def test_too_few_candidates_give_nothing(players):
+def test_small_pools_give_what_they_have(players):
     features = [F.col("a"), F.col("b")]
-    assert similarity.top_k_similar(players, features, "id", "name", "p0", F.col("a") > 36, k=5).isEmpty()
+    few = similarity.top_k_similar(players, features, "id", "name", "p0", F.col("a") > 36, k=5).orderBy("rank").collect()
+    pool = players.filter("a > 36 and name <> 'p0'").count()
+    assert 0 < pool < 5 and [r.rank for r in few] == list(range(pool + 1))
     assert similarity.top_k_similar(players, features, "id", "name", "nobody", F.lit(True), k=5).isEmpty()
 
 
 def test_batch_agrees_with_single(players):
     features = [F.col("a"), F.col("b")]
-    batch = similarity.top_k_similar_batch(players.repartition(5), F.array("a", "b"), "id", [3, 20], F.lit(True), k=4)
-    found = {(r.query_id, r.rank): r.id for r in batch.collect()}
-    for query in (3, 20):
-        single = similarity.top_k_similar(players, features, "id", "id", query, F.lit(True), k=4).filter("rank > 0")
-        assert {(query, r.rank): r.id for r in single.collect()} == {k: v for k, v in found.items() if k[0] == query}
-    with pytest.raises(ValueError):
-        similarity.top_k_similar_batch(players, F.array("a"), "id", list(range(1001)), F.lit(True))
+    for pool, k in ((F.lit(True), 4), (F.col("a") > 36, 5)):
+        batch = similarity.top_k_similar_batch(players.repartition(5), F.array("a", "b"), "id", [3, 20, -1], pool, k=k)
+        found = {(r.query_id, r.rank): r.id for r in batch.collect()}
+        assert {q for q, _ in found} == {3, 20}
+        for query in (3, 20):
+            single = similarity.top_k_similar(players, features, "id", "id", query, pool, k=k)
+            assert {(query, r.rank): r.id for r in single.collect()} == {p: v for p, v in found.items() if p[0] == query}
+
+
+def test_batches_of_any_number_and_id_type(players, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERIES_PER_PASS", 10)
+    ids = [r.id for r in players.select("id").collect()]
+    batch = similarity.top_k_similar_batch(players, F.array("a", "b"), "id", [*ids, *range(10_000, 11_001)][:1001], F.lit(True), k=1)
+    assert sorted(r.query_id for r in batch.filter("rank = 0").collect()) == sorted(ids)
+    named = similarity.top_k_similar_batch(players, F.array("a", "b"), "name", ["p0", "p3"], F.lit(True), k=2)
+    assert {(r.query_id, r.rank) for r in named.collect()} == {(q, k) for q in ("p0", "p3") for k in range(3)}
