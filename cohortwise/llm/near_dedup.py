@@ -6,13 +6,13 @@ of BASE: maxima of two sketches, register by register, are the sketch of the uni
 sets agree about as often as their Jaccard similarity, which makes bands of them locality-sensitive.
 
 1. Documents with equal sets form a class; one row stands for it.
-2. Classes that agree in all ROWS registers of a band share a bucket. Each member is paired with
-   the bucket's smallest (its hub); nothing is paired with everything.
+2. Classes that agree in all ROWS registers of a band share a bucket. Each class is paired with two
+   hubs (smallest members) of its buckets; nothing is paired with everything.
 3. Pairs whose similarity, estimated jointly from the two sketches and sizes by maximum likelihood,
    is far below the threshold are left aside; the others are verified on the whole sets.
 4. Verified links make components. Buckets that still hold several components are looked at again:
    members of different components are compared by their sketches, large buckets in blocks, and
-   pairs that may be similar are verified. So no pair in a bucket is lost to a hub.
+   pairs that may be similar are verified in place. So no pair in a bucket is lost to a hub.
 
 A pair at the threshold shares no bucket once in a million, more similar ones far more rarely.
 
@@ -42,7 +42,7 @@ BASE = 1.001
 RATE = 20.0
 TOP = 65534
 MARGIN = 0.15
-BLOCK = 1024
+BLOCK = 512
 
 _SALTS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = mix(_SALTS) | np.uint64(1)
@@ -155,6 +155,16 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(found.dropDuplicates(["node", "copy"]).select("node", "text"), "texts")
 
 
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s):
+        return False
+    shared = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets reach the threshold."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -167,20 +177,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 a = distinct_shingles(*text_buffer(part.column("text_a")))
                 coded = part.column("text_b").dictionary_encode()
                 b = distinct_shingles(*text_buffer(coded.dictionary))
-                keep = []
-                for s, k in zip(a, coded.indices.to_pylist(), strict=True):
-                    t = b[k]
-                    shared = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(len(s) > 0 and len(t) > 0 and 100 * shared >= percent * (len(s) + len(t) - shared))
+                keep = [similar(s, b[k], percent) for s, k in zip(a, coded.indices.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a bucket and between components that their sketches leave possible.
+def _links_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between components within a bucket: enough of them to join all components that a link joins.
 
-    A bucket of many members is cut into blocks of about BLOCK, and each pair of blocks is one group.
+    Sketches rule most pairs out; the others are verified on the whole sets there and then, so that
+    only links leave a group. A bucket of many members is cut into blocks of about BLOCK, and each
+    pair of blocks is one group.
     """
     floor = percent / 100 - MARGIN
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -191,26 +199,39 @@ def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         r = _matrix(table.column("registers").combine_chunks())
-        node, n, root, hub, mine, high, low = (table.column(c).to_numpy() for c in ("node", "n", "root", "hub", "own", "high", "low"))
-        found: list[np.ndarray] = []
+        sets = distinct_shingles(*text_buffer(table.column("text").combine_chunks()))
+        node, n, root, mine, low, high = (table.column(c).to_numpy() for c in ("node", "n", "root", "own", "low", "high"))
+        root, found = root.copy(), []
         for i in range(len(node) - 1):
             rest = np.arange(i + 1, len(node))
-            apart = root[rest] != root[i]
+            apart = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
             if low[0] != high[0]:
                 apart &= mine[rest] != mine[i]  # pairs inside one block belong to that block's own group
-            apart &= (node[rest] != hub[rest]) & (node[i] != hub[i])  # pairs with the hub are verified already
-            apart &= 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
             rest = rest[apart]
-            if len(rest):
-                one = np.repeat(r[i : i + 1], len(rest), axis=0)
-                rest = rest[estimate(one, r[rest], np.full(len(rest), float(n[i])), n[rest].astype(float)) >= floor]
-                found += [np.stack([np.maximum(node[rest], node[i]), np.minimum(node[rest], node[i])])]
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            if not len(rest):
+                continue
+            one = np.repeat(r[i : i + 1], len(rest), axis=0)
+            near = estimate(one, r[rest], np.full(len(rest), float(n[i])), n[rest].astype(float))
+            for k in rest[near >= floor][np.argsort(-near[near >= floor], kind="stable")].tolist():
+                if root[k] != root[i] and similar(sets[i], sets[k], percent):
+                    found.append((int(node[i]), int(node[k])))
+                    root[root == root[k]] = root[i]
+        a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return spread.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (bucket, node, root) of buckets with several components; of equal buckets only one."""
+    tied = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    buckets = tied.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("content")
+    )
+    mixed = buckets.where("low < high").groupBy("size", "content", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return tied.join(mixed, "bucket").select("bucket", "node", "root")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Components of documents linked by 100 * shared >= percent * union.
 
@@ -231,19 +252,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     sketch = nodes.select("node", "n", "registers")
     left, right = sketch.toDF("a", "n_a", "r_a"), sketch.toDF("b", "n_b", "r_b")
-    hub_pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    # each class goes to the hubs with which it shares most bands
+    shared = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
+    best = shared.groupBy("node").agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("most"), F.min("hub").alias("least"))
+    hub_pairs = best.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
     near = hub_pairs.join(left, "a").join(right, "b").where(_sizes_fit(percent))
     pairs = settle(near.where(_close_enough(percent)("r_a", "r_b", "n_a", "n_b")).select("a", "b"), "pairs")
     links = settle(_verified(pairs, _texts(docs, pairs), percent), "verified")
 
     roots = components(links)
-    tied = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = tied.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_rows = tied.join(mixed, "bucket").join(sketch, "node").select("bucket", "node", "hub", "root", "n", "registers")
-    more = settle(_pairs_across(open_rows, percent), "pairs")
-    if not more.isEmpty():
-        links = links.unionAll(_verified(more, _texts(docs, more), percent))
-        roots = components(links)
+    mixed = settle(_mixed(members, roots), "mixed")
+    if not mixed.isEmpty():
+        texts = _texts(docs, mixed.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        more = settle(_links_across(mixed.join(sketch, "node").join(texts, "node"), percent), "verified")
+        if not more.isEmpty():
+            roots = components(links.unionAll(more))
 
     classes = nodes.select("mark", "mark2", "node").join(roots, "node", "left")
     labelled = classes.select("mark", "mark2", F.coalesce("root", "node").alias("root"))
