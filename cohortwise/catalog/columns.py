@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -389,7 +391,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
               round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date").cast("string"))
-    before, after = relational.split_at_threshold(orders, "day", "1998-01-01")
-    both = relational.union_all(before.withColumn("side", F.lit("before")), after.withColumn("side", F.lit("after")))
-    return both.groupBy("side").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    orders = table(spark, sf, "orders")
+    threshold = orders.schema["o_orderdate"].dataType.typeName()
+    side = relational.side_of("o_orderdate", date(1998, 1, 1) if threshold == "date" else datetime(1998, 1, 1))
+    sides = orders.withColumn("side", side).filter("side is not null").groupBy("side")
+    return sides.agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))

@@ -5,10 +5,12 @@ Text sources are first written by Spark from a given table, so that they grow wi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.catalog.registry import query, table
+from cohortwise.catalog.registry import ROW_KEYS, query, table
 from cohortwise.functions.scalars import yyyymm
 from cohortwise.session import scratch_dir
 from cohortwise.sources import readers, writers
@@ -174,23 +176,45 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return spark.createDataFrame(readers.preview(orders, 10), orders.schema)
+
+
+_HALF = 1.96 * math.sqrt(1 - 0.1) / 0.1
+
+
+@query(
+    "count_approx",
+    "S15",
+    f"""WITH k AS (SELECT count(*) AS kept FROM lineitem WHERE ('0x' || substr(md5({" || '-' || ".join(ROW_KEYS)} || '-7'), 1, 8))::BIGINT
+          / 4294967296.0 < 0.1)
+        SELECT round(kept / 0.1)::BIGINT AS estimate, floor(greatest(0.0, kept / 0.1 - {_HALF!r} * sqrt(kept)))::BIGINT AS lower,
+               ceil(kept / 0.1 + {_HALF!r} * sqrt(kept))::BIGINT AS upper FROM k""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.count_approx(table(spark, sf, "lineitem"), 0.1, 7, ROW_KEYS)
 
 
-@query("count_approx", "S15")
+@query("is_empty", "S15", "SELECT 'orders' AS name, (SELECT count(*) FROM orders) = 0 AS empty UNION ALL SELECT 'future orders', (SELECT count(*) FROM orders WHERE o_orderdate > '2999-01-01') = 0")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.count_approx(table(spark, sf, "lineitem"), 0.1, seed=7)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    tables = {"orders": orders, "future orders": orders.filter("o_orderdate > '2999-01-01'")}
+    return spark.createDataFrame([(name, readers.is_empty(df)) for name, df in tables.items()], "name string, empty boolean")
 
 
 @query(
     "persist_stage",
     "S13",
-    "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders WHERE o_orderstatus = 'F'",
+    """SELECT 'amount' AS analysis, o_orderpriority AS key, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 2
+       UNION ALL SELECT 'orders', year(o_orderdate)::VARCHAR, count(*)::DOUBLE FROM orders WHERE o_orderstatus = 'F' GROUP BY 2""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Two analyses of one kept table; their results are settled before it is released."""
     done = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F")
     with readers.persist_stage(done) as stage:
         if readers.is_empty(stage):
             raise ValueError("no finished orders")
-        return stage.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+        amount = stage.groupBy(F.col("o_orderpriority").alias("key")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+        orders = stage.groupBy(F.year("o_orderdate").cast("string").alias("key")).agg(F.count("*").cast("double").alias("value"))
+        named = [df.select(F.lit(name).alias("analysis"), "key", "value") for name, df in (("amount", amount), ("orders", orders))]
+        return readers.settled(named[0].unionAll(named[1]))

@@ -193,8 +193,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "psi_by_cohort",
     "U16",
     f"""WITH {PSI_SQL} SELECT c.variable, c.cohort, round(sum(CASE WHEN c.proportion > 0 AND b.proportion > 0 THEN
-          (c.proportion - b.proportion) * ln(c.proportion / b.proportion) END), 8) AS psi
-        FROM psi c LEFT JOIN psi b ON b.cohort = 199501 AND b.variable = c.variable AND b.bucket = c.bucket GROUP BY ALL""",
+          (c.proportion - b.proportion) * ln(c.proportion / b.proportion) END), 8) AS psi,
+          count(*) FILTER (c.proportion > 0) - 2 * count(*) FILTER (c.proportion > 0 AND b.proportion > 0)
+            + coalesce(max(k.n), 0) AS skipped
+        FROM psi c LEFT JOIN psi b ON b.cohort = 199501 AND b.variable = c.variable AND b.bucket = c.bucket
+          LEFT JOIN (SELECT variable, count(*) AS n FROM psi WHERE cohort = 199501 AND proportion > 0 GROUP BY 1) k ON k.variable = c.variable
+        GROUP BY c.variable, c.cohort""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return stability.psi_by_cohort(_psi(spark, sf), "cohort", BASE).withColumn("psi", F.round("psi", 8))
@@ -250,7 +254,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "category_pivot",
     "G3",
     f"""WITH {CATEGORY_SQL} SELECT cohort, variable, count(*) FILTER (category = 'F') AS "freq_F",
-        count(*) FILTER (category = 'O') AS "freq_O" FROM cats WHERE variable = 'segment' GROUP BY ALL""",
+        count(*) FILTER (category = 'O') AS "freq_O", 0::BIGINT AS "freq_other" FROM cats WHERE variable = 'segment' GROUP BY ALL""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     frequencies = charts.category_frequency_by_cohort(score(spark, sf), ["segment"], "cohort")

@@ -61,8 +61,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     counts = score(spark, sf).groupBy("cohort", "l_discount").agg(F.count("*").alias("freq"))
-    shares = relational.share_within(counts, ["cohort"], "freq")
-    return shares.select("cohort", "l_discount", "freq", F.round(F.col("freq") / F.col("proportion")).cast("bigint").alias("total"))
+    return relational.share_within(counts, ["cohort"], "freq", total="total").select("cohort", "l_discount", "freq", "total")
 
 
 # --- aggregates ------------------------------------------------------------------------------
@@ -211,11 +210,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return five.toDF("variable", "q_0", "q_25", "median", "q_75", "q_100")
 
 
-@query("quantiles_approx", "A12")
+@query(
+    "quantiles_approx",
+    "A12",
+    " UNION ALL ".join(f"SELECT '{v}' AS variable, {i} AS position, true AS within" for v in VARIABLES for i in range(5)),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the true rank of each approximate quantile is within the sketch's accuracy."""
+    points, accuracy = [0.0, 0.25, 0.5, 0.75, 1.0], 10_000
     long = relational.melt_numeric(relational.null_out_sentinels(score(spark, sf), SPECIAL), VARIABLES)
-    sketch = quantiles_approx(long, "value", [0.0, 0.25, 0.5, 0.75, 1.0], ["variable"])
-    return sketch.select("variable", F.posexplode("quantiles").alias("position", "value"))
+    sketch = quantiles_approx(long, "value", points, ["variable"], accuracy)
+    ranks = [F.struct(F.count_if(F.col("value") < F.col("quantiles")[i]).alias("below"), F.count_if(F.col("value") <= F.col("quantiles")[i]).alias("upto")) for i in range(5)]
+    counted = long.join(F.broadcast(sketch), "variable").groupBy("variable").agg(F.count("value").alias("n"), F.array(*ranks).alias("r"))
+    each = counted.select("variable", "n", F.posexplode("r").alias("position", "r"))
+    wanted = F.element_at(F.array(*map(F.lit, points)), F.col("position") + 1) * F.col("n")
+    slack = F.col("n") / accuracy + 1
+    return each.select("variable", "position", ((F.col("r.below") <= wanted + slack) & (F.col("r.upto") >= wanted - slack)).alias("within"))
 
 
 def _pairs_sql() -> str:
@@ -510,14 +520,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # --- samples ---------------------------------------------------------------------------------
 
 
-@query("sample_simple", "R1")
+def _kept_sql(fraction: float, seed: int, *keys: str) -> str:
+    text = " || '-' || ".join([*keys, f"'{seed}'"])
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0 < {fraction}"
+
+
+@query("sample_simple", "R1", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_kept_sql(0.3, 5, 'o_orderkey')}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_simple(table(spark, sf, "orders"), 0.3, seed=5)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return sampling.sample_simple(orders, 0.3, 5, ["o_orderkey"])
 
 
-@query("sample_stratified", "R2")
+@query(
+    "sample_stratified",
+    "R2",
+    f"""WITH t AS (SELECT {", ".join(ROW_KEYS)}, (l_returnflag = 'R')::INT AS target FROM lineitem)
+        SELECT * FROM t WHERE {_kept_sql(0.2, 5, *ROW_KEYS, "target")}""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_stratified(score(spark, sf), "target", 0.2, seed=5)
+    lines = table(spark, sf, "lineitem").select(*ROW_KEYS, (F.col("l_returnflag") == "R").cast("int").alias("target"))
+    return sampling.sample_stratified(lines, "target", 0.2, 5, ROW_KEYS)
 
 
 @query(

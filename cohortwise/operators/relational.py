@@ -59,8 +59,17 @@ def range_filter(
     return df
 
 
+def side_of(column: str, threshold) -> Column:
+    """before, or after from the threshold on, which must have the column's own type; null if unknown."""
+    value = F.lit(threshold)
+    return F.when(F.col(column) < value, "before").when(F.col(column) >= value, "after")
+
+
 def split_at_threshold(df: DataFrame, column: str, threshold) -> tuple[DataFrame, DataFrame]:
-    """The rows before the threshold and the rows from it on."""
+    """The rows before the threshold and the rows from it on, as filters that reach the scan.
+
+    To aggregate both sides, group by ``side_of``: that is one scan.
+    """
     value = F.lit(threshold)
     return df.filter(F.col(column) < value), df.filter(F.col(column) >= value)
 
@@ -168,7 +177,14 @@ def share_of_total(counts: DataFrame, count: str = "count", name: str = "proport
     return counts.withColumn(name, F.try_divide(F.col(count).cast("double"), total.cast("double")))
 
 
-def share_within(counts: DataFrame, keys: Sequence[str], count: str = "count", name: str = "proportion") -> DataFrame:
-    """Counts with their share of the total of ``keys``, over rows that are already aggregated."""
-    total = F.sum(count).over(Window.partitionBy(*keys))
-    return counts.withColumn(name, F.col(count) / total)
+def share_within(
+    counts: DataFrame, keys: Sequence[str], count: str = "count", name: str = "proportion", total: str | None = None
+) -> DataFrame:
+    """Counts with their share of the total of ``keys``, over rows that are already aggregated.
+
+    ``total`` names a column for the total itself.
+    """
+    whole = F.sum(count).over(Window.partitionBy(*keys))
+    summed = counts.withColumn(total or "_total", whole)
+    shared = summed.withColumn(name, F.col(count) / F.col(total or "_total"))
+    return shared if total else shared.drop("_total")

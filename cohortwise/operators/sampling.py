@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from cohortwise.functions.scalars import hash_below
 
 
-def sample_simple(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Bernoulli sample without replacement."""
-    return df.sample(False, fraction, seed)
+def sample_simple(df: DataFrame, fraction: float, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Bernoulli sample without replacement; with integer row ``keys`` the same for any partitioning."""
+    return df.filter(hash_below(fraction, seed, *[F.col(k) for k in keys])) if keys else df.sample(False, fraction, seed)
 
 
-def sample_stratified(df: DataFrame, target: str, fraction: float, seed: int) -> DataFrame:
-    """The same fraction of the goods and of the bads; other targets are left out."""
-    return df.sampleBy(target, {0: fraction, 1: fraction}, seed)
+def sample_stratified(df: DataFrame, target: str, fraction: float, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The same fraction of the goods and of the bads; other targets are left out.
+
+    With integer row ``keys`` the sample is the same for any partitioning.
+    """
+    if not keys:
+        return df.sampleBy(target, {0: fraction, 1: fraction}, seed)
+    return sample_simple(df.filter(F.col(target).isin(0, 1)), fraction, seed, [*keys, target])
 
 
 def split_train_test(df: DataFrame, target: str, keys: Sequence[str], fraction: float, seed: int) -> DataFrame:

@@ -43,8 +43,11 @@ def category_frequency_by_cohort(df: DataFrame, variables: Sequence[str], cohort
 
 
 def category_pivot(frequencies: DataFrame, cohort: str, categories: Sequence[str]) -> DataFrame:
-    """The same with one column per listed category."""
-    return pivot_long_to_wide(frequencies, [cohort, "variable"], "category", categories, "freq", "freq_")
+    """The same with one column per listed category, and ``freq_other`` for all that are not listed."""
+    sums = [F.sum(F.when(F.col("category") == c, F.col("freq"))).alias(f"freq_{c}") for c in categories]
+    unlisted = ~F.coalesce(F.col("category").isin(list(categories)), F.lit(False))
+    other = F.coalesce(F.sum(F.when(unlisted, F.col("freq"))), F.lit(0)).alias("freq_other")
+    return frequencies.groupBy(cohort, "variable").agg(*sums, other)
 
 
 def _melt_categories(df: DataFrame, variables: Sequence[str], keep: Sequence[str]) -> DataFrame:

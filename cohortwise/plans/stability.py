@@ -141,14 +141,26 @@ def psi_table(
 
 
 def psi_by_cohort(table: DataFrame, cohort: str, base=None) -> DataFrame:
-    """PSI of each cohort against the base, from the shares of a ``psi_table``."""
+    """PSI of each cohort against the base, from the shares of a ``psi_table``: variable, cohort, psi, skipped.
+
+    A bucket counts if it has a share on both sides, as in the stability index; ``skipped`` is the
+    number of buckets that only one side has.
+    """
     start = F.lit(base) if base is not None else table.agg(F.min(cohort)).scalar()
     reference = F.max(F.when(F.col(cohort) == start, F.col("proportion"))).over(Window.partitionBy("variable", "bucket"))
-    return (
+    both = (F.col("proportion") > 0) & (F.col("_base") > 0)
+    in_base = table.filter((F.col(cohort) == start) & (F.col("proportion") > 0)).groupBy("variable").agg(F.count("*").alias("_buckets"))
+    summed = (
         table.withColumn("_base", reference)
         .groupBy("variable", cohort)
-        .agg(F.sum(index_term(F.col("proportion"), F.col("_base"))).alias("psi"))
+        .agg(
+            F.sum(index_term(F.col("proportion"), F.col("_base"))).alias("psi"),
+            F.count_if(both).alias("_shared"),
+            F.count_if(F.col("proportion") > 0).alias("_own"),
+        )
     )
+    only_one = F.col("_own") + F.coalesce("_buckets", F.lit(0)) - 2 * F.col("_shared")
+    return summed.join(in_base, "variable", "left").select("variable", cohort, "psi", only_one.alias("skipped"))
 
 
 def psi_wide(table: DataFrame, cohort: str, n: int) -> DataFrame:

@@ -29,69 +29,75 @@ def _co_moments(y: str, xs: Sequence[str], part: Column | None = None) -> Column
 
 
 def _residual_share(n: Column, cov: Column, k: int) -> Column:
-    """Residual sum of squares of y on ``k`` regressors and an intercept."""
+    """Residual sum of squares of y on ``k`` regressors and an intercept.
+
+    One regressor has a closed form; more are solved for all groups of a batch at once.
+    """
+    if k == 1:
+        xx, xy, yy = (cov[i] for i in range(3))
+        explained = F.coalesce(F.try_divide(xy * xy, xx), F.when(xx.isNotNull() & xy.isNotNull(), F.lit(0.0)))
+        return F.when(n > 0, F.greatest(F.lit(0.0), n * (yy - explained)))
 
     @F.pandas_udf("double")
     def rss(count: pd.Series, triangle: pd.Series) -> pd.Series:
         import numpy as np
 
-        out = []
-        for size, cells in zip(count, triangle):
-            if not size or cells is None or any(c is None or c != c for c in cells):
-                out.append(None)
-                continue
-            full = np.zeros((k + 1, k + 1))
-            full[np.triu_indices(k + 1)] = cells
-            full = full + np.triu(full, 1).T
-            slope = np.linalg.lstsq(full[:k, :k], full[:k, k], rcond=None)[0]
-            out.append(max(0.0, float(size * (full[k, k] - slope @ full[:k, k]))))
-        return pd.Series(out, dtype="float64")
+        size = (k + 1) * (k + 2) // 2
+        cells = np.array([c if c is not None else [np.nan] * size for c in triangle], dtype="float64").reshape(-1, size)
+        known = (count.to_numpy("float64", na_value=0) > 0) & np.isfinite(cells).all(axis=1)
+        full = np.zeros((len(cells), k + 1, k + 1))
+        rows, columns = np.triu_indices(k + 1)
+        full[:, rows, columns] = full[:, columns, rows] = np.where(known[:, None], cells, 0.0)
+        xx, xy = full[:, :k, :k], full[:, :k, k]
+        slope = np.linalg.pinv(xx, hermitian=True) @ xy[:, :, None]
+        left = full[:, k, k] - (slope[:, :, 0] * xy).sum(axis=1)
+        return pd.Series(np.where(known, np.maximum(0.0, count.to_numpy("float64", na_value=0) * left), np.nan)).where(known, None)
 
     return rss(n.cast("double"), cov)
 
 
 def f_survival(statistic: Column, d1: Column, d2: Column) -> Column:
-    """Upper tail of the F distribution, by the continued fraction of the incomplete beta function."""
+    """Upper tail of the F distribution, from the incomplete beta function.
+
+    The continued fraction of DLMF 8.17.22 is taken as a product of two-by-two matrices, term by term
+    for all rows of a batch at once, until no row changes.
+    """
 
     @F.pandas_udf("double")
     def tail(stat: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
         import math
 
-        def fraction(a: float, b: float, x: float) -> float:
-            # Modified Lentz evaluation (Numerical Recipes, section 6.4).
-            tiny = 1e-300
-            first = 1 - (a + b) * x / (a + 1)
-            c, d = 1.0, 1 / (first if abs(first) > tiny else tiny)
-            value = d
-            for m in range(1, 500):
-                even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-                odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-                before = value
-                for term in (even, odd):
-                    d = 1 + term * d
-                    d = 1 / (d if abs(d) > tiny else tiny)
-                    c = 1 + term / c
-                    c = c if abs(c) > tiny else tiny
-                    value *= c * d
-                if abs(value - before) < 1e-15 * abs(value):
+        import numpy as np
+
+        f, p, q = (s.to_numpy("float64", na_value=np.nan) for s in (stat, one, two))
+        known = ~np.isnan(f) & (p > 0) & (q > 0)
+        inside = known & (f > 0) & np.isfinite(f)
+        out = np.where(known, np.where(f > 0, 0.0, 1.0), np.nan)
+        a, b = q[inside] / 2, p[inside] / 2
+        x = q[inside] / (q[inside] + p[inside] * f[inside])
+        swap = x > (a + 1) / (a + b + 2)  # the fraction converges fast below this point
+        a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+        lgamma = np.vectorize(math.lgamma, otypes=["float64"])
+        if len(x):
+            front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+            # numerators and denominators of the last two convergents of 1 / (1 + d1 / (1 + d2 / ...))
+            older, newer = (np.zeros_like(x), np.ones_like(x)), (np.ones_like(x), np.ones_like(x))
+            value = np.ones_like(x)
+            for term in range(1, 2000):
+                m = term // 2
+                if term % 2:
+                    d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+                else:
+                    d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+                older, newer = newer, tuple(u + d * v for u, v in zip(newer, older))
+                scale = np.where(np.abs(newer[1]) > 1e100, 1e-100, 1.0)
+                older, newer = tuple(u * scale for u in older), tuple(u * scale for u in newer)
+                before, value = value, newer[0] / newer[1]
+                if term > 3 and (np.abs(value - before) <= 1e-15 * np.abs(value)).all():
                     break
-            return value
-
-        def beta(a: float, b: float, x: float) -> float:
-            if x <= 0 or x >= 1:
-                return float(x >= 1)
-            front = math.exp(
-                math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-            )
-            if x < (a + 1) / (a + b + 2):
-                return front * fraction(a, b, x) / a
-            return 1 - front * fraction(b, a, 1 - x) / b
-
-        out = []
-        for f, a, b in zip(stat, one, two):
-            known = f == f and f is not None and a > 0 and b > 0
-            out.append(beta(b / 2, a / 2, b / (b + a * f)) if known and f > 0 else (1.0 if known else None))
-        return pd.Series(out, dtype="float64")
+            share = np.clip(front * value, 0.0, 1.0)
+            out[inside] = np.where(swap, 1 - share, share)
+        return pd.Series(out).where(known, None)
 
     return tail(statistic.cast("double"), d1.cast("double"), d2.cast("double"))
 

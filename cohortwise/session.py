@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,15 +26,22 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """This process's scratch folder, removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="run-", dir="/tmp", ignore_cleanup_errors=True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder below ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of this machine: on a cluster the executors
-    would not see it, so a missing setting is an error there.
+    would not see it, so a missing setting is an error there. That folder goes when the process ends;
+    below ``spark.checkpoint.dir`` the cluster's own rules hold.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        base = _own_folder().name
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortwise.functions.scalars import hash_below
+
 # The type names a configured schema may use.
 FIELD_TYPES: dict[str, T.DataType] = {
     "int": T.IntegerType(),
@@ -79,12 +81,18 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
-def count_approx(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Row count estimated from a Bernoulli sample, with a 95 % interval: estimate, lower, upper."""
+def count_approx(df: DataFrame, fraction: float, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Row count estimated from a sample, with a 95 % interval: estimate, lower, upper.
+
+    With integer row ``keys`` the sample is fixed by them and the seed. Worth it for rows that are
+    costly to make past the sample; the exact count of a Parquet table is cheaper, for it comes from
+    the files' footers.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
     half = 1.96 * math.sqrt((1 - fraction)) / fraction
-    return df.sample(False, fraction, seed).agg(F.count("*").alias("kept")).select(
+    kept = df.filter(hash_below(fraction, seed, *[F.col(k) for k in keys])) if keys else df.sample(False, fraction, seed)
+    return kept.agg(F.count("*").alias("kept")).select(
         F.round(F.col("kept") / fraction).cast("bigint").alias("estimate"),
         F.floor(F.greatest(F.lit(0.0), F.col("kept") / fraction - half * F.sqrt("kept"))).alias("lower"),
         F.ceil(F.col("kept") / fraction + half * F.sqrt("kept")).alias("upper"),
@@ -99,3 +107,8 @@ def persist_stage(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_D
         yield kept
     finally:
         kept.unpersist()
+
+
+def settled(small: DataFrame) -> DataFrame:
+    """A result of a few rows, computed now and held as local rows, so that its source may be released."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)

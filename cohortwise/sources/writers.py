@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,15 @@ def refresh_partitions(df: DataFrame, path: str, column: str, values: Sequence)
     """Replace the partitions of ``values`` by what ``df`` holds for them, in one write job.
 
     Partitions outside ``values`` are untouched and a second run gives the same table. A value
-    without rows loses its old partition, which a dynamic overwrite alone would leave behind: the
-    values present are read back from the one column, at most one row per requested value.
+    without rows loses its old partition, which a dynamic overwrite alone would leave behind. The
+    source is read once: which values had rows is told by the write itself, from counts that ride
+    along, one per requested value.
     """
     wanted = df.filter(F.col(column).isin(list(values)))
-    stored = [value for value in values if _partition_exists(df, path, column, value)]
+    stored = [(i, value) for i, value in enumerate(values) if _partition_exists(df, path, column, value)]
+    seen = Observation()
+    if stored:
+        wanted = wanted.observe(seen, *[F.count_if(F.col(column) == F.lit(value)).alias(f"n_{i}") for i, value in stored])
     (
         wanted.hint("rebalance", column)
         .write.mode("overwrite")
@@ -34,11 +38,9 @@ def refresh_partitions(df: DataFrame, path: str, column: str, values: Sequence)
         .partitionBy(column)
         .parquet(path)
     )
-    if stored:
-        present = {row[0] for row in wanted.select(F.col(column).cast("string")).distinct().collect()}
-        for value in stored:
-            if str(value) not in present:
-                _drop_partition(df, path, column, value)
+    for i, value in stored:
+        if not seen.get[f"n_{i}"]:
+            _drop_partition(df, path, column, value)
 
 
 def _partition_folder(df: DataFrame, path: str, column: str, value):
@@ -77,7 +79,6 @@ def backfill_months(
 ) -> None:
     """Derive ``target = source * 100`` for ``n`` months and refresh their partitions."""
     months = month_list(start, n)
-    batch = df.filter(F.col(date_column).cast("string").isin(months)).withColumn(
-        target, (F.col(source) * 100).try_cast("decimal(20,5)")
-    )
+    months = [date.fromisoformat(m) for m in months]
+    batch = df.withColumn(target, (F.col(source) * 100).try_cast("decimal(20,5)"))
     refresh_partitions(batch, path, date_column, months)
