@@ -208,6 +208,8 @@ def _links_across(rows: DataFrame, percent: int) -> DataFrame:
             if low[0] != high[0]:
                 apart &= mine[rest] != mine[i]  # pairs inside one block belong to that block's own group
             rest = rest[apart]
+            # the share of equal registers, quick to count, is near the estimate: it goes first
+            rest = rest[(r[rest] == r[i]).mean(axis=1) >= floor - 0.05]
             if not len(rest):
                 continue
             one = np.repeat(r[i : i + 1], len(rest), axis=0)
