@@ -124,3 +124,46 @@ def test_scratch_dir_follows_the_session_setting():
     with pytest.raises(ValueError):
         scratch_dir(_session("yarn"), "x")
     assert scratch_dir(_session("local[2]"), "x").startswith("/tmp/run-")
+
+
+def test_stage_results_come_from_memory(spark, tmp_path):
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    with readers.persist_stage(spark.read.parquet(f"{tmp_path}/t")) as stage:
+        plans = [stage.agg(F.sum("id")), stage.filter("id > 5").agg(F.count("*"))]
+        assert all("InMemoryTableScan" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+        kept = readers.settled(plans[0])
+    assert kept.first()[0] == 499500
+    assert "Scan parquet" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refresh_reads_its_source_once(spark):
+    path = scratch_dir(spark, "refresh")
+    writers.write_partitioned(spark.range(100).selectExpr("id % 4 as m", "id as v"), path, "m")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    source = spark.range(1000).selectExpr("id % 3 as m", "id as v").mapInArrow(count, "m long, v long")
+    writers.refresh_partitions(source, path, "m", [1, 3])
+    assert read.value == 1000
+    left = {r.m: r["count"] for r in spark.read.parquet(path).groupBy("m").count().collect()}
+    assert left == {0: 25, 1: 333, 2: 25}
+
+
+def test_backfill_filter_reaches_the_scan(spark, tmp_path, monkeypatch):
+    spark.sql("select date'2015-02-01' as d, 1.5D as num union all select date'2016-02-01', 2.5D").write.parquet(f"{tmp_path}/t")
+    seen = []
+    monkeypatch.setattr(writers, "refresh_partitions", lambda df, path, column, values: seen.append(df.filter(F.col(column).isin(list(values)))))
+    writers.backfill_months(spark.read.parquet(f"{tmp_path}/t"), "2015-01-20", 3, "x", "d", "num")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(d, [2015-01-01,2015-02-01,2015-03-01])]" in plan
+    assert seen[0].count() == 1
+
+
+def test_keyed_counts_do_not_depend_on_partitions(spark):
+    df = spark.range(5000)
+    rows = [tuple(readers.count_approx(df.repartition(n), 0.2, 3, ["id"]).first()) for n in (1, 7)]
+    assert rows[0] == rows[1] and rows[0][1] <= 5000 <= rows[0][2]
