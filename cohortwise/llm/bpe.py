@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from cohortwise.llm.textwork import text_rows
 
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 18
 LONGEST_KEPT = 64
 
 
@@ -39,8 +39,8 @@ def newer_characters() -> tuple[str, str]:
     """Letters and numbers that the tokenizers library knows and this Python's Unicode tables don't."""
     from tokenizers.pre_tokenizers import ByteLevel
 
-    free = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
     split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    free = (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
     known = [c for c in free if regex.match(r"[\p{L}\p{N}]", c)]
     kinds = []
     for mark in "a1":  # a letter joins a letter before it, a number a number

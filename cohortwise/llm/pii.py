@@ -40,6 +40,7 @@ SURE = 0.9
 SWEEPS = 10
 DAMPING = 0.5
 OBSERVED = 30.0
+AGREE = 100.0
 
 #: The base expressions.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -156,9 +157,9 @@ class Field:
     skip: np.ndarray
 
 
-def _association(counts: np.ndarray) -> np.ndarray:
-    """Log of how much more often two labels meet than by chance, smoothed."""
-    c = counts + counts.T + 1.0
+def _association(counts: np.ndarray, agree: float = 0.0) -> np.ndarray:
+    """Log of how much more often two labels meet than by chance; ``agree`` is a prior count of equal labels."""
+    c = counts + counts.T + 1.0 + agree * np.eye(len(counts))
     p = c / c.sum()
     return np.log(p) - np.log(p.sum(axis=1)[:, None]) - np.log(p.sum(axis=0)[None, :])
 
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Field:
             weights[:, :used] = model.coefficientMatrix.toArray().T
             bias[:used] = model.interceptVector.toArray()
             bias[used:] = -OBSERVED
-        return Field(weights, bias, _association(tables["chain"]), _association(tables["skip"]))
+        return Field(weights, bias, _association(tables["chain"]), _association(tables["skip"], AGREE))
     finally:
         seen.unpersist()
 

@@ -11,13 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.session import scratch_dir
 
-SLICE_BYTES = 1 << 22
-STRETCH = 1 << 20
+SLICE_BYTES = 1 << 20
+STRETCH = 1 << 18
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 SHINGLE = 5
 
 _SEED = np.random.default_rng(20_240_611)
@@ -30,8 +32,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session hold more than BATCH_ROWS rows or about BATCH_BYTES.
+
+    Spark's defaults, 10,000 rows or 64 MB, would take several hundred MB of a Python worker for texts.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` (long) and ``text`` (null becomes empty)."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -68,7 +68,7 @@ class PrefixCounter:
                     found = self.merges.get(a << 32 | b)
                     if found and found[0] < a_used and found[0] <= b_used:
                         known = False
-            if len(self.fits) > 1 << 20:
+            if len(self.fits) > 1 << 18:
                 self.fits.clear()
             self.fits[key] = known
         return known

@@ -10,7 +10,8 @@ inputs of a score.
 
 Cases: null and empty texts score as texts without known n-grams; labels that are null or
 whose document is missing are left out; of repeated labels the largest counts; without both classes
-the model gives everyone the share of label 1 (0 without labels). Repeated rows score alike.
+the model gives everyone the share of label 1, 0.49 at most, as nothing then tells texts apart (0 without
+labels). Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -54,27 +55,26 @@ class ToxicityModel:
 
 def gram_buckets(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, bucket) pairs of texts, ordered by row; only ``wanted`` buckets if given."""
-    gap = " " * max(GRAMS)
-    joined = gap.join(t.lower() for t in texts)
-    joined = gap + joined + gap
-    codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-    lengths = np.fromiter((len(t.lower()) + len(gap) for t in texts), dtype=np.int64, count=len(texts))
-    ends = np.cumsum(lengths)  # a row owns the n-grams that begin before its end, its last space included
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer(f" {' '.join(lowered)} ".encode("utf-32-le"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(lengths + 1)  # where the space after each text is
+    begins = ends - lengths - 1  # where the space before it is
     found, h = [], codes
     for n in range(2, max(GRAMS) + 1):
         h = h[:-1] * np.uint32(0x01000193) + codes[n - 1 :]
         if n in GRAMS:
             bucket = (h * np.uint32(0x9E3779B1) + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BUCKET_BITS)
             at = np.arange(len(bucket)) if wanted is None else np.flatnonzero(wanted[bucket])
-            row = np.searchsorted(ends, np.maximum(at - len(gap) + 1, 0), side="right")
-            keep = row < len(texts)
+            row = np.searchsorted(begins, at, side="right") - 1
+            keep = at + n <= ends[row] + 1
             found.append(row[keep] * BUCKETS + bucket[at[keep]].astype(np.int64))
     pairs = np.unique(np.concatenate(found))
     return pairs >> BUCKET_BITS, pairs & (BUCKETS - 1)
 
 
 def _text_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for part in slices(batches, 1 << 20):
+    for part in slices(batches, 1 << 19):
         yield part, part.column("text").to_pylist()
 
 
@@ -143,11 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
     try:
         counts, rows = _class_counts(sample)
         if not rows.all():
-            share = (rows[1] + 1e-6) / (rows.sum() + 2e-6) if rows.sum() else 1e-6
+            share = min(0.49, (rows[1] + 1e-6) / (rows.sum() + 2e-6)) if rows.sum() else 1e-6
             return ToxicityModel(math.log(share / (1 - share)))
         buckets, ratios = _choose(counts, rows)
         if not len(buckets):
-            return ToxicityModel(math.log(rows[1] / rows[0]))
+            return ToxicityModel(min(-0.04, math.log(rows[1] / rows[0])))
         place = np.full(BUCKETS, -1, dtype=np.int64)
         place[buckets] = np.arange(len(buckets))
 
@@ -178,7 +178,7 @@ def scores(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
 
 
 def score_column(model: ToxicityModel, text: str = "text") -> Column:
-    """Score of a text column, 0 to 1."""
+    """Score of a text column, 0 to 1. Call ``bound_batches`` first where texts are long."""
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
@@ -187,7 +187,7 @@ def score_column(model: ToxicityModel, text: str = "text") -> Column:
         out, at = [np.zeros(0)], 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size < 1 << 20):
+            while to < len(texts) and (to == at or size < 1 << 19):
                 size += len(texts[to])
                 to += 1
             out.append(scores(texts[at:to], table, model.bias))

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.llm import bpe, decontamination, near_dedup, queries, secret_scan, toxicity
-from cohortwise.llm.textwork import settle
+from cohortwise.llm.textwork import bound_batches, settle
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
+    bound_batches(spark)
     model = queries.toxicity_model(docs, spark, sf_dir)
     return docs.where(toxicity.score_column(model) < 0.5)
 
@@ -31,6 +32,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    bound_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     for holds in decontamination.contaminated_columns(docs, items):
         docs = docs.where(~holds)
@@ -39,6 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by their kind."""
+    bound_batches(spark)
     cleaned = docs.withColumn("text", secret_scan.redact_column())
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
