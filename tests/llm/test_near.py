@@ -162,7 +162,9 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [10, 100_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     rng = random.Random(9)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(500, 560)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
