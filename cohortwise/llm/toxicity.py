@@ -36,6 +36,8 @@ BUCKETS = 1 << BUCKET_BITS
 FEATURES = 8192
 MAX_ROWS = 20_000
 SMOOTH = 0.5
+PENALTY = 2e-4
+LEAST_GAIN = 12.0
 BLOCK = 4096
 
 
@@ -129,7 +131,7 @@ def _choose(counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
         gain += have * np.log(have / n / share) + (n - have) * np.log((n - have) / n / (1 - share))
     gain[counts.sum(axis=0) < 2] = 0
     best = np.argsort(-gain, kind="stable")[:FEATURES]
-    best = np.sort(best[gain[best] > 2])
+    best = np.sort(best[gain[best] > LEAST_GAIN])
     return best, ratio[best]
 
 
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
         ready = sample.mapInArrow(features, "label int, at array<int>").select(F.col("label").cast("double"), vector("at").alias("features"))
         ready = ready.persist()
         try:
-            model = LogisticRegression(maxIter=60, regParam=2e-4, standardization=False).fit(ready)
+            model = LogisticRegression(maxIter=60, regParam=PENALTY, standardization=False).fit(ready)
         finally:
             ready.unpersist()
         return ToxicityModel(float(model.intercept), buckets, model.coefficients.toArray() * ratios)
