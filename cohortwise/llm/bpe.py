@@ -190,15 +190,15 @@ class PieceCache(dict):
     for again come back. So memory is bounded and frequent pieces stay.
     """
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE_PIECES):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         made = self.older.get(piece)
         if made is None:
             made = self.make(piece)
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = made

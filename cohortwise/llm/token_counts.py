@@ -25,6 +25,8 @@ from cohortwise.llm.bpe import PieceCache, Vocabulary, shared_vocabulary, split_
 from cohortwise.llm.textwork import text_rows
 
 NEVER = 1 << 60
+COUNTED_PIECES = 1 << 19
+MOST_PAIRS = 1 << 19
 
 
 class PrefixCounter:
@@ -39,7 +41,7 @@ class PrefixCounter:
         reachable = {vocabulary.strings[i]: i for i in [*vocabulary.symbols, *self.parts]}
         self.tree = {s[:k]: -1 for s in reachable for k in range(1, len(s))} | reachable
         self.fits: dict[int, bool] = {}
-        self.pieces = PieceCache(self.piece_counts)
+        self.pieces = PieceCache(self.piece_counts, COUNTED_PIECES)
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols at one edge of a token's merge tree and the rank at which each is used up."""
@@ -68,7 +70,7 @@ class PrefixCounter:
                     found = self.merges.get(a << 32 | b)
                     if found and found[0] < a_used and found[0] <= b_used:
                         known = False
-            if len(self.fits) > 1 << 18:
+            if len(self.fits) > MOST_PAIRS:
                 self.fits.clear()
             self.fits[key] = known
         return known
