@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,14 +23,10 @@ def refresh_partitions(df: DataFrame, path: str, column: str, values: Sequence)
 
     Partitions outside ``values`` are untouched and a second run gives the same table. A value
     without rows loses its old partition, which a dynamic overwrite alone would leave behind. The
-    source is read once: which values had rows is told by the write itself, from counts that ride
-    along, one per requested value.
+    source is read once: a partition whose files are the same after the write had no rows.
     """
     wanted = df.filter(F.col(column).isin(list(values)))
-    stored = [(i, value) for i, value in enumerate(values) if _partition_exists(df, path, column, value)]
-    seen = Observation()
-    if stored:
-        wanted = wanted.observe(seen, *[F.count_if(F.col(column) == F.lit(value)).alias(f"n_{i}") for i, value in stored])
+    stored = {value: files for value in values if (files := _partition_files(df, path, column, value))}
     (
         wanted.hint("rebalance", column)
         .write.mode("overwrite")
@@ -38,8 +34,8 @@ def refresh_partitions(df: DataFrame, path: str, column: str, values: Sequence)
         .partitionBy(column)
         .parquet(path)
     )
-    for i, value in stored:
-        if not seen.get[f"n_{i}"]:
+    for value, files in stored.items():
+        if _partition_files(df, path, column, value) == files:
             _drop_partition(df, path, column, value)
 
 
@@ -51,9 +47,10 @@ def _partition_folder(df: DataFrame, path: str, column: str, value):
     return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
 
 
-def _partition_exists(df: DataFrame, path: str, column: str, value) -> bool:
+def _partition_files(df: DataFrame, path: str, column: str, value) -> set[str]:
+    """Names of the files of one partition; a write gives its files new names."""
     folder, files = _partition_folder(df, path, column, value)
-    return files.exists(folder)
+    return {f.getPath().getName() for f in files.listStatus(folder)} if files.exists(folder) else set()
 
 
 def _drop_partition(df: DataFrame, path: str, column: str, value) -> None:
