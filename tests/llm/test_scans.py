@@ -7,6 +7,7 @@ import re
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import plain
 import pyarrow as pa
 import pytest
@@ -102,6 +103,23 @@ def test_field_carries_labels_to_distant_mentions(spark):
     assert all(r["base"] == r["spans"] for d, r in found.items() if d != 900)
 
 
+def test_ties_reach_any_number_of_repeats(spark):
+    rng = random.Random(4)
+    number = lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(d, f"call {number()} or {number()} in {rng.randint(1900, 2020)} , {rng.randint(1, 99)} items") for d in range(300)]
+    repeats = "again 262 555 3752 then, " * 30
+    rows.append((900, f"{repeats} call +1 (262) 555-3752 now. {repeats} not 262 444 1111"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = pii.fit(docs)
+    (found,) = pii.find(docs.where("doc_id = 900"), model).collect()
+    assert len(found["base"]) == 1 and len(found["spans"]) == 61
+    assert "262 444 1111" not in [rows[-1][1][s["start"] : s["end"]] for s in found["spans"]]
+    # the messages have settled, and a document does not depend on its neighbours in a slice
+    units = [pii.units_of(t, pii.base_spans(t)) for _, t in rows[-3:]]
+    together = pii.marginals(model, units)
+    assert np.array_equal(together, np.concatenate([pii.marginals(model, [u]) for u in units]))
+
+
 def test_pii_of_odd_rows(odd, empty):
     assert pii.find(odd, pii.fit(odd)).count() == odd.count()
     assert pii.find(empty, pii.fit(empty)).count() == 0
