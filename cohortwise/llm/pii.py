@@ -12,8 +12,10 @@ messages settle; a document whose messages still move when the step is under ``L
 keeps that state. A unit tied to base matches takes their label where its marginal is at least ``SURE``:
 these are the spans added. Units without such a tie are left alone, so that plain numbers are never marked.
 
-Potentials are fitted piecewise on the base matches of at most about ``MAX_DOCS`` documents, chosen by
-a hash of doc_id. Units tied to a base match but not matched themselves are unlabelled there.
+Potentials are fitted piecewise on the base matches of all documents. Equal units (label and features) are
+counted first and enter the regression once, weighted by their share of their label; so labels weigh the
+same, and a rare kind is learned whatever else the table holds. Units tied to a base match but not
+matched themselves are unlabelled there.
 
 Cases: null text counts as empty; repeated rows give repeated results; an empty table gives an empty
 result; without any unit to learn from, the weights are zero. Spans are in code points, end exclusive.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -39,7 +42,7 @@ from cohortwise.llm.textwork import slices, text_rows
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 FEATURES = 1024
-MAX_DOCS = 20_000
+HELD = 50_000
 SURE = 0.9
 SWEEPS = 500
 TOLERANCE = 1e-5
@@ -176,41 +179,47 @@ def _association(counts: np.ndarray, agree: float = 0.0) -> np.ndarray:
     return np.log(p) - np.log(p.sum(axis=1)[:, None]) - np.log(p.sum(axis=0)[None, :])
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Field:
-    """Fit the potentials piecewise on at most about ``max_docs`` documents."""
-    rows = text_rows(docs)
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.xxhash64(F.col("doc_id"), F.lit("pii")).bitwiseAND(F.lit((1 << 32) - 1)) < int((1 << 32) * max_docs / n))
+def fit(docs: DataFrame) -> Field:
+    """Fit the potentials piecewise on all documents."""
+    schema = pa.schema([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.int64())])
+
+    def packed(held: Counter) -> pa.RecordBatch:
+        columns = [*zip(*held), held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("at", pa.list_(pa.int32()))])
+        held: Counter = Counter()
         for part in slices(batches):
-            out = []
             for text in part.column("text").to_pylist():
                 u = units_of(text, base_spans(text))
                 known = [lab if lab or not tied else -1 for lab, tied in zip(u.labels, u.linked, strict=True)]
-                out += [("unit", lab, 0, f) for lab, f in zip(known, u.features, strict=True) if lab >= 0]
-                out += [("chain", a, b, None) for a, b in zip(known, known[1:]) if a >= 0 and b >= 0]
-                out += [("skip", known[a], known[b], None) for a, b in u.ties if known[a] >= 0 and known[b] >= 0]
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
-
-    seen = rows.mapInArrow(observe, "kind string, a int, b int, at array<int>").persist()
+                held.update(("unit", lab, 0, tuple(f)) for lab, f in zip(known, u.features, strict=True) if lab >= 0)
+                held.update(("chain", a, b, ()) for a, b in zip(known, known[1:]) if a >= 0 and b >= 0)
+                held.update(("skip", known[a], known[b], ()) for a, b in u.ties if known[a] >= 0 and known[b] >= 0)
+            if len(held) > HELD:
+                yield packed(held)
+                held = Counter()
+        if held:
+            yield packed(held)
+
+    counts = text_rows(docs).mapInArrow(observe, "kind string, a int, b int, at array<int>, n long")
+    seen = counts.groupBy("kind", "a", "b", "at").agg(F.sum("n").alias("n")).persist()
     try:
         tables = {k: np.zeros((len(LABELS), len(LABELS))) for k in ("chain", "skip")}
-        labels = set()
-        for r in seen.groupBy("kind", "a", "b").agg(F.count("*").alias("n")).collect():  # at most 55 rows
+        labels = {}
+        for r in seen.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():  # at most 55 rows
             if r["kind"] == "unit":
-                labels.add(r["a"])
+                labels[r["a"]] = r["n"]
             else:
                 tables[r["kind"]][r["a"], r["b"]] = r["n"]
         weights, bias = np.zeros((FEATURES, len(LABELS))), np.zeros(len(LABELS))
         if len(labels) > 1:
             vector = F.udf(lambda at: SparseVector(FEATURES, at, np.ones(len(at))), VectorUDT())
-            ready = seen.where("kind = 'unit'").select(F.col("a").cast("double").alias("label"), vector("at").alias("features")).persist()
+            total = F.create_map(*[F.lit(x) for pair in sorted(labels.items()) for x in pair])
+            units = seen.where("kind = 'unit'").withColumn("weight", F.col("n") / total[F.col("a")])
+            ready = units.select(F.col("a").cast("double").alias("label"), vector("at").alias("features"), "weight").persist()
             try:
-                model = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, family="multinomial").fit(ready)
+                model = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False, family="multinomial", weightCol="weight").fit(ready)
             finally:
                 ready.unpersist()
             used = model.coefficientMatrix.toArray().shape[0]

@@ -120,6 +120,22 @@ def test_ties_reach_any_number_of_repeats(spark):
     assert np.array_equal(together, np.concatenate([pii.marginals(model, [u]) for u in units]))
 
 
+def test_field_is_fitted_on_all_documents(spark):
+    plenty = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("in 1999 , 12 items").alias("text"))
+    rare = "call +1 (262) 555-3752 or +1 (262) 555-3752 now. in 1999 , 12 items , later 262 555 3752 then 12 items"
+    docs = plenty.unionAll(spark.createDataFrame([(10**6 + d, rare) for d in range(2)], SCHEMA))
+    model = pii.fit(docs)
+    # none-none within each plain document and both rare ones, phone-phone and phone-none in the rare ones
+    counts = np.zeros((5, 5))
+    counts[0, 0], counts[4, 4], counts[4, 0] = 60_002, 2, 2
+    assert np.allclose(model.chain, pii._association(counts))
+    skips = np.zeros((5, 5))
+    skips[4, 4] = 2
+    assert np.allclose(model.skip, pii._association(skips, pii.AGREE))
+    for r in pii.find(docs.where("doc_id >= 1000000"), model).collect():
+        assert [rare[s["start"] : s["end"]] for s in r["spans"] if s not in r["base"]] == ["262 555 3752"]
+
+
 def test_pii_of_odd_rows(odd, empty):
     assert pii.find(odd, pii.fit(odd)).count() == odd.count()
     assert pii.find(empty, pii.fit(empty)).count() == 0
