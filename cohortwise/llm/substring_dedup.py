@@ -10,12 +10,13 @@ that hold a repeated anchor are compared whole, by their own hash, and the first
 and place stays. Nothing is paired: an anchor or window held by a third of all documents costs each
 group of documents one entry.
 
-Documents are dealt into ranges of doc_id. Each range sends, per bucket of hashes, its distinct
+Documents are dealt into ranges of doc_id, cut by bytes of text; an id (or rows without one) with more text
+than a range is cut further by a hash of the text, and copies of one text in it are worked on once. Each range sends, per bucket of hashes, its distinct
 hashes in order, as one packed row; a bucket answers with one bit for each hash in the same order,
 which is all that travels back to the texts.
 
 Hashes have 64 bits. Cases: null text counts as empty; a document of fewer words than a window
-keeps all; rows without doc_id come last; equal doc_ids are ordered by their text; repeated rows
+keeps all; rows without doc_id come last; equal doc_ids are ordered by a hash of their text; repeated rows
 count as later copies; an empty table gives an empty result.
 """
 
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.textwork import SLICE_BYTES, range_bounds, range_group, run_hashes, text_buffer, text_rows, word_hashes
+from cohortwise.llm.textwork import SLICE_BYTES, range_parts, run_hashes, text_buffer, text_rows, word_hashes
 
 WINDOW = 20
 PERIOD = 13
@@ -48,8 +49,9 @@ class Group:
 
     def __init__(self, table: pa.Table):
         ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        marks, copies = table.column("mark").to_pylist(), table.column("copies").to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, marks[i], texts[i]))
+        self.ids, self.texts, self.copies = [ids[i] for i in order], [texts[i] for i in order], [copies[i] for i in order]
         words, counts, at, size = [], [np.zeros(1, dtype=np.int64)], 0, 0
         for to, text in enumerate(self.texts, 1):
             size += len(text)
@@ -155,13 +157,16 @@ def repeats_removed(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFram
     worked on in one task at a time. Returns doc_id, n_words, n_removed and kept (the words left,
     joined by one space).
     """
-    rows = text_rows(docs)
-    cuts = range_bounds(rows, group_bytes)
-    shift = np.uint64(64 - max(6, (len(cuts) + 1).bit_length()))
-    last = len(cuts) + 1  # rows without an id
-    part = range_group("doc_id", cuts)
+    rows = text_rows(docs).withColumn("mark", F.xxhash64("text"))
+    parts, split, part = range_parts(rows, group_bytes)
+    shift = np.uint64(64 - max(6, parts.bit_length()))
+    placed = rows.withColumn("part", part).withColumn("copies", F.lit(1).cast("long"))
+    if split:  # here copies of a row could fill a part: they become one row with their number
+        shared_ids = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in split], "part int"))
+        many = placed.join(shared_ids, "part", "left_semi").groupBy("doc_id", "text", "mark", "part").agg(F.count("*").alias("copies"))
+        placed = placed.join(shared_ids, "part", "left_anti").unionByName(many)
     # one exchange of the texts, which all three passes below read
-    dealt = rows.withColumn("part", F.when(part < 0, F.lit(last)).otherwise(part).cast("int")).repartition("part")
+    dealt = placed.select("doc_id", "text", "mark", "part", "copies").repartition("part")
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         return _packed(Group(table).anchors()[1], key[0].as_py(), shift)
@@ -178,8 +183,8 @@ def repeats_removed(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFram
         return _packed(candidate_windows(table, answers)[2], key[0].as_py(), shift)
 
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_words", "n_removed", "kept"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names = ["doc_id", "n_words", "n_removed", "kept", "copies"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
         if not table.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
         group, start, hashes = candidate_windows(table, answers)
@@ -196,7 +201,7 @@ def repeats_removed(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFram
             words = text.encode().split()
             removed.append(int((~own).sum()))
             kept.append(b" ".join(compress(words, own.tolist()) if removed[-1] else words).decode())
-        columns = [group.ids, np.diff(group.rows).tolist(), removed, kept]
+        columns = [group.ids, np.diff(group.rows).tolist(), removed, kept, group.copies]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     shared = dealt.groupBy("part").applyInArrow(send_anchors, PACKED).groupBy("bucket").applyInArrow(_answer(1, _repeated), ANSWER)
@@ -208,4 +213,15 @@ def repeats_removed(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFram
         .applyInArrow(_answer(2, _first), ANSWER)
     )
     answers = shared.unionAll(firsts)
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    schema = "doc_id long, n_words long, n_removed long, kept string, copies long"
+    out = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, schema)
+    if not split:
+        return out.drop("copies")
+    # every window of a later copy starts earlier: nothing of it stays, unless it is shorter than a window
+    later = (F.col("copy") > 1) & (F.col("n_words") >= WINDOW)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
+        "doc_id",
+        "n_words",
+        F.when(later, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(later, "").otherwise(F.col("kept")).alias("kept"),
+    )

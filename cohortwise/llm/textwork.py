@@ -194,19 +194,39 @@ def distinct_shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE
     return [np.unique(shingles[at[r] : at[r + 1]]) for r in range(len(bounds) - 1)]
 
 
-def range_bounds(docs: DataFrame, group_bytes: int) -> list[int]:
-    """Cuts of ``doc_id`` that make groups of about ``group_bytes`` of text; at most 100,000 numbers.
+def id_ranges(docs: DataFrame, group_bytes: int) -> list[tuple[int | None, int]]:
+    """Ranges of ``doc_id`` of at most ``group_bytes`` of text, or of one id: first id and bytes, in order.
 
-    Read once from the table; as the cuts are plain numbers, a task that runs again deals its rows
-    as before.
+    Bytes are summed by id in a sorted exchange of ids and bytes, texts stay where they are. Rows
+    without an id come first, as a range of their own. Read once from the table; as the ranges are plain
+    numbers (one for each ``group_bytes``), a task that runs again deals its rows as before.
     """
-    size = F.octet_length("text")
-    row = docs.agg(F.sum(size).alias("bytes"), F.count("doc_id").alias("n")).first()
-    groups = min(100_000, max(1, -(-int(row["bytes"] or 0) // group_bytes)))
-    if groups == 1 or not row["n"]:
-        return []
-    quantiles = docs.stat.approxQuantile("doc_id", [i / groups for i in range(1, groups)], min(0.01, 0.1 / groups))
-    return sorted({int(x) for x in quantiles})
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[int | None, int]] = []
+        for batch in batches:
+            for i, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if made and made[-1][0] is not None and made[-1][1] + size <= group_bytes:
+                    made[-1] = (made[-1][0], made[-1][1] + size)
+                else:
+                    made.append((i, size))
+        first, total = zip(*made, strict=True) if made else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(total, pa.int64())], ["first", "bytes"])
+
+    found = sizes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(walk, "first long, bytes long").collect()
+    out: list[tuple[int | None, int]] = []
+    for first, size in sorted(map(tuple, found), key=lambda r: (r[0] is not None, r[0] or 0)):
+        if out and out[-1][0] is not None and out[-1][1] + size <= group_bytes:
+            out[-1] = (out[-1][0], out[-1][1] + size)
+        else:
+            out.append((first, size))
+    return out
+
+
+def range_bounds(docs: DataFrame, group_bytes: int) -> list[int]:
+    """Cuts of ``doc_id`` between ranges of at most ``group_bytes`` of text, or of one id."""
+    return [first for first, _ in id_ranges(docs, group_bytes) if first is not None][1:]
 
 
 def range_group(doc_id: str, cuts: list[int]) -> Column:
@@ -220,3 +240,30 @@ def range_group(doc_id: str, cuts: list[int]) -> Column:
         return pd.Series(np.searchsorted(at, ids.to_numpy(dtype=np.int64), side="right").astype(np.int32))
 
     return F.when(F.col(doc_id).isNull(), -1).otherwise(place(F.coalesce(F.col(doc_id), F.lit(0))))
+
+
+def range_parts(docs: DataFrame, group_bytes: int) -> tuple[int, list[int], Column]:
+    """Parts of about ``group_bytes`` of text in order of doc_id (null last) and ``mark``, a 64-bit hash of the text.
+
+    Returns the number of parts, those that share an id (or its absence) with others, and the part of
+    a row. Only copies of one text under one id cannot be told apart.
+    """
+    ranges = id_ranges(docs, group_bytes)
+    known = [r for r in ranges if r[0] is not None]
+    widths = [-(-size // group_bytes) if size > group_bytes else 1 for _, size in known]
+    widths.append(max([1, *(-(-size // group_bytes) for first, size in ranges if first is None)]))
+    width = np.array(widths, dtype=np.int64)
+    begin = np.cumsum(width) - width
+    cuts = np.array([first for first, _ in known][1:], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, absent: pd.Series, mark: pd.Series) -> pd.Series:
+        at = np.searchsorted(cuts, ids.to_numpy(dtype=np.int64), side="right")
+        at[absent.to_numpy(dtype=bool)] = len(width) - 1
+        share = mark.to_numpy(dtype=np.float64) / 2.0**64 + 0.5
+        own = np.minimum((share * width[at]).astype(np.int64), width[at] - 1)
+        return pd.Series((begin[at] + own).astype(np.int32))
+
+    split = [int(b) + k for b, w in zip(begin, width, strict=True) if w > 1 for k in range(w)]
+    part = place(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull(), F.col("mark"))
+    return int(width.sum()), split, part

@@ -9,6 +9,7 @@ import plain
 import pyarrow as pa
 import pytest
 from cohortwise.llm import components, decontamination, fingerprints, near_dedup, substring_dedup, textwork
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string"
 
@@ -119,6 +120,31 @@ def test_repeats_removed(spark, group_bytes):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == plain.repeats_removed(rows)
 
 
+def test_ranges_are_cut_by_bytes(spark):
+    rows = [(d, "a b") for d in range(2000)] + [(2000 + d, "word " * 2000) for d in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cuts = textwork.range_bounds(docs, 30_000)
+    sizes = docs.groupBy(textwork.range_group("doc_id", cuts).alias("part")).agg(F.sum(F.length("text")).alias("n")).collect()
+    assert max(r["n"] for r in sizes) <= 30_000 and len(sizes) < 30
+
+
+def test_rows_without_id_are_split(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, 30)) for _ in range(200)]
+    copied, short = " ".join(f"c{x}" for x in range(30)), "too short to lose a word"
+    rows = [(None, t) for t in texts + [copied] * 500 + [short] * 20] + [(7, texts[0]), (8, t := "x y " * 30), (8, t)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    n, split, part = textwork.range_parts(marked, 2_000)
+    dealt = marked.distinct().groupBy(part.alias("part")).agg(F.sum(F.length("text")).alias("n")).collect()
+    assert len(split) > 20 and max(r["n"] for r in dealt) < 4_000
+    got = substring_dedup.repeats_removed(docs, 2_000).collect()
+    tuples = lambda rows: sorted(map(tuple, rows), key=str)
+    assert tuples(got) == tuples(substring_dedup.repeats_removed(docs).collect()) and len(got) == len(rows)
+    kept = [r["kept"] for r in got]
+    assert kept.count(copied) == 1 and kept.count("") >= 499 and kept.count(short) == 20
+
+
 def test_repeats_of_odd_rows(odd, empty):
     got = substring_dedup.repeats_removed(odd).collect()
     assert len(got) == odd.count() and sorted(r["n_removed"] for r in got)[-1] == 60_000
