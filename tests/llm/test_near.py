@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -179,6 +180,16 @@ def test_sketches_merge_and_estimate():
     assert abs(near_dedup.estimate(r[:1], r[1:2], np.array([len(a)]), np.array([len(b)]))[0] - true) < 0.12
 
 
+def test_sketches_miss_less_than_bands():
+    n, floor = near_dedup.REGISTERS, 0.75 - near_dedup.MARGIN
+    a = np.full((n + 1, n), 1000)
+    b = a + np.where(np.arange(n) < np.arange(n + 1)[:, None], 0, np.where(np.arange(n) % 2, 1, -1))  # row k: k equal
+    size = np.full(n + 1, 500.0)
+    lost = np.flatnonzero(near_dedup.estimate(a, b, size, size) < floor)
+    missed = sum(math.comb(n, int(k)) * 0.75**k * 0.25 ** (n - k) for k in lost)
+    assert 0 < missed < (1 - 0.75**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
