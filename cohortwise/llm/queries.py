@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, decontamination, fingerprints, licenses, near_dedup, pii, secret_scan, substring_dedup, token_counts, toxicity
+from cohortwise.llm import alignment, bpe, decontamination, fingerprints, licenses, near_dedup, pii, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,3 +168,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         secret_scan.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op11_cross_tokenizer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.link_statistics(_table(spark, sf, "documents"), _vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
