@@ -7,9 +7,10 @@ groups; the ranks at which a token's own start and end fall in the other list gi
 that it overlaps.
 
 A text is encoded with one space before it, by a byte-level vocabulary (side a) and a piece model (side
-b), without special tokens; their strings inside a text are plain text. A long text is encoded in parts
-cut before a space that follows a visible character, where neither tokenizer joins anything, so memory
-is bounded by ``PART`` characters or the longest run without such a space.
+b), without special tokens; their strings inside a text are plain text. Before a space that follows a
+visible character neither tokenizer joins anything (checked for the pieces when they are loaded), so a
+text is encoded in the parts between such spaces, and parts met before are looked up. Memory is bounded
+by the texts' longest run without such a space.
 
 Cases: null and empty texts, and texts that either tokenizer changes (its token bytes joined are not
 the text, as when the text holds U+2581), have no tokens; repeated rows give repeated results and count
@@ -24,9 +25,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 from pathlib import Path
+from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,11 +38,13 @@ from pyspark.sql import functions as F
 from cohortwise.llm.bpe import byte_letters
 from cohortwise.llm.textwork import settle, slices, text_rows
 
-PART = 1 << 16
 DRIVEN = 256
 BLOCK_BYTES = 4 << 20
+KNOWN_PARTS = 1 << 17
+LONGEST_KNOWN = 48
 
-_CUT = re.compile(r"(?<=[!-~\w]) (?=.)", re.DOTALL)
+_UNEVEN = re.compile(r"(?<![!-~\w]) | \Z")
+_CUT = re.compile(r"(?<=[!-~\w])(?= .)", re.DOTALL)
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,30 +110,44 @@ class Tokenizers:
         self.a_length, self.b_length = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         #: no piece goes on with a space after another character, so a cut before such a space changes nothing
         self.may_cut = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def parts(self, text: str) -> list[str]:
-        """A text with a space before it, in parts that each begin with a space."""
-        text, out, at = f" {text}", [], 0
-        while self.may_cut and len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
-            out.append(text[at : cut.start()])
-            at = cut.start()
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A text in parts, to be encoded with a space before each; the spaces between them are left out."""
+        if not self.may_cut:
+            return [text]
+        if not _UNEVEN.search(text):
+            return text.split(" ")
+        return [p[1:] for p in _CUT.split(f" {text}")]
+
+    def learn(self, parts: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of parts on both sides, packed in 32 bits; no ids where the tokens are not the part's bytes."""
+        a = [e.ids for e in self.a.encode_batch([f" {p}" for p in parts], add_special_tokens=False)]
+        b = self.b.encode(parts, num_threads=1)
+        found: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        for part, *ids in zip(parts, a, b, strict=True):
+            data = b" " + part.encode()
+            for out, strings, own in zip(found, (self.a_bytes, self.b_bytes), ids, strict=True):
+                out[part] = pack(f"<{len(own)}I", *own) if b"".join(map(strings.__getitem__, own)) == data else b""
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides for each text; none where the tokens are not the text's bytes."""
         parts = [self.parts(t) if t else [] for t in texts]
-        flat = [p for x in parts for p in x]
-        a = [e.ids for e in self.a.encode_batch(flat, add_special_tokens=False)] if flat else []
-        b = self.b.encode([p[1:] for p in flat], num_threads=1) if flat else []
-        out_a, out_b, at = [], [], 0
-        for text, own in zip(texts, parts, strict=True):
-            ids = [[i for x in side[at : at + len(own)] for i in x] for side in (a, b)]
-            at += len(own)
-            data = b" " + text.encode() if text else b""
-            same = all(b"".join(map(t.__getitem__, x)) == data for t, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
-            out_a.append(ids[0] if same else [])
-            out_b.append(ids[1] if same else [])
-        return out_a, out_b
+        new = list(set().union(*parts).difference(self.known[0]))
+        if len(self.known[0]) > KNOWN_PARTS:
+            self.known = ({}, {})
+            new = list(set().union(*parts))
+        made = self.learn(new) if new else ({}, {})
+        for known, own in zip(self.known, made, strict=True):
+            known |= own
+        ids = [[np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for p in parts] for known in self.known]
+        for part in new:  # long parts seldom come again
+            if len(part) > LONGEST_KNOWN:
+                del self.known[0][part], self.known[1][part]
+        size = [len(t.encode()) + 1 if t else 0 for t in texts]
+        same = [self.a_length[x].sum() == n == self.b_length[y].sum() for x, y, n in zip(*ids, size, strict=True)]
+        return tuple([x if good else x[:0] for x, good in zip(side, same, strict=True)] for side in ids)
 
 
 _LOADED: dict[int, Tokenizers] = {}
@@ -161,9 +181,9 @@ class Aligned:
     group_rows: np.ndarray
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), dtype=np.int64, count=bounds[-1]), bounds
+    return np.concatenate([np.zeros(0, dtype="<u4"), *lists]).astype(np.int64), bounds
 
 
 def align_texts(tokenizers: Tokenizers, texts: list[str]) -> Aligned:
@@ -243,39 +263,42 @@ class GroupText:
 
 
 def aligned_blocks(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
-    """Alignments in short, for counting links: block (a number for neighbouring rows of about
-    ``BLOCK_BYTES`` of text, once the result is written), doc_id, n_a, n_b, groups_sha256, and link_a,
-    link_b, the ids of the two tokens that end at each common offset.
+    """Alignments in short, for counting links: a row for neighbouring texts of about ``BLOCK_BYTES``.
+
+    Returns block (a number, once the result is written), arrays with an entry for each text (doc_id, n_a,
+    n_b, groups_sha256, n_links), pair and n (the distinct links of the block, a id * 2**32 + b id, and how
+    many there are) and codes (packed places in ``pair`` of all links, in order).
     """
     load = shared_tokenizers(docs.sparkSession, vocabulary, model)
-    names = ["block", "doc_id", "n_a", "n_b", "groups_sha256", "link_a", "link_b"]
+    names = ["block", "doc_id", "n_a", "n_b", "groups_sha256", "n_links", "pair", "n", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, size, rows, links = TaskContext.get().partitionId() << 32, 0, [], []
         tokenizers = load()
         texts = GroupText(max(len(tokenizers.a_bytes), len(tokenizers.b_bytes)))
+
+        def made() -> pa.RecordBatch:
+            codes, pair = pd.factorize(np.concatenate(links))
+            per_text = [pa.concat_arrays(x) for x in zip(*rows, strict=True)]
+            values = [*per_text, pa.array(pair), pa.array(np.bincount(codes, minlength=len(pair)))]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
+            packed = codes.astype(np.uint16 if len(pair) <= 1 << 16 else np.uint32).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block]), *columns, pa.array([packed], pa.binary())], names)
+
         for part in slices(batches):
             x = align_texts(tokenizers, part.column("text").to_pylist())
-            columns = [
-                pa.array(np.full(part.num_rows, block)),
-                part.column("doc_id"),
-                pa.array(np.diff(x.a_rows)),
-                pa.array(np.diff(x.b_rows)),
-                pa.array(texts.digests(x), pa.string()),
-                _lists(x.a[x.a_cuts - 1], x.group_rows),
-                _lists(x.b[x.b_cuts - 1], x.group_rows),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            counts = [pa.array(np.diff(bounds)) for bounds in (x.a_rows, x.b_rows, x.group_rows)]
+            rows.append([part.column("doc_id"), *counts[:2], pa.array(texts.digests(x), pa.string()), counts[2]])
+            links.append(x.a[x.a_cuts - 1] << 32 | x.b[x.b_cuts - 1])
             size += part.nbytes
             if size >= BLOCK_BYTES:
-                block, size = block + 1, 0
-
-    schema = "block long, doc_id long, n_a long, n_b long, groups_sha256 string, link_a array<int>, link_b array<int>"
-    return text_rows(docs).mapInArrow(run, schema)
-
+                yield made()
+                block, size, rows, links = block + 1, 0, [], []
+        if rows:
+            yield made()
 
-def _links(column: pa.ChunkedArray) -> np.ndarray:
-    return pa.compute.list_flatten(column).to_numpy().astype(np.int64)
+    kinds = ["long", *(f"array<{k}>" for k in ("long", "long", "long", "string", "long", "long", "long")), "binary"]
+    return text_rows(docs).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def link_statistics(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
@@ -290,52 +313,28 @@ def link_statistics(docs: DataFrame, vocabulary: str, model: str) -> DataFrame:
     block; the counts go back to the blocks that hold the pair, and nowhere else.
     """
     blocks = settle(aligned_blocks(docs, vocabulary, model), "aligned")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept, size = None, [], 0
-
-        def counted() -> pa.RecordBatch:
-            pair, n = np.unique(np.concatenate(kept), return_counts=True)
-            columns = [pa.array(np.full(len(pair), at)), pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(n)]
-            return pa.RecordBatch.from_arrays(columns, ["block", "a", "b", "n"])
-
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-            for low, high in zip(bounds, bounds[1:], strict=False):
-                part = batch.slice(low, high - low)
-                if kept and (block[low] != at or size > 1 << 21):
-                    yield counted()
-                    kept, size = [], 0
-                at = block[low]
-                kept.append(_links(part.column("link_a")) << 32 | _links(part.column("link_b")))
-                size += len(kept[-1])
-        if kept:
-            yield counted()
-
-    local = blocks.select("block", "link_a", "link_b").mapInArrow(count, "block long, a long, b long, n long")
-    local = settle(local, "links")
-    pairs = local.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    local = blocks.select("block", F.posexplode(F.arrays_zip("pair", "n")).alias("place", "link"))
+    local = local.select("block", "place", F.col("link.pair").alias("pair"), F.col("link.n").alias("n"))
+    pairs = local.groupBy("pair").agg(F.sum("n").alias("n"))
     # a window holds at most as many pairs as side a has ids
-    pairs = pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
-    known = local.select("block", "a", "b").distinct().join(pairs, ["a", "b"])
+    highest = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))))
+    pairs = pairs.select("pair", "n", (F.col("n") == highest).alias("best"))
+    known = local.select("block", "place", "pair").join(pairs, "pair").select(F.col("block").alias("within"), "place", "n", "best")
 
     def judge(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        pair = counts.column("a").to_numpy() << 32 | counts.column("b").to_numpy()
-        order = np.argsort(pair)
+        order = np.argsort(counts.column("place").to_numpy())
         n, best = counts.column("n").to_numpy()[order], counts.column("best").to_numpy(zero_copy_only=False)[order]
-        links = _links(rows.column("link_a")) << 32 | _links(rows.column("link_b"))
-        place = np.searchsorted(pair[order], links)
-        own = pa.compute.list_value_length(rows.column("link_a")).to_numpy().astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(own)])
+        packed = rows.column("codes")[0].as_buffer()
+        codes = np.frombuffer(packed, dtype=np.uint16 if len(n) <= 1 << 16 else np.uint32)
+        doc_id, n_a, n_b, digest, own = (pc.list_flatten(rows.column(c)) for c in ("doc_id", "n_a", "n_b", "groups_sha256", "n_links"))
+        bounds = np.concatenate([[0], np.cumsum(own.to_numpy())])
 
         def summed(values: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(values.astype(np.int64))])
+            total = np.concatenate([[0], np.cumsum(values[codes], dtype=np.int64)])
             return total[bounds[1:]] - total[bounds[:-1]]
 
-        made = [summed(best[place]), summed(n[place])] if len(links) else [np.zeros(len(own), dtype=np.int64)] * 2
-        plain = [rows.column(c) for c in ("doc_id", "n_a", "n_b")]
-        return pa.table([*plain, own, own, *made, rows.column("groups_sha256")], names=[x.split()[0] for x in schema.split(", ")])
+        return pa.table([doc_id, n_a, n_b, own, own, summed(best), summed(n), digest], names=[x.split()[0] for x in schema.split(", ")])
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judge, schema)
+    wanted = blocks.select("block", "doc_id", "n_a", "n_b", "groups_sha256", "n_links", "codes")
+    return wanted.groupBy("block").cogroup(known.groupBy("within")).applyInArrow(judge, schema)

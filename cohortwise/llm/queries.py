@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import alignment, bpe, decontamination, fingerprints, licenses, near_dedup, pii, secret_scan, substring_dedup, token_counts, toxicity
+from cohortwise.llm import alignment, bpe, decontamination, fingerprints, licenses, near_dedup, neighbours, pii, prefix_trie, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,3 +173,44 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_cross_tokenizer")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.link_statistics(_table(spark, sf, "documents"), _vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_nearest")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+# The bits of a decimal text, with the polynomial of crc32, byte by byte; only the remainder by 4 is wanted.
+_CRC_STEP = "xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))"
+_CRC_SQL = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}::VARCHAR, ''),"
+    f" lambda s: [ord(s)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, e: {_CRC_STEP}))"
+)
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH p AS (SELECT conv_id AS c, w, s, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, s) AS i FROM (
+      SELECT conv_id, turn, len({_WORDS_SQL}) AS w, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s
+      FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS (SELECT c, c - c % 20 AS b, {_CRC_SQL.format("c")} % 4 AS h FROM (SELECT DISTINCT c FROM p)),
+    kept AS (SELECT convs.*, (SELECT count(*) FROM p WHERE p.c = b AND i <= h) AS k FROM convs),
+    seq AS (SELECT kept.c, i AS d, w, s FROM kept JOIN p ON p.c = b AND i <= h UNION ALL SELECT kept.c, i - h + k, w, s FROM kept JOIN p ON p.c = kept.c AND i > h),
+    whole AS (SELECT c, list(s ORDER BY d) FILTER (s IS NOT NULL) AS l, list(w ORDER BY d) FILTER (s IS NOT NULL) AS ws FROM kept LEFT JOIN seq USING (c) GROUP BY c),
+    path AS (SELECT c, d, coalesce(len(l), 0) = d AS last, md5(array_to_string(coalesce(l[1:d], []), ',')) AS node,
+               CASE WHEN d > 0 THEN md5(array_to_string(coalesce(l[1:d - 1], []), ',')) END AS parent, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w
+             FROM whole, unnest(range(0, coalesce(len(l), 0) + 1)) AS t(d)),
+    node AS (SELECT node, any_value(parent) AS parent, any_value(d) AS d, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(w) AS saved,
+               sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends FROM path GROUP BY node),
+    kids AS (SELECT parent AS node, count(*) AS n_children FROM node GROUP BY parent),
+    total AS (SELECT path.node, sum(u.saved)::BIGINT AS saved, count(*) FILTER (kids.node IS NULL) AS leaves
+              FROM path JOIN node u ON u.c = path.c AND path.d <= u.d LEFT JOIN kids ON kids.node = u.node GROUP BY path.node)
+    SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.n AS n_convs, coalesce(n_children, 0) AS n_children,
+           leaves AS n_leaves, total.saved AS saved_tokens, node.ends AS ends_sha256
+    FROM node JOIN total USING (node) LEFT JOIN kids USING (node) LEFT JOIN node up ON up.node = node.parent
+    """,
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.continued(_table(spark, sf, "conversations")))

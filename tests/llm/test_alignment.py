@@ -76,12 +76,13 @@ def test_gallop(a, b, block):
 
 
 def test_parts_are_exact(both, monkeypatch):
-    monkeypatch.setattr(alignment, "PART", 3)
+    monkeypatch.setattr(alignment, "KNOWN_PARTS", 40)
+    monkeypatch.setattr(alignment, "LONGEST_KNOWN", 6)
     random.seed(5)
     marks = ["a", "the", " ", "  ", "\n", "don't", "1", "½", "漢", "!", " ", "　", "_", "x\ty", "'s", "🙂"]
     for _ in range(500):
         text = "".join(random.choice(marks) for _ in range(random.randint(1, 25)))
-        got = [x[0] for x in both.encode([text])]
+        got = [x[0].tolist() for x in both.encode([text])]
         assert got == [[i for i, _ in side] for side in plain_tokens(both, text)], repr(text)
 
 
@@ -97,7 +98,9 @@ def test_alignment_arrays(spark, documents, both, vocabulary, model):
             assert over == list(range(low, high))
 
 
-def test_statistics(spark, documents, both, vocabulary, model, monkeypatch):
+@pytest.mark.parametrize("block", [1000, 4 << 20])
+def test_statistics(spark, documents, both, vocabulary, model, monkeypatch, block):
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect() if len(r["text"]) < 3000]
     rows += [(10_000 + k, t) for k, t in enumerate(ODD)] + [(None, None), (7, ""), rows[0], (None, rows[1][1])]
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, block int, a string").repartition(3)
