@@ -42,8 +42,10 @@ DRIVEN = 256
 BLOCK_BYTES = 4 << 20
 KNOWN_PARTS = 1 << 17
 LONGEST_KNOWN = 48
+TOGETHER = 2048
 
 _UNEVEN = re.compile(r"(?<![!-~\w]) | \Z")
+_EVEN = re.compile(r"[!-~\w]\Z")
 _CUT = re.compile(r"(?<=[!-~\w])(?= .)", re.DOTALL)
 
 
@@ -111,6 +113,7 @@ class Tokenizers:
         #: no piece goes on with a space after another character, so a cut before such a space changes nothing
         self.may_cut = not any("▁" in p.lstrip("▁") for p in pieces)
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.older = self.known
 
     def parts(self, text: str) -> list[str]:
         """A text in parts, to be encoded with a space before each; the spaces between them are left out."""
@@ -131,20 +134,57 @@ class Tokenizers:
                 out[part] = pack(f"<{len(own)}I", *own) if b"".join(map(strings.__getitem__, own)) == data else b""
         return found
 
+    def learn_together(self, parts: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The same for parts that end with a visible character: many are encoded as one text and told apart by their ends."""
+        found: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        runs = [parts[k : k + TOGETHER] for k in range(0, len(parts), TOGETHER)]
+        texts = [" ".join(run) for run in runs]
+        a = [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        for run, text, *ids in zip(runs, texts, a, b, strict=True):
+            data = b" " + text.encode()
+            ends = np.cumsum([len(p.encode()) + 1 for p in run])
+            if not all(b"".join(map(s.__getitem__, x)) == data for s, x in zip((self.a_bytes, self.b_bytes), ids, strict=True)):
+                for out, own in zip(found, self.learn(run), strict=True):
+                    out |= own
+                continue
+            for out, length, own in zip(found, (self.a_length, self.b_length), ids, strict=True):
+                own = np.array(own, dtype="<u4")
+                cuts = (4 * np.searchsorted(np.cumsum(length[own]), ends, side="right")).tolist()
+                packed = own.tobytes()
+                out |= {p: packed[low:high] for p, low, high in zip(run, [0, *cuts], cuts, strict=False)}
+        return found
+
+    def look_up(self, wanted: set[str]) -> list[str]:
+        """Have the ids of all wanted parts in ``known``; returns those too long to be kept there.
+
+        Two generations: when the younger one is full it becomes the older one, from which parts asked
+        for again come back. So memory is bounded and frequent parts stay.
+        """
+        if len(self.known[0]) > KNOWN_PARTS:
+            self.older, self.known = self.known, ({}, {})
+        new = []
+        for part in wanted.difference(self.known[0]):
+            if part in self.older[0]:
+                for known, older in zip(self.known, self.older, strict=True):
+                    known[part] = older[part]
+            else:
+                new.append(part)
+        even = [p for p in new if _EVEN.search(p)]
+        odd = list(set(new).difference(even))
+        for some, learn in ((even, self.learn_together), (odd, self.learn)):
+            if some:
+                for known, own in zip(self.known, learn(some), strict=True):
+                    known |= own
+        return [p for p in new if len(p) > LONGEST_KNOWN]
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides for each text; none where the tokens are not the text's bytes."""
         parts = [self.parts(t) if t else [] for t in texts]
-        new = list(set().union(*parts).difference(self.known[0]))
-        if len(self.known[0]) > KNOWN_PARTS:
-            self.known = ({}, {})
-            new = list(set().union(*parts))
-        made = self.learn(new) if new else ({}, {})
-        for known, own in zip(self.known, made, strict=True):
-            known |= own
+        long = self.look_up(set().union(*parts))
         ids = [[np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for p in parts] for known in self.known]
-        for part in new:  # long parts seldom come again
-            if len(part) > LONGEST_KNOWN:
-                del self.known[0][part], self.known[1][part]
+        for part in long:
+            del self.known[0][part], self.known[1][part]
         size = [len(t.encode()) + 1 if t else 0 for t in texts]
         same = [self.a_length[x].sum() == n == self.b_length[y].sum() for x, y, n in zip(*ids, size, strict=True)]
         return tuple([x if good else x[:0] for x, good in zip(side, same, strict=True)] for side in ids)

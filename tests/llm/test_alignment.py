@@ -78,12 +78,14 @@ def test_gallop(a, b, block):
 def test_parts_are_exact(both, monkeypatch):
     monkeypatch.setattr(alignment, "KNOWN_PARTS", 40)
     monkeypatch.setattr(alignment, "LONGEST_KNOWN", 6)
+    monkeypatch.setattr(alignment, "TOGETHER", 3)
     random.seed(5)
     marks = ["a", "the", " ", "  ", "\n", "don't", "1", "½", "漢", "!", " ", "　", "_", "x\ty", "'s", "🙂"]
-    for _ in range(500):
-        text = "".join(random.choice(marks) for _ in range(random.randint(1, 25)))
-        got = [x[0].tolist() for x in both.encode([text])]
-        assert got == [[i for i, _ in side] for side in plain_tokens(both, text)], repr(text)
+    marks += ["▁", "é́"]
+    for _ in range(200):
+        texts = ["".join(random.choice(marks) for _ in range(random.randint(1, 25))) for _ in range(5)]
+        for text, *got in zip(texts, *both.encode(texts), strict=True):
+            assert [x.tolist() for x in got] == [[i for i, _ in side] for side in plain_tokens(both, text)], repr(text)
 
 
 def test_alignment_arrays(spark, documents, both, vocabulary, model):
