@@ -1,9 +1,9 @@
 """Exact quantiles and rank statistics without gathering a group in one task.
 
-Values are first counted on a logarithmic grid that does not depend on the data. Only the cells
-that hold a wanted rank are counted again, on finer and finer grids, until their values themselves
-can be counted in order. Counts are shuffled, never rows, and an ordered window never holds more
-than ``MOST_VALUES`` entries: the last grid's cells are so narrow that no more doubles exist in one.
+Quantiles take two reads, whatever the data. The first makes one mergeable summary per group, with a
+proven bound on the rank of what it answers, and so a bracket that holds each wanted value. The second
+counts rows between the ends of brackets, and by value inside them: ranks are settled on these counts,
+and so are counts of buckets between the quantiles found. Counts are shuffled, never rows.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rank error of the summary, as a share of a group's rows, is at most 1 / ACCURACY (which is 3 or more).
+ACCURACY = 10_000
+BRACKET_CELLS = 1024
 CELLS_PER_OCTAVE = 16
 FINE_CELLS = 65_536
 ROWS_PER_CELL = 1_000_000
@@ -38,60 +41,103 @@ def fine_cell(value: str, low: str, high: str, cells: str) -> str:
     return f"case when {high} > {low} then least({place}, {cells} - 1) else 0L end"
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``by``, position (from 1), value: the smallest value whose rank reaches ``p * n``.
+def bracket_counts(
+    df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = (), reference: Column | None = None
+) -> DataFrame:
+    """Counts that settle quantiles of the ``reference`` rows (all rows, unless given), in two reads.
 
-    ``probabilities`` are decimal texts such as ``"0.25"``, so that ``p * n`` is exact. The wanted
-    cells are a small aggregate, at most one for each group and probability; adaptive execution
-    knows its size and broadcasts it or not. A grid that has nothing left to settle skips its scan.
+    ``by``, ``keep``, _ref (whether reference rows are counted), _code and _cell (which rise with the
+    value), _x (the value itself, null outside all brackets), _at (the largest end of a bracket that the
+    rows reach, null below all) and _n. No quantile lies above _at and below the other values of a row
+    without _x. A row of the summary's answer has a rank within 1 / ``ACCURACY`` of the one asked for, so
+    a bracket from three times that below a probability to as much above holds its quantile. Values
+    inside brackets are at most 6 / ``ACCURACY`` of a group's rows for each probability.
     """
-    by = list(by)
-    rows = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .filter("_v is not null and not isnan(_v)")
-        .withColumn("_cell", F.expr(coarse_cell("_v")))
+    by, keep, ends = list(by), list(keep), 2 * len(probabilities)
+    rows = df.select(*by, *keep, F.col(value).cast("double").alias("_v"), (F.lit(True) if reference is None else F.coalesce(reference, F.lit(False))).alias("_ref"))
+    rows = rows.filter("_v is not null and not isnan(_v)")
+    margin = 3 / ACCURACY
+    asked = [min(1.0, max(0.0, float(p) + side)) for p in probabilities for side in (-margin, margin)]
+
+    # First read: a bracket for each probability, and the places between their ends that some bracket covers.
+    found = rows.filter("_ref").groupBy(*by).agg(F.percentile_approx("_v", asked, ACCURACY).alias("_q"))
+    sorted_ends = F.array_sort(F.array_distinct("_q"))
+    padded = F.concat(sorted_ends, F.array_repeat(F.lit(float("nan")), F.lit(ends) - F.size(sorted_ends)))
+    covered = " or ".join(f"(_q[{2 * k}] < _b[i] and _b[i] <= _q[{2 * k + 1}])" for k in range(len(probabilities)))
+    brackets = found.withColumn("_b", padded).select(
+        *[F.col(name).alias(f"_by{k}") for k, name in enumerate(by)], "_b", F.expr(f"transform(sequence(0, {ends - 1}), i -> {covered})").alias("_w")
     )
-    extent = [F.expr(e) for e in ("count(*) as _n", "min(_v) as _lo", "max(_v) as _hi")]
-    group = f"partition by {', '.join(f'`{name}`' for name in by)}" if by else ""
-    holds_rank = F.expr(" or ".join(f"_start < {_rank(p)} and {_rank(p)} <= _start + _n" for p in probabilities))
-
-    # Pass 1: counts on the coarse grid give the total and the rank at which each cell starts.
-    coarse = rows.groupBy(*by, "_cell").agg(*extent)
-    wanted = coarse.selectExpr(
-        *_names(by, "_cell", "_lo", "_hi", "_n"),
-        f"sum(_n) over ({group}) as _total",
-        f"sum(_n) over ({group} order by _cell rows unbounded preceding) - _n as _start",
-    ).filter(holds_rank)
 
-    # Passes 2 to 4: the wanted cells again. One with few rows is counted by its values, which settles
-    # its ranks, a crowded one on a grid between its least and largest value; the last pass counts
-    # all by value.
-    settled = []
-    for last in (False, False, True):
-        crowded = "false" if last else f"_rows > {ROWS_PER_CELL}"
-        cells = wanted.withColumnsRenamed({"_n": "_rows", "_lo": "_from", "_hi": "_to"})
-        joined = rows.join(cells, [*by, "_cell"]).filter("_v between _from and _to")
-        finer = joined.groupBy(
-            *by, "_cell", "_from", "_total", "_start",
-            F.expr(f"case when {crowded} then {fine_cell('_v', '_from', '_to', str(FINE_CELLS))} end as _fine"),
-            F.expr(f"case when {crowded} then null else _v end as _value"),
-        ).agg(*extent)
-        inside = ", ".join(f"`{name}`" for name in [*by, "_cell", "_from"])
-        upto = f"sum(_n) over (partition by {inside} order by _fine, _value rows unbounded preceding)"
-        found = finer.selectExpr(*_names(by, "_cell", "_lo", "_hi", "_n", "_total"), f"_start + {upto} - _n as _start")
-        found = found.filter(holds_rank)
-        settled.append(found.filter("_lo = _hi").select(*by, "_lo", "_n", "_total", "_start"))
-        wanted = found.filter("_lo < _hi")
+    # Second read: _i ends are at or below a value; the place before end _i is covered by a bracket or not.
+    # NaN stands for an end that is not there: it is above all values.
+    same_group = [F.col(name).eqNullSafe(F.col(f"_by{k}")) for k, name in enumerate(by)]
+    joined = rows.join(brackets, reduce(Column.__and__, same_group, F.lit(True)), "left")
+    joined = joined.withColumn("_b", F.coalesce("_b", F.array_repeat(F.lit(float("nan")), ends)))
+    joined = joined.withColumn("_i", F.expr(_reached(0, ends))).withColumn("_at", F.expr("case when _i > 0 then _b[_i - 1] end"))
+    inside = f"_i > 0 and _i < {ends} and _v > _at and coalesce(_w[_i], false)"
+    place = f"cast(floor((_v - _at) / (_b[_i] - _at) * {BRACKET_CELLS}) as int)"
+    return (
+        joined.selectExpr(
+            *_names(by, *keep, "_ref", "_at"),
+            "2 * _i - case when _v = _at then 1 else 0 end as _code",
+            f"case when {inside} then least(greatest({place}, 0), {BRACKET_CELLS - 1}) else 0 end as _cell",
+            f"case when _v = _at or ({inside}) then _v end as _x",
+        )
+        .groupBy(*by, *keep, "_ref", "_at", "_code", "_cell", "_x")
+        .agg(F.count("*").alias("_n"))
+    )
+
+
+def _reached(low: int, high: int) -> str:
+    """SQL of how many of the sorted ends are at or below a value, by binary search."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    return f"case when _v < _b[{middle}] then {_reached(low, middle)} else {_reached(middle + 1, high)} end"
+
 
+def settle_quantiles(counts: DataFrame, probabilities: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, position (from 1), value: the exact quantiles, from ``bracket_counts``.
+
+    Only cells that hold a wanted rank are looked at by value. Both uses of the counts share one shuffle,
+    so no filter or null test may reach below it.
+    """
+    by = list(by)
+    group = f"partition by {', '.join(f'`{name}`' for name in by)}" if by else ""
+    holds_rank = F.expr(" or ".join(f"_start < {_rank(p)} and {_rank(p)} <= _start + _r" for p in probabilities))
+    of_reference = F.sum(F.expr("case when _ref then _n else 0L end")).alias("_r")
+    cells = counts.groupBy(*by, "_code", "_cell").agg(of_reference)
+    wanted = cells.selectExpr(
+        *_names(by, "_code", "_cell", "_r"),
+        f"sum(_r) over ({group}) as _total",
+        f"sum(_r) over ({group} order by _code, _cell rows unbounded preceding) - _r as _start",
+    ).filter(holds_rank)
+    wanted = wanted.select(*[F.col(name).alias(f"_w_{name}") for name in (*by, "_code", "_cell")], "_total", "_start")
+    same = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"_w_{name}")) for name in (*by, "_code", "_cell")])
+    values = counts.join(wanted, same).groupBy(*by, "_code", "_cell", "_x", "_total", F.col("_start").alias("_from")).agg(of_reference)
+    inside = ", ".join(f"`{name}`" for name in (*by, "_code", "_cell"))
+    found = values.filter("_r > 0").selectExpr(
+        *_names(by, "_x", "_r", "_total"), f"_from + sum(_r) over (partition by {inside} order by _x rows unbounded preceding) - _r as _start"
+    )
     places = ", ".join(f"struct({i} as position, {_rank(p)} as rank)" for i, p in enumerate(probabilities, 1))
+    known = "case when _x is null then cast(raise_error('a rank outside its bracket') as double) else _x end"
     return (
-        reduce(DataFrame.unionByName, settled)
-        .selectExpr(*_names(by, "_lo", "_start", "_n"), f"inline(array({places}))")
-        .filter("_start < rank and rank <= _start + _n")
-        .selectExpr(*_names(by), "position", "_lo as value")
+        found.filter(holds_rank)
+        .selectExpr(*_names(by, "_x", "_start", "_r"), f"inline(array({places}))")
+        .filter("_start < rank and rank <= _start + _r")
+        .selectExpr(*_names(by), "position", f"{known} as value")
     )
 
 
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, position (from 1), value: the smallest value whose rank reaches ``p * n``.
+
+    ``probabilities`` are decimal texts such as ``"0.25"``, so that ``p * n`` is exact. Two reads of the
+    rows, whatever the data.
+    """
+    return settle_quantiles(bracket_counts(df, value, probabilities, by), probabilities, by)
+
+
 def _names(by: Sequence[str], *others: str) -> list[str]:
     return [f"`{name}`" for name in (*by, *others)]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.quantiles import exact_quantiles
 from cohortwise.operators.relational import melt_numeric, null_out_sentinels, pivot_long_to_wide
-from cohortwise.plans.stability import assign_bucket, cut_columns, cut_points, index_term, percent_positions
+from cohortwise.plans.stability import cut_columns, index_term, percent_positions, quantile_buckets
 from cohortwise.plans.universe import default_rate
 
 
@@ -60,8 +60,9 @@ def default_rate_by_quantile(
 ) -> DataFrame:
     """variable, bucket, total, bads, goods, tm and the upper cut of the bucket."""
     long = melt_numeric(null_out_sentinels(df, special_values or {}), variables, keep=[target])
-    cuts = cut_columns(cut_points(long, n, variables), n)
-    rates = default_rate(assign_bucket(long, cuts, n), ["variable", "bucket"], target, 4)
+    found, bucketed = quantile_buckets(long, n, [target])
+    cuts = cut_columns(found, n)
+    rates = default_rate(bucketed, ["variable", "bucket"], target, 4, weight="_n")
     ordered = cuts.select("variable", F.array_compact(F.array(*[f"cut_{i}" for i in range(1, n)])).alias("_cuts"))
     upper = F.coalesce(F.get("_cuts", F.col("bucket")), F.lit(float("inf")))
     return rates.join(F.broadcast(ordered), "variable", "left").withColumn("upper_cut", upper).drop("_cuts")
@@ -77,12 +78,9 @@ def information_value_by_percentile(
 ) -> DataFrame:
     """variable, percentile, iv: information value of the split of a variable at each percentile."""
     long = melt_numeric(null_out_sentinels(df, special_values or {}), variables, keep=[target])
-    cuts = cut_columns(cut_points(long, n, variables), n, unique=False)
-    counts = (
-        assign_bucket(long, cuts, n)
-        .groupBy("variable", "bucket")
-        .agg(F.sum(1 - F.col(target)).alias("goods"), F.sum(target).alias("bads"))
-    )
+    _, bucketed = quantile_buckets(long, n, [target], unique=False)
+    bad = F.col(target) * F.col("_n")
+    counts = bucketed.groupBy("variable", "bucket").agg(F.sum(F.col("_n") - bad).alias("goods"), F.sum(bad).alias("bads"))
     # Bucket b holds the values that reached b cuts, so the part left of cut i is bucket < i.
     sides = []
     for i, position in enumerate(percent_positions(n), 1):

@@ -1,16 +1,17 @@
 """Stability index between two samples and PSI across cohorts.
 
-All variables are handled together: one melt, one set of cut points, one grouped count.
+All variables are handled together: one melt, and two reads of it for cuts and bucket counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.functions.quantiles import exact_quantiles
+from cohortwise.functions.quantiles import bracket_counts, settle_quantiles
 from cohortwise.functions.scalars import safe_ratio
 from cohortwise.operators.relational import melt_numeric, null_out_sentinels, pivot_long_to_wide
 
@@ -24,11 +25,6 @@ def percent_positions(n: int) -> list[str]:
     return [f"{i / n:.2f}" for i in range(1, n)]
 
 
-def cut_points(long: DataFrame, n: int, variables: Sequence[str]) -> DataFrame:
-    """variable, position, value: the exact quantiles of a melted table at ``n`` equal parts."""
-    return exact_quantiles(long, "value", percent_positions(n), by=["variable"])
-
-
 def cut_columns(cuts: DataFrame, n: int, unique: bool = True) -> DataFrame:
     """One row per variable with ``cut_1 ..``; with ``unique`` a repeated cut becomes null."""
     slots = [F.expr(f"max(value) filter (where position = {i}) as cut_{i}") for i in range(1, n)]
@@ -51,6 +47,21 @@ def assign_bucket(long: DataFrame, cuts: DataFrame, n: int) -> DataFrame:
     return long.join(F.broadcast(cuts), "variable", "left").selectExpr(*kept, f"{bucket} as bucket")
 
 
+def quantile_buckets(
+    long: DataFrame, n: int, keep: Sequence[str], reference: Column | None = None, unique: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Cuts of a melted table at ``n`` equal parts of the ``reference`` rows, and all rows counted by bucket.
+
+    Cuts: variable, position, value. Counts: variable, ``keep``, bucket and _n, from the same two reads
+    that settle the cuts: what lies between two values of a row without a value of its own no cut splits.
+    """
+    points = percent_positions(n)
+    counts = bracket_counts(long, "value", points, ["variable"], keep, reference)
+    cuts = settle_quantiles(counts, points, ["variable"])
+    placed = counts.select("variable", *keep, F.coalesce("_x", "_at").alias("value"), "_n")
+    return cuts, assign_bucket(placed, cut_columns(cuts, n, unique), n).select("variable", *keep, "bucket", "_n")
+
+
 def index_term(p: Column, q: Column) -> Column:
     """``(p - q) ln(p / q)``; null when either share is zero or missing."""
     return (p - q) * F.ln(F.try_divide(p, q))
@@ -81,12 +92,9 @@ def stability_index(
     x, y = labels or two_labels(df, sample)
     both = null_out_sentinels(df.filter(F.col(sample).isin(x, y)), special_values or {})
     long = melt_numeric(both, variables, keep=[sample])
-    cuts = cut_points(long.filter(F.col(sample) == x), n, variables)
-    counts = (
-        assign_bucket(long, cut_columns(cuts, n), n)
-        .groupBy("variable", "bucket")
-        .agg(F.count_if(F.col(sample) == x).alias("fx"), F.count_if(F.col(sample) == y).alias("fy"))
-    )
+    cuts, bucketed = quantile_buckets(long, n, [sample], F.col(sample) == x)
+    of = lambda label: F.sum(F.when(F.col(sample) == label, F.col("_n")).otherwise(0))
+    counts = bucketed.groupBy("variable", "bucket").agg(of(x).alias("fx"), of(y).alias("fy"))
     whole = Window.partitionBy("variable")
     shares = counts.select(
         "variable", "bucket", "fx", "fy",
@@ -129,13 +137,14 @@ def psi_table(
     """
     start = F.lit(base) if base is not None else df.agg(F.min(cohort)).scalar()
     rows = df.filter(F.col(cohort) >= start).select(cohort, *variables).na.drop(how="any")
-    at_base = null_out_sentinels(rows.filter(F.col(cohort) == start), special_values or {})
-    cuts = cut_columns(cut_points(melt_numeric(at_base, variables), n, variables), n)
-    counts = (
-        assign_bucket(melt_numeric(rows, variables, keep=[cohort]), cuts, n)
-        .groupBy(cohort, "variable", "bucket")
-        .agg(F.count("*").alias("freq"))
-    )
+    special = [
+        (F.col("variable") == name) & F.col("value").isin([float(code) for code in codes])
+        for name, codes in (special_values or {}).items()
+        if name in variables and len(codes)
+    ]
+    at_base = reduce(Column.__and__, [~s for s in special], F.col(cohort) == start)
+    _, bucketed = quantile_buckets(melt_numeric(rows, variables, keep=[cohort]), n, [cohort], at_base)
+    counts = bucketed.groupBy(cohort, "variable", "bucket").agg(F.sum("_n").alias("freq"))
     total = F.sum("freq").over(Window.partitionBy(cohort, "variable"))
     return counts.withColumn("total", total).withColumn("proportion", F.round(F.col("freq") / F.col("total"), 5))
 

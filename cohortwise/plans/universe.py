@@ -25,14 +25,18 @@ def period_distribution(df: DataFrame, cohort: str) -> DataFrame:
     return share_of_total(counts).withColumn("proportion", F.round("proportion", 4))
 
 
-def default_rate(df: DataFrame, keys: Sequence[str], target: str, digits: int, counted: str | None = None) -> DataFrame:
+def default_rate(
+    df: DataFrame, keys: Sequence[str], target: str, digits: int, counted: str | None = None, weight: str | None = None
+) -> DataFrame:
     """Per group: total, bads, goods and tm = bads / total.
 
-    Rows are counted where ``counted`` (the last key unless given) is known.
+    Rows are counted where ``counted`` (the last key unless given) is known; a row stands for ``weight``
+    rows if that column is given.
     """
-    grouped = df.groupBy(*keys).agg(
-        F.count(counted or keys[-1]).alias("total"), F.sum(target).cast("bigint").alias("bads")
-    )
+    known, bad = F.col(counted or keys[-1]), F.col(target)
+    total = F.count(known) if weight is None else F.coalesce(F.sum(F.when(known.isNotNull(), F.col(weight))), F.lit(0))
+    bads = F.sum(bad if weight is None else bad * F.col(weight))
+    grouped = df.groupBy(*keys).agg(total.alias("total"), bads.cast("bigint").alias("bads"))
     return grouped.select(
         "*",
         (F.col("total") - F.col("bads")).alias("goods"),

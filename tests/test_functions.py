@@ -130,17 +130,17 @@ VALUES = st.one_of(
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(VALUES, min_size=1, max_size=60), st.sampled_from([1, 3, 10**6]))
-def test_exact_quantiles_match_brute_force(spark, values, rows_per_cell):
-    before = quantiles.ROWS_PER_CELL, quantiles.FINE_CELLS
-    quantiles.ROWS_PER_CELL, quantiles.FINE_CELLS = rows_per_cell, 4
+@given(st.lists(VALUES, min_size=1, max_size=60), st.sampled_from([5, 7, 20, 10_000]))
+def test_exact_quantiles_match_brute_force(spark, values, accuracy):
+    before = quantiles.ACCURACY, quantiles.BRACKET_CELLS
+    quantiles.ACCURACY, quantiles.BRACKET_CELLS = accuracy, 4
     try:
         groups = {"a": values, "b": values[: len(values) // 2 + 1]}
         df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
         points = [0, 7, 25, 50, 60, 100]
         found = quantiles.exact_quantiles(df, "v", [str(p / 100) for p in points], ["g"]).collect()
     finally:
-        quantiles.ROWS_PER_CELL, quantiles.FINE_CELLS = before
+        quantiles.ACCURACY, quantiles.BRACKET_CELLS = before
     expected = {(g, i): brute_quantile(vs, p) for g, vs in groups.items() for i, p in enumerate(points, 1)}
     assert {(r.g, r.position): r.value for r in found} == expected
     assert len(found) == len(expected)
@@ -168,8 +168,10 @@ def test_hot_cells_are_split(spark, monkeypatch, shape):
     monkeypatch.setattr(quantiles, "ROWS_PER_CELL", 500)
     df = spark.range(40_000).selectExpr(f"{SHAPES[shape]} as v", "cast(rand(9) < 0.4 as int) as t", "'x' as k").persist()
     values = sorted(r.v for r in df.collect())
-    found = quantiles.exact_quantiles(df, "v", ["0.01", "0.5", "0.9"])
-    assert [r.value for r in found.orderBy("position").collect()] == [brute_quantile(values, p) for p in (1, 50, 90)]
+    for accuracy in (10, 100, 10_000):
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        found = quantiles.exact_quantiles(df.repartition(12), "v", ["0.01", "0.5", "0.9"])
+        assert [r.value for r in found.orderBy("position").collect()] == [brute_quantile(values, p) for p in (1, 50, 90)]
     cells = df.selectExpr(f"{quantiles.coarse_cell('v')} as c", "v")
     grid = "c"
     for level in ("f1", "f2"):
@@ -185,6 +187,42 @@ def test_hot_cells_are_split(spark, monkeypatch, shape):
     df.unpersist()
 
 
+TIES = {"two_values": "id % 2", "few": "id % 7 + 0.5", "hot": "case when id % 3 = 0 then 5 else rand(1) * 10 end", "none": "rand(2)"}
+
+
+@pytest.mark.parametrize("shape", TIES)
+def test_bracket_counts_hold_all_rows(spark, monkeypatch, shape):
+    """Two reads: counts by code rise with the value, their sum is all rows, a bracket's values are few."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    df = spark.range(20_000).selectExpr(f"cast({TIES[shape]} as double) as v", "id % 4 = 0 as r", "id % 5 as k").repartition(6).persist()
+    counts = quantiles.bracket_counts(df, "v", ["0.2", "0.5"], keep=["k"], reference=F.col("r")).collect()
+    assert sum(c["_n"] for c in counts) == 20_000 and sum(c["_n"] for c in counts if c["_ref"]) == 5000
+    assert sum(c["_n"] for c in counts if c["_x"] is not None and c["_code"] % 2 == 0) <= 2 * 20_000 * 8 / 200
+    known = sorted(r.v for r in df.where("r").collect())
+    found = quantiles.settle_quantiles(quantiles.bracket_counts(df, "v", ["0.2", "0.5"], reference=F.col("r")), ["0.2", "0.5"])
+    cuts = [r.value for r in found.orderBy("position").collect()]
+    assert cuts == [brute_quantile(known, 20), brute_quantile(known, 50)]
+    for cut in cuts:  # no count without a value is split by a cut
+        upto = sum(c["_n"] for c in counts if (c["_x"] if c["_x"] is not None else c["_at"] if c["_at"] is not None else -1e99) < cut)
+        assert upto == df.where(F.col("v") < cut).count()
+    df.unpersist()
+
+
+def test_quantiles_of_groups_without_a_name(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)], "g string, v double")
+    found = quantiles.exact_quantiles(df, "v", ["0.5", "1"], ["g"]).collect()
+    assert sorted((r.g or "", r.position, r.value) for r in found) == [("", 1, 1.0), ("", 2, 3.0), ("a", 1, 2.0), ("a", 2, 2.0)]
+
+
+def test_quantiles_read_the_rows_twice(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5000).selectExpr("id % 3 as g", "pow(10D, -12 + 10 * rand(3)) as v").write.parquet(path)
+    found = quantiles.exact_quantiles(spark.read.parquet(path), "v", ["0.1", "0.5", "0.9"], ["g"])
+    found.collect()
+    ran = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("FileScan") == 2
+
+
 def test_quantiles_without_rows(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert quantiles.exact_quantiles(empty, "v", ["0.5"], ["g"]).isEmpty()
