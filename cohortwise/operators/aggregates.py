@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from cohortwise.operators.relational import melt_numeric, numeric_columns, share
 
 PAIR_SCHEMA = "row string, column string, correlation double"
 PAIR_ARROW = pa.schema([("row", pa.string()), ("column", pa.string()), ("correlation", pa.float64())])
+BLOCK_SCHEMA = "pair int, slot int, n long, sides binary, product binary"
+BLOCK_ARROW = pa.schema([("pair", pa.int32()), ("slot", pa.int32()), ("n", pa.int64()), ("sides", pa.binary()), ("product", pa.binary())])
+BLOCK_COLUMNS = 128
+MERGE_SLOTS = 512
 
 
 def group_sum_numeric(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,73 +90,98 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str], limit: float | None =
     and a pair is null when one of its columns is constant or no row is left. With ``limit`` only
     pairs above it are made.
 
-    One scan whatever the number of columns: each task keeps counts, means and centred products of
-    all pairs (columns squared, 8 bytes each), these are merged by row of the matrix, and a row of
-    the matrix gives its pairs where it is merged. Nothing passes the driver.
+    One scan whatever the number of columns. The matrix is cut into blocks of ``BLOCK_COLUMNS`` columns a
+    side; a task keeps the upper blocks of centred products (columns squared, 4 bytes each) and gives a row
+    for each. Rows of a block are merged in a tree: first those of every ``MERGE_SLOTS``-th task, then
+    the slots. A merge takes its rows one by one, so its memory is one block, however many tasks there
+    were. Nothing passes the driver.
     """
     names = list(columns)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)]).na.drop()
-    size = len(names)
+    blocks = [slice(k, min(k + BLOCK_COLUMNS, len(names))) for k in range(0, len(names), BLOCK_COLUMNS)]
+    pairs = [(a, b) for a in range(len(blocks)) for b in range(a, len(blocks))]
+    slots = MERGE_SLOTS
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean, product = 0, np.zeros(size), np.zeros((size, size))
+        n, mean, products = 0, np.zeros(len(names)), {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             own = x.mean(axis=0)
-            centred = x - own
-            n, mean, product = _merged((n, mean, product), (len(x), own, centred.T @ centred))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(size), pa.int32()),
-                pa.array([n] * size, pa.int64()),
-                pa.array([mean.tobytes()] * size, pa.binary()),
-                pa.array([p.tobytes() for p in product], pa.binary()),
-                pa.array([np.diag(product).tobytes()] * size, pa.binary()),
-            ],
-            ["i", "n", "mean", "product", "own"],
-        )
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        i = key[0].as_py()
-        parts = [
-            (n, *(np.frombuffer(b) for b in blobs))
-            for n, *blobs in zip(*[table.column(c).to_pylist() for c in ("n", "mean", "product", "own")], strict=True)
-        ]
-        total = sum(p[0] for p in parts) or 1
-        mean = sum(p[0] * p[1] for p in parts) / total
-        away = [(n, m - mean) for n, m, _, _ in parts]
-        product = sum(p[2] for p in parts) + sum(n * d[i] * d for n, d in away)
-        own = sum(p[3] for p in parts) + sum(n * d * d for n, d in away)
+            x -= own
+            away, total = own - mean, n + len(x)
+            pull = n * len(x) / total
+            for a, b in pairs:
+                left, right = blocks[a], blocks[b]
+                found = x[:, left].T @ x[:, right]
+                if n:
+                    found += products[a, b]
+                    found += pull * np.outer(away[left], away[right])
+                products[a, b] = found
+            n, mean = total, mean + away * (len(x) / total)
+        if not n:
+            return
+        slot, spread = TaskContext.get().partitionId() % slots, [np.diag(products[a, a]) for a in range(len(blocks))]
+        for k, (a, b) in enumerate(pairs):
+            sides = np.concatenate([mean[blocks[a]], mean[blocks[b]], spread[a], spread[b]])
+            yield _block_rows([(k, slot, n, sides.tobytes(), products.pop((a, b)).tobytes())])
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = key[0].as_py()
+        merged = _merge_blocks(batches, *[blocks[i] for i in pairs[pair]])
+        if merged:
+            n, sides, product = merged
+            yield _block_rows([(pair, 0, n, sides.tobytes(), product.tobytes())])
+
+    def correlate(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = (blocks[i] for i in pairs[key[0].as_py()])
+        p, q = left.stop - left.start, right.stop - right.start
+        n, sides, product = _merge_blocks(batches, left, right) or (0, np.zeros(2 * (p + q)), np.zeros((p, q)))
+        spread = sides[p + q :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.abs(product / np.sqrt(own[i] * own))[i + 1 :]
+            value = np.abs(product / np.sqrt(np.outer(spread[:p], spread[p:])))
         known = np.isfinite(value)
-        keep = np.ones(len(value), dtype=bool) if limit is None else known & (value > limit)
-        found = [float(v) if k else None for v, k in zip(value[keep], known[keep])]
-        others = [names[j] for j in np.flatnonzero(keep) + i + 1]
-        return pa.table({"row": [names[i]] * len(others), "column": others, "correlation": found}, PAIR_ARROW)
-
-    kept = "i int, n long, mean binary, product binary, own binary"
-    # a part without rows, so that every pair is there even if no task has any
-    zero = df.sparkSession.range(size).select(
-        F.col("id").cast("int").alias("i"),
-        F.lit(0).cast("long").alias("n"),
-        *[F.unhex(F.lit("00" * 8 * size)).alias(c) for c in ("mean", "product", "own")],
-    )
-    return rows.mapInArrow(moments, kept).unionAll(zero).groupBy("i").applyInArrow(merge, PAIR_SCHEMA)
-
-
-Moments = tuple[int, np.ndarray, np.ndarray]
-
-
-def _merged(a: Moments, b: Moments) -> Moments:
-    """Count, mean and centred products of two parts together."""
-    n = a[0] + b[0]
-    away = b[1] - a[1]
-    return n, a[1] + away * (b[0] / n), a[2] + b[2] + np.outer(away, away) * (a[0] * b[0] / n)
+        keep = np.ones(value.shape, dtype=bool) if limit is None else known & (value > limit)
+        if left == right:
+            keep &= np.triu(keep, 1)
+        i, j = np.nonzero(keep)
+        value, known = value[i, j], known[i, j]
+        for at in range(0, len(i), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            columns = [[names[k] for k in i[part] + left.start], [names[k] for k in j[part] + right.start]]
+            found = pa.array(value[part], mask=~known[part])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), found], schema=PAIR_ARROW)
+
+    # a part without rows for each block, so that every pair is there even if no task has any
+    empty = df.sparkSession.range(len(pairs)).selectExpr("cast(id as int) as pair", "0 as slot", "0L as n", "X'' as sides", "X'' as product")
+    by_slot = rows.mapInArrow(moments, BLOCK_SCHEMA).groupBy("pair", "slot").applyInArrow(merge, BLOCK_SCHEMA)
+    return by_slot.unionAll(empty).groupBy("pair").applyInArrow(correlate, PAIR_SCHEMA)
+
+
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK_ARROW.types, strict=True)], schema=BLOCK_ARROW)
+
+
+def _merge_blocks(batches: Iterator[pa.RecordBatch], left: slice, right: slice) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Count, means and spreads of both sides, and centred products of all rows together; None without rows."""
+    p, q = left.stop - left.start, right.stop - right.start
+    n, sides, product = 0, np.zeros(2 * (p + q)), np.zeros((p, q))
+    for batch in batches:
+        for more, blob, block in zip(*[batch.column(c) for c in ("n", "sides", "product")], strict=True):
+            if not (more := more.as_py()):
+                continue
+            own = np.frombuffer(blob.as_buffer())
+            away, total = own[: p + q] - sides[: p + q], n + more
+            pull = n * more / total
+            product += np.frombuffer(block.as_buffer()).reshape(p, q)
+            product += pull * np.outer(away[:p], away[p:])
+            sides[p + q :] += own[p + q :] + pull * away * away
+            sides[: p + q] += away * (more / total)
+            n = total
+    return (n, sides, product) if n else None
 
 
 def join_strings(

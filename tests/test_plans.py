@@ -225,6 +225,56 @@ def test_correlations_are_one_algorithm(spark, width):
     assert [(r.row, r.column) for r in strong] == [("v0", "v1")]
 
 
+def test_correlations_of_many_tasks_and_blocks(spark, monkeypatch):
+    """2,000 tasks, blocks of unequal width: the same values, merged by slots and then together."""
+    monkeypatch.setattr(aggregates, "BLOCK_COLUMNS", 4)
+    monkeypatch.setattr(aggregates, "MERGE_SLOTS", 16)
+    names = [f"v{i}" for i in range(10)]
+    exprs = [f"1e6 + {i} * rand({i}) + id % {i + 2} as v{i}" for i in range(10)]
+    df = spark.range(0, 6000, 1, 2000).selectExpr(*exprs)
+    x = np.array([list(r) for r in df.collect()])
+    found = aggregates.pearson_matrix(df, names).collect()
+    wanted = np.abs(np.corrcoef(x.T))
+    assert len(found) == 45
+    for r in found:
+        assert r.correlation == pytest.approx(wanted[names.index(r.row), names.index(r.column)], abs=1e-9)
+
+
+def test_a_merge_holds_one_block():
+    """Rows of any number of tasks pass through a merge one by one."""
+    import tracemalloc
+
+    size, side = 64, slice(0, 64)
+    rng = np.random.default_rng(1)
+
+    def parts(n):
+        for _ in range(n):
+            x = rng.normal(5, 1, (10, size))
+            c = x - x.mean(axis=0)
+            sides = np.concatenate([x.mean(axis=0)] * 2 + [(c * c).sum(axis=0)] * 2)
+            yield aggregates._block_rows([(0, 0, 10, sides.tobytes(), (c.T @ c).tobytes())])
+
+    peaks = []
+    for n in (50, 3000):
+        tracemalloc.start()
+        count, sides, product = aggregates._merge_blocks(parts(n), side, side)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert count == 10 * n and np.allclose(np.diag(product), sides[2 * size : 3 * size])
+    assert peaks[1] < peaks[0] + 20_000
+
+
+def test_correlations_of_a_thousand_columns(spark):
+    names = [f"v{i}" for i in range(1000)]
+    df = spark.range(0, 90, 1, 3).selectExpr(*[f"cast(pmod(hash(id, {i}), 1000) as double) + id * {i % 3} as v{i}" for i in range(1000)])
+    x = np.array([list(r) for r in df.collect()])
+    strong = {(r.row, r.column): r.correlation for r in aggregates.pearson_matrix(df, names, 0.4).collect()}
+    wanted = np.triu(np.abs(np.corrcoef(x.T)), 1)
+    assert len(strong) == (wanted > 0.4).sum() > 0
+    for (a, b), value in strong.items():
+        assert value == pytest.approx(wanted[int(a[1:]), int(b[1:])], abs=1e-9)
+
+
 @pytest.mark.parametrize("width", [11, 12])
 def test_correlations_without_complete_rows(spark, width):
     names = [f"v{i}" for i in range(width)]
