@@ -158,6 +158,39 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tested, *keys, "breaks")
 
 
+# Every month of every group against a plain loop: all rows once for each month.
+_MONTHS_SQL = f"""months AS (SELECT DISTINCT l_returnflag, date_trunc('month', l_shipdate)::DATE AS break_date FROM lineitem WHERE l_shipdate IS NOT NULL),
+  chow AS (SELECT l_returnflag, break_date, count(*) FILTER (l_shipdate < break_date) AS n_1, count(*) FILTER (l_shipdate >= break_date) AS n_2,
+    {_rss_sql()} AS rss, {_rss_sql("l_shipdate < break_date")} AS rss_1, {_rss_sql("l_shipdate >= break_date")} AS rss_2
+    FROM months JOIN lineitem USING (l_returnflag) WHERE l_shipdate IS NOT NULL GROUP BY ALL HAVING n_1 >= 100 AND n_2 >= 100),
+  tested AS (SELECT *, ((rss - rss_1 - rss_2) / 2) / ((rss_1 + rss_2) / (n_1 + n_2 - 4)) AS f, n_1 + n_2 - 4 AS d FROM chow),
+  result AS (SELECT *, pow(1 + 2 * f / d, -d / 2.0::DOUBLE) AS p FROM tested)"""
+
+
+def _by_month(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem")
+    return structural.chow_by_date(rows, "l_extendedprice", ["l_quantity"], "l_shipdate", ["l_returnflag"], "month", least=100)
+
+
+@query(
+    "chow_by_date",
+    "T3",
+    f"WITH {_MONTHS_SQL} SELECT l_returnflag, break_date, n_1, n_2, round(f, 4) AS statistic, round(p, 5) AS p_value FROM result",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_by_month(spark, sf), "l_returnflag", "break_date")
+
+
+@query(
+    "chow_largest_break",
+    "T3",
+    f"""WITH {_MONTHS_SQL} SELECT l_returnflag, break_date, n_1, n_2, round(f, 4) AS statistic, round(p, 5) AS p_value
+        FROM result QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY f DESC, break_date) = 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(structural.largest_break(_by_month(spark, sf), ["l_returnflag"]), "l_returnflag", "break_date")
+
+
 # --- similarity ------------------------------------------------------------------------------
 
 DIMENSIONS = 64

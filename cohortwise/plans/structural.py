@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.scalars import safe_ratio
@@ -130,15 +130,77 @@ def chow_test(df: DataFrame, y: str, xs: Sequence[str], later: Column, keys: Seq
         _residual_share(F.col("n_1"), F.col("_before"), k - 1).alias("rss_1"),
         _residual_share(F.col("n_2"), F.col("_after"), k - 1).alias("rss_2"),
     )
+    return _tested(fitted, k)
+
+
+def _tested(fitted: DataFrame, k: int) -> DataFrame:
+    """Statistic and p-value from n_1, n_2, rss, rss_1 and rss_2 of fits with ``k`` coefficients."""
     halves = F.col("rss_1") + F.col("rss_2")
     free = F.col("n_1") + F.col("n_2") - 2 * k
     statistic = safe_ratio((F.col("rss") - halves) / k, safe_ratio(halves, free))
-    return fitted.withColumn("statistic", statistic).withColumn(
-        "p_value", f_survival(F.col("statistic"), F.lit(k), free)
-    )
+    return fitted.withColumn("statistic", statistic).withColumn("p_value", f_survival(F.col("statistic"), F.lit(k), free))
 
 
 def chow_scan(df: DataFrame, y: str, xs: Sequence[str], later: Column, keys: Sequence[str], level: float = 0.05) -> DataFrame:
     """``chow_test`` of every group with ``breaks``: whether equal coefficients are rejected."""
     tested = chow_test(df, y, xs, later, keys)
     return tested.withColumn("breaks", (F.col("p_value") < level).cast("int"))
+
+
+def chow_by_date(
+    df: DataFrame, y: str, xs: Sequence[str], date: str, keys: Sequence[str] = (), unit: str = "day", least: int | None = None
+) -> DataFrame:
+    """``chow_test`` for a break at every date of every group, from one read of the rows.
+
+    Returns ``keys``, break_date (the first date after the break, cut to ``unit``: day, week, month, quarter
+    or year), n_1, n_2, rss, rss_1, rss_2, statistic, p_value, for the breaks that leave ``least`` rows
+    (one more than coefficients, unless given) on both sides. Rows with a null are left out.
+
+    Rows are reduced to counts, means and covariances by group and date, so a group is dealt out by date
+    and has at most one row a day after that. Moments around the group's mean are then summed along
+    the dates: what is before a break is a running sum, what comes after is the rest.
+    """
+    k = len(xs) + 1
+    names = [*xs, y]
+    at = F.date_trunc(unit, F.col(date)).cast("date").alias("break_date")
+    means = [F.avg(F.col(name).cast("double")).alias(f"_m{i}") for i, name in enumerate(names)]
+    rows = df.na.drop(subset=[y, *xs, date])
+    dates = rows.groupBy(*keys, at).agg(F.count("*").alias("_n"), *means, _co_moments(y, xs).alias("_cov"))
+
+    whole = Window.partitionBy(*keys)
+    n = F.col("_n")
+    dates = dates.withColumns({f"_c{i}": F.sum(n * F.col(f"_m{i}")).over(whole) / F.sum("_n").over(whole) for i in range(k)})
+    away = [F.col(f"_m{i}") - F.col(f"_c{i}") for i in range(k)]
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = {"_n": n} | {f"_s{i}": n * away[i] for i in range(k)}
+    sums |= {f"_q{i}_{j}": n * (F.col("_cov")[at] + away[i] * away[j]) for at, (i, j) in enumerate(cells)}
+    dates = dates.select(*keys, "break_date", *[c.cast("double").alias(name) for name, c in sums.items()])
+    before = whole.orderBy("break_date").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dates.select(
+        *keys, "break_date",
+        *[F.sum(name).over(whole).alias(f"{name}_0") for name in sums],
+        *[F.coalesce(F.sum(name).over(before), F.lit(0.0)).alias(f"{name}_1") for name in sums],
+    )
+    totals = totals.withColumns({f"{name}_2": F.col(f"{name}_0") - F.col(f"{name}_1") for name in sums})
+    enough = k + 1 if least is None else max(1, least)
+    totals = totals.filter((F.col("_n_1") >= enough) & (F.col("_n_2") >= enough))
+
+    def rss(part: int) -> Column:
+        count, first = F.col(f"_n_{part}"), [F.col(f"_s{i}_{part}") / F.col(f"_n_{part}") for i in range(k)]
+        cov = F.array(*[F.col(f"_q{i}_{j}_{part}") / count - first[i] * first[j] for i, j in cells])
+        return _residual_share(count, cov, k - 1)
+
+    counts = [F.col(f"_n_{part}").cast("bigint").alias(f"n_{part}") for part in (1, 2)]
+    fits = [rss(part).alias(name) for part, name in enumerate(("rss", "rss_1", "rss_2"))]
+    return _tested(totals.select(*keys, "break_date", *counts, *fits), k)
+
+
+def largest_break(tested: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Of each group of ``chow_by_date`` the row with the largest statistic, the earliest if tied.
+
+    Its p-value is that of a test at this date alone, not of a search over dates.
+    """
+    names = [name for name in tested.columns if name not in keys]
+    order = F.struct("statistic", -F.unix_date("break_date"))
+    best = tested.filter("statistic is not null").groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("_best"))
+    return best.select(*keys, "_best.*")
