@@ -139,32 +139,47 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return selection.low_variability_list(selection.variability(model_table(spark, sf), NAMES, SPECIAL), LIM_VARIAB)
 
 
-DRIVEN = ["l_quantity", "l_discount", "l_tax"]
+@query(
+    "forest_importance",
+    "C6",
+    f"""WITH {MODEL_SQL}, long AS (SELECT variable, value FROM (UNPIVOT (SELECT * EXCLUDE (target) FROM model WHERE target IS NOT NULL)
+          ON {", ".join(NAMES)} INTO NAME variable VALUE value))
+        SELECT variable, count(DISTINCT value) > 1 AS can_split, 1.0::DOUBLE AS total FROM long GROUP BY variable""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """All variables and the real target: a variable has an importance if it can be split at all."""
+    found = selection.forest_importance(model_table(spark, sf), NAMES, "target", num_trees=20, max_depth=4, seed=12345)
+    total = found.agg(F.round(F.sum("importance"), 6)).scalar()
+    return found.select("variable", (F.col("importance") > 0).alias("can_split"), total.alias("total"))
+
+
+#: A target that the discount alone decides; the net price is derived from it, the others are noise.
+DRIVEN = [name for name in NAMES if name != "net_price"]
+DRIVEN_SQL = f"""{MODEL_SQL}, driven AS (SELECT variable, value, target FROM (UNPIVOT (SELECT * REPLACE ((l_discount > 0.05)::INT AS target) FROM model)
+    ON {", ".join(DRIVEN)} INTO NAME variable VALUE value)),
+  parted AS (SELECT variable, max(value) FILTER (target = 0) < min(value) FILTER (target = 1) AS decides FROM driven GROUP BY variable)"""
 
 
 def _driven_forest(spark: SparkSession, sf: str) -> DataFrame:
-    """Importances for a target that the quantity alone decides; the others are noise."""
-    driven = model_table(spark, sf).withColumn("target", (F.col("l_quantity") > 25).cast("int"))
+    driven = model_table(spark, sf).withColumn("target", (F.col("l_discount") > 0.05).cast("int"))
     return selection.forest_importance(driven, DRIVEN, "target", num_trees=20, max_depth=4, seed=12345)
 
 
-@query(
-    "forest_importance",
-    "C6",
-    """SELECT 'l_quantity' AS variable, 1 AS place, true AS carries_all, 1.0::DOUBLE AS total
-       UNION ALL SELECT 'noise', 2, false, 1.0 UNION ALL SELECT 'noise', 3, false, 1.0""",
-)
+@query("forest_importance_driven", "C6", f"WITH {DRIVEN_SQL} SELECT variable, decides AS carries_most FROM parted")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    found = _driven_forest(spark, sf)
-    total = found.agg(F.round(F.sum("importance"), 6)).scalar()
-    place = F.row_number().over(Window.orderBy(F.desc("importance")))  # one row per variable
-    name = F.when(F.col("importance") < 0.02, "noise").otherwise(F.col("variable"))
-    return found.select(name.alias("variable"), place.alias("place"), (F.col("importance") > 0.95).alias("carries_all"), total.alias("total"))
+    return _driven_forest(spark, sf).select("variable", (F.col("importance") > 0.5).alias("carries_most"))
 
 
-@query("low_importance_list", "C7", "SELECT 'l_discount' AS variable UNION ALL SELECT 'l_tax'")
+@query("low_importance_list", "C7", f"WITH {DRIVEN_SQL} SELECT variable FROM parted WHERE NOT decides")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.low_importance_list(_driven_forest(spark, sf), K_LOW)
+    """All but the variable that decides."""
+    return selection.low_importance_list(_driven_forest(spark, sf), len(DRIVEN) - 1)
+
+
+@query("low_importance_list_by_gini", "C7", f"WITH {MODEL_SQL}, {GINI_SQL} SELECT variable FROM gini ORDER BY gini, variable DESC LIMIT {K_LOW}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The real target, with an importance that SQL can state."""
+    return selection.low_importance_list(selection.univariate_gini(model_table(spark, sf), NAMES, "target"), K_LOW, metric="gini")
 
 
 # The matrix needs an importance that SQL can state as well: here the gini of each variable.
@@ -250,6 +265,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumns({"correlation": F.round("correlation", 8)} | {c: F.round(c, 9) for c in ("row_gini", "column_gini")})
 
 
-@query("select_features_filtered", "C10 C9")
+@query(
+    "select_features_filtered",
+    "C10 C9",
+    f"""WITH {REPORT_SQL},
+        a AS (SELECT row AS variable, string_agg("column", ' & ' ORDER BY correlation DESC, "column") AS t FROM pairs GROUP BY 1),
+        b AS (SELECT "column" AS variable, string_agg(row, ' & ' ORDER BY correlation DESC, row) AS t FROM pairs GROUP BY 1),
+        flagged AS (SELECT variable, (variable IN (SELECT drop_name FROM both_sides))::INT AS correlation,
+               (variable IN (SELECT variable FROM spread WHERE variability < {LIM_VARIAB}))::INT AS variability
+               FROM gini WHERE variable <> 'gross_price')
+        SELECT flagged.*, nullif(concat_ws(' & ', a.t, b.t), '') AS correlation_with, {K_LOW}::BIGINT AS low_flags, true AS counted
+        FROM flagged LEFT JOIN a USING (variable) LEFT JOIN b USING (variable) WHERE correlation + variability >= 1""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(spark, sf)["matrix_filtered"]
+    """The flagged variables as far as SQL can state them, how many the forest flags, and whether the flags add up."""
+    listed = _report(spark, sf)["matrix_filtered"]
+    flags = F.col("correlation") + F.col("variability")
+    return listed.select(
+        "variable", "correlation", "variability", "correlation_with",
+        listed.agg(F.sum("low_importance")).scalar().alias("low_flags"),
+        (F.col("count") == flags + F.col("low_importance")).alias("counted"),
+    ).filter(flags >= 1)

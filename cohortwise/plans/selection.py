@@ -19,6 +19,7 @@ from cohortwise.operators.relational import (
     threshold_rank,
     top_rows,
 )
+from cohortwise.session import scratch_table, scratch_tables
 from cohortwise.sources.readers import persist_stage
 
 
@@ -201,15 +202,16 @@ def select_features(
 ) -> dict[str, DataFrame]:
     """The whole selection over one persisted working table.
 
-    pairs (with ginis), gini, variability, importance, matrix, matrix_filtered. They have at most
-    one row per pair of variables and are computed before the working table is released.
+    pairs (with ginis), gini, variability, importance, matrix, matrix_filtered. What needs the working
+    table is written to scratch folders before it is released; they stay until the surrounding
+    ``scratch_tables`` block or the process ends, and go at once if the selection fails.
     """
     names = candidates(df, variables, target, black_list)
     spark = df.sparkSession
-    with working_table(df.select(*names, target)) as table:
-        pairs = _settle(correlated_pairs(table, names, lim_corr))
-        gini = _settle(univariate_gini(table, names, target, only=pair_members(pairs)))
-        spread = _settle(variability(table, names, special_values))
+    with scratch_tables(keep=True), working_table(df.select(*names, target)) as table:
+        pairs = scratch_table(correlated_pairs(table, names, lim_corr), "pairs")
+        gini = scratch_table(univariate_gini(table, names, target, only=pair_members(pairs)), "gini")
+        spread = scratch_table(variability(table, names, special_values), "variability")
         known = table.withColumn("label", F.col(target).cast("double")).na.drop(subset=[*names, "label"])
         importance = _fit_forest(known, names, num_trees, max_depth, seed)
         matrix = selection_matrix(
@@ -226,8 +228,3 @@ def select_features(
             "matrix": matrix,
             "matrix_filtered": selection_matrix_filtered(matrix, pairs),
         }
-
-
-def _settle(small: DataFrame) -> DataFrame:
-    """A result of a few rows per variable pair, computed once and held as local rows."""
-    return small.sparkSession.createDataFrame(small.collect(), small.schema)
