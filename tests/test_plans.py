@@ -4,7 +4,7 @@ import datetime
 import math
 import random
 import re
-from types import SimpleNamespace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -331,12 +331,13 @@ def test_select_features_releases_its_table(spark, model):
     assert report["pairs"].columns == ["row", "column", "correlation", "row_gini", "column_gini", "drop"]
 
 
-def test_scratch_tables_go_with_their_owner(model, tmp_path, monkeypatch):
+def test_scratch_tables_go_with_their_owner(model, monkeypatch):
     """Nothing of a selection is left after its block, whether it ends well, fails inside or after."""
     names = ["a", "b", "c", "flat"]
     limits = {"lim_corr": 0.5, "lim_variab": 10, "lim_importance": 1, "num_trees": 2, "max_depth": 2}
-    left = lambda: [p.name for p in tmp_path.iterdir()]
-    monkeypatch.setattr(session, "_own_folder", lambda: SimpleNamespace(name=str(tmp_path)))
+    made, folder = [], session.scratch_dir
+    monkeypatch.setattr(session, "scratch_dir", lambda spark, name: made.append(folder(spark, name)) or made[-1])
+    left = lambda: [p for p in made if Path(p.removeprefix("file:")).exists()]
     with session.scratch_tables():
         report = selection.select_features(model, names, "target", **limits)
         assert report["pairs"].collect() and len(left()) == 3
