@@ -186,7 +186,7 @@ class Part:
         bounds = box_distances(self.low, self.high, point).tolist()
         best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
         limit = factor * kth * kth + slack
-        heap, waiting, held = [(bounds[0], 0)], [], 0
+        heap, waiting, held, enough = [(bounds[0], 0)], [], 0, VERIFIED
         while heap or held:
             ahead = heap[0][0] if heap else np.inf
             if heap and ahead <= limit:
@@ -200,7 +200,7 @@ class Part:
                 away = self.points[begin:end] - point
                 waiting.append((np.einsum("ij,ij->i", away, away), np.arange(begin, end)))
                 held += end - begin
-                if held < VERIFIED and heap:
+                if held < enough and heap:
                     continue
                 ahead = heap[0][0] if heap else np.inf
             elif not held:
@@ -226,6 +226,7 @@ class Part:
                     limit = min(limit, factor * float(best.max()) + slack)
             left = slice(due, int(np.searchsorted(near, limit, side="right")))
             waiting, held = [(near[left], rows[left])], max(0, left.stop - left.start)
+            enough = held + VERIFIED  # what is not due yet is not looked at again for each leaf
             if ahead > limit and not held:
                 break
         order = np.lexsort([best_ids, best])
