@@ -251,3 +251,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "embeddings"), F.col("embedding"), "vec_id", [3, 7, 11, 20], F.lit(True), k=10
     )
     return best.withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "top_k_similar_thousand",
+    "K1",
+    f"""WITH near AS (SELECT q.vec_id AS query_id, e.vec_id, {DISTANCE_SQL} AS distance FROM embeddings e JOIN embeddings q ON q.vec_id BETWEEN 0 AND 999 AND e.vec_id <> q.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank, vec_id,
+               round(distance, 6) AS distance FROM near QUALIFY rank <= 3
+        UNION ALL SELECT vec_id, 0, vec_id, 0.0 FROM embeddings WHERE vec_id BETWEEN 0 AND 999""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A thousand queries in one read of the pool."""
+    vectors = table(spark, sf, "embeddings")
+    best = similarity.top_k_similar_batch(vectors, F.col("embedding"), "vec_id", range(1000), F.lit(True), k=3)
+    return best.withColumn("distance", F.round("distance", 6))
