@@ -51,12 +51,17 @@ LEAST_STEP = 1e-3
 OBSERVED = 30.0
 AGREE = 100.0
 
-#: The base expressions.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The base expressions, so written that each run of characters is read once: a match of ip
+#: begins where a run of digits begins, and an address is looked for around each at sign.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-UNIT = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*)(?![A-Za-z0-9])")
+#: Other units: an address with any domain, or a number group, clear of letters and digits on both sides.
+HOST = re.compile(r"[A-Za-z0-9.-]++")
+NUMBER = re.compile(r"(?<![A-Za-z0-9])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*(?![A-Za-z0-9])")
+CLEAR = re.compile(r"(?<![A-Za-z0-9])")
 _DIGITS = re.compile(r"[^0-9]")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -67,13 +72,27 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def _addresses(text: str, domain: re.Pattern) -> Iterator[tuple[int, int, int]]:
+    """For each at sign: where its run of local characters begins, its own place, and the domain's end."""
+    before, at = 0, text.find("@")
+    while at >= 0:
+        found = domain.match(text, at + 1)
+        if found:
+            yield before + len(text[before:at].rstrip(LOCAL)), at, found.end()
+        before, at = at + 1, text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[Span]:
     """Base matches by start and then kind: leftmost per kind, failing ones dropped."""
     out: list[Span] = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    done = 0
+    for start, at, end in _addresses(text, DOMAIN):
+        start = max(start, done)  # what an earlier match holds is taken
+        if start < at:
+            out.append((start, 0, end))
+            done = end
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = _DIGITS.sub("", m[0])
@@ -86,6 +105,29 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def unit_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses and number groups, leftmost first, without overlap; an address wins where both begin."""
+    done = 0
+    number = NUMBER.search(text)
+    for start, at, end in _addresses(text, HOST):
+        while True:
+            clear = CLEAR.search(text, max(start, done), at) if max(start, done) < at else None
+            begin = clear.start() if clear else at
+            if number is None or number.start() >= begin:
+                break
+            yield number.span()
+            done = number.end()
+            number = NUMBER.search(text, done)
+        if begin < at:
+            yield begin, end
+            done = end
+            if number and number.start() < done:
+                number = NUMBER.search(text, done)
+    while number:
+        yield number.span()
+        number = NUMBER.search(text, number.end())
+
+
 @dataclass
 class Units:
     """Units of one document with labels (0 none, -1 unknown), features, and tied pairs."""
@@ -123,11 +165,11 @@ def units_of(text: str, base: list[Span]) -> Units:
             taken.append((start, end, kind + 1))
             at = end
     found, k = [], 0
-    for m in UNIT.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
+    for start, end in unit_spans(text):
+        while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if k == len(taken) or taken[k][0] >= m.end():
-            found.append((m.start(), m.end(), 0))
+        if k == len(taken) or taken[k][0] >= end:
+            found.append((start, end, 0))
     last: dict[str, int] = {}
     bases: dict[str, list[int]] = {}
     rows = sorted(taken + found)

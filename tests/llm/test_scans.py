@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -90,6 +92,67 @@ def test_base_spans(spark):
         assert pii.base_spans(r["text"]) == base_plain(r["text"])
 
 
+UNIT = r"(?<![A-Za-z0-9])(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*)(?![A-Za-z0-9])"
+
+
+def test_units_against_one_expression():
+    random.seed(3)
+    parts = ["a@b.co", "x.y@", "@", "1.2", "4785", "(12) 3", "+1", " ", ".", "-", "é", "ab", "(", ")", "_", "5@6", "%"]
+    for _ in range(5000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 9)))
+        assert list(pii.unit_spans(text)) == [m.span() for m in re.finditer(UNIT, text)], text
+        assert pii.base_spans(text) == base_plain(text), text
+
+
+LONG = {
+    "digits": "7" * 10**6, "letters": "x" * 10**6 + "@", "letters_between": "a@" + "x" * 10**6 + "@b", "dots": "." * 10**6 + "@", "dashes": "-" * 10**6,
+    "zeros": "0" * 10**6 + "1.1.1.1", "digits_and_dots": "1." * 500_000, "signs": "@" * 10**6, "pluses": "+1" * 500_000, "phone": "+1" + "." * 10**6,
+    "number_and_letter": "1 " * 500_000 + "1a", "brackets": "(" * 10**6,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_runs_take_linear_time(kind):
+    text = LONG[kind]
+    short = text[:1500] + text[-500:] if len(text) > 2000 else text
+    assert pii.base_spans(short) == base_plain(short)
+    assert list(pii.unit_spans(short)) == [m.span() for m in re.finditer(UNIT, short)]
+    started = time.process_time()
+    base = pii.base_spans(text)
+    list(pii.unit_spans(text))
+    assert time.process_time() - started < 2  # a second each on a quiet core
+    assert len(base) == {"zeros": 1, "digits_and_dots": 125_000}.get(kind, 0)
+
+
+def enumerated(model, units):
+    """Marginals of one document, summed over all labelings."""
+    n = len(units.spans)
+    score = [model.weights[f].sum(axis=0) + model.bias for f in units.features]
+    pairs = [(i, i + 1, model.chain) for i in range(n - 1)] + [(a, b, model.skip) for a, b in units.ties]
+    total = np.zeros((n, 5))
+    for labels in itertools.product(range(5), repeat=n):
+        seen = sum(pii.OBSERVED for got, known in zip(labels, units.labels) if known > 0 and got == known)
+        weight = np.exp(seen + sum(s[k] for s, k in zip(score, labels)) + sum(t[labels[a], labels[b]] for a, b, t in pairs))
+        total[range(n), labels] += weight
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_against_all_labelings():
+    """Exact without ties (a chain); with ties, what is sure agrees with the exact marginals."""
+    rng = np.random.default_rng(6)
+    model = pii.Field(rng.normal(0, 0.4, (pii.FEATURES, 5)), rng.normal(0, 0.3, 5), rng.normal(0, 0.5, (5, 5)), 2 * np.eye(5) + rng.normal(0, 0.1, (5, 5)))
+    for text in ("call 12 or a@b.co , 34 , 10.0.0.1 then 56 78x 99", "1 , 2 , 3 , 4 , 5"):
+        units = pii.units_of(text, pii.base_spans(text))
+        assert not units.ties and 4 <= len(units.spans) <= 6
+        assert np.allclose(pii.marginals(model, [units]), enumerated(model, units), atol=1e-4)
+    for text in ("+1 (262) 555-3752 and 262 555 3752 , 17 , 2625553752", "5553752 , 5553752 , 8 , +1 262 555 3752"):
+        units = pii.units_of(text, pii.base_spans(text))
+        assert units.ties
+        got, exact = pii.marginals(model, [units]), enumerated(model, units)
+        sure = got.max(axis=1) >= pii.SURE
+        assert sure.any() and (got.argmax(axis=1) == exact.argmax(axis=1))[sure].all()
+
+
 def test_field_carries_labels_to_distant_mentions(spark):
     rng = random.Random(4)
     number = lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
