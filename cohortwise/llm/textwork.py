@@ -32,11 +32,24 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+#: Python workers outlive their tasks: let them give memory back as it is freed, in place of holding on to
+#: the most that any stage before has needed.
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(4 << 20),
+}
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let no Arrow batch of this session hold more than BATCH_ROWS rows or about BATCH_BYTES.
 
     Spark's defaults, 10,000 rows or 64 MB, would take several hundred MB of a Python worker for texts.
+    Sets how workers give back memory too, unless the session says how.
     """
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
