@@ -1,12 +1,13 @@
 """Operator 8: license scan by an exact set-similarity join, with DataFrame functions only.
 
-Texts are cut into word blocks that overlap by half, so that a notice lies in one of them. A block
-meets a template if it holds at least ``CONTAINMENT`` of the template's distinct words. Words that
-templates use are ordered by their frequency in the whole corpus, rarest first. To hold enough of a
-template a block must hold one of the first words of its order (prefix filter), must have enough
-template words at all (length filter), and must have enough left from the first common word on
-(positional filter); pairs that pass are verified by counting. No pair that meets the threshold is
-lost.
+Templates are dealt into size classes, and for each class texts are cut into word blocks that overlap by
+half and are at least twice as long as its templates, so that a notice of any length lies in one of
+them. A block meets a template of its class if it holds at least ``CONTAINMENT`` of the template's
+distinct words. Words that templates use are ordered by their frequency in the whole corpus, rarest
+first. To hold enough of a template a block must hold one of the first words of its order (prefix
+filter), must have enough template words at all (length filter), and must have enough left from the
+first common word on (positional filter); pairs that pass are verified by counting. No pair that meets
+the threshold is lost, and no template.
 
 Besides, phrases are looked up word by word. Cases: null text counts as empty (no words, no labels);
 repeated rows give repeated results; an empty table an empty one.
@@ -19,13 +20,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 64
+LEAST_BLOCK = 64
 CONTAINMENT = 0.9
 
 #: The phrases to look up, with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Notices that license texts ask to be used, with their labels.
+#: Notices that license texts ask to be used, and two whole licenses, with their labels.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
@@ -37,6 +38,24 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that"
+        " the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS"
+        " ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE"
+        " AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,"
+        " DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE"
+        " OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal"
+        " in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,"
+        " sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the"
+        " following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions"
+        " of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE"
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ),
 )
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,9 +70,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _BREAK), "")
 
 
+def _in_order(notice: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in notice.lower()).split()
+
+
 def template_words(notice: str) -> list[str]:
     """Distinct words of an ASCII notice."""
-    return sorted({w for w in "".join(c if c.isalnum() else " " for c in notice.lower()).split()})
+    return sorted(set(_in_order(notice)))
+
+
+def block_length(notice: str) -> int:
+    """Words in a block of the notice's size class: a power of two, at least twice the notice."""
+    return max(LEAST_BLOCK, 1 << (2 * len(_in_order(notice)) - 1).bit_length())
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -80,47 +108,58 @@ def _template_rows(order: list[str], templates, containment: float) -> list[tupl
         own = sorted(template_words(notice), key=rank.__getitem__)
         need = math.ceil(containment * len(own) - 1e-9)
         for place in range(len(own) - need + 1):
-            rows.append((number, label, own, len(own), need, own[place], place))
+            rows.append((number, label, own, len(own), need, own[place], place, block_length(notice)))
     return rows
 
 
-def block_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
+def block_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Blocks that meet a template.
 
-    ``block`` is in words and even; block k starts at word k * block / 2. Returns doc_id, mark (hash
-    of the text), block, template (its number), label and share (the part of the template's words
-    that the block holds).
+    Block k of length n starts at word k * n / 2; n is ``block_length`` of the template, which must have
+    a word. Returns doc_id, mark (hash of the text), length, block, template (its number), label and share
+    (the part of the template's words that the block holds).
     """
-    spark, half = docs.sparkSession, block // 2
+    spark = docs.sparkSession
+    if any(not template_words(notice) for _, notice in templates):
+        raise ValueError("a template without words meets everything")
     vocabulary = sorted({w for _, notice in templates for w in template_words(notice)})
     order = word_order(docs, vocabulary)
+    prefix_rows = _template_rows(order, templates, containment)
     prefixes = spark.createDataFrame(
-        _template_rows(order, templates, containment),
-        "template int, label string, own array<string>, size int, need int, word string, place int",
+        prefix_rows, "template int, label string, own array<string>, size int, need int, word string, place int, length int"
     )
     # a block that meets a template holds one of its prefix words: other texts are left aside here
-    rare = sorted({r[5] for r in _template_rows(order, templates, containment)})
+    rare = sorted({r[5] for r in prefix_rows})
     rank = F.create_map(*[F.lit(x) for i, w in enumerate(order) for x in (w, i)])
     some = _with_words(docs).where(F.arrays_overlap("words", F.array(*map(F.lit, rare))))
     hits = some.select("doc_id", "mark", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(vocabulary))
-    number = (F.col("at") / half).cast("long")
+    # a word goes to the two blocks that hold it in each class that has the word
+    classes = {}
+    for _, notice in templates:
+        classes.setdefault(block_length(notice), set()).update(template_words(notice))
+    number = lambda n: (F.col("at") / (n // 2)).cast("long")
+    spots = [
+        F.when(F.col("word").isin(sorted(own)), F.struct(F.lit(n).alias("length"), (number(n) - back).alias("block")))
+        for n, own in sorted(classes.items())
+        for back in (0, 1)
+    ]
     blocks = (
-        hits.select("doc_id", "mark", "word", F.explode(F.array(number, number - 1)).alias("block"))
-        .groupBy("doc_id", "mark", "block")
+        hits.select("doc_id", "mark", "word", F.inline(F.array_compact(F.array(*spots))))
+        .groupBy("doc_id", "mark", "length", "block")
         .agg(F.collect_set("word").alias("held"))
-        .select("doc_id", "mark", "block", F.expr("array_sort(held)").alias("held"))
+        .select("doc_id", "mark", "length", "block", F.expr("array_sort(held)").alias("held"))
     )
     ranked = F.transform(F.array_sort(F.transform("held", lambda w: F.struct(rank[w].alias("rank"), w.alias("word")))), lambda s: s["word"])
-    ordered = blocks.select("doc_id", "mark", "block", F.explode(F.array(ranked)).alias("held"))
-    probes = ordered.select("doc_id", "mark", "block", "held", F.posexplode("held").alias("spot", "word"))
+    ordered = blocks.select("doc_id", "mark", "length", "block", F.explode(F.array(ranked)).alias("held"))
+    probes = ordered.select("doc_id", "mark", "length", "block", "held", F.posexplode("held").alias("spot", "word"))
     pairs = (
-        probes.join(F.broadcast(prefixes), "word")  # rows: words of all templates, fixed
+        probes.join(F.broadcast(prefixes), ["word", "length"])  # rows: words of all templates, fixed
         .where(F.size("held") >= F.col("need"))
         .where(F.least(F.col("size") - F.col("place"), F.size("held") - F.col("spot")) + F.least("place", "spot") >= F.col("need"))
         .withColumn("share", F.size(F.array_intersect("held", "own")) / F.col("size"))
     )
     met = pairs.where(F.size(F.array_intersect("held", "own")) >= F.col("need"))
-    return met.groupBy("doc_id", "mark", "block", "template", "label").agg(F.max("share").alias("share"))
+    return met.groupBy("doc_id", "mark", "length", "block", "template", "label").agg(F.max("share").alias("share"))
 
 
 def phrase_places(words: Column, phrase: str) -> Column:

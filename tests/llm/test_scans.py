@@ -207,7 +207,7 @@ def test_pii_of_odd_rows(odd, empty):
 # operator 8
 
 
-def licenses_plain(text: str) -> tuple:
+def licenses_plain(text: str, templates=licenses.TEMPLATES) -> tuple:
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(plain.LOWER))
     places, base, own = [], set(), {}
     for phrase, label in licenses.PHRASES:
@@ -216,12 +216,12 @@ def licenses_plain(text: str) -> tuple:
         places += at
         if at:
             base.add(label)
-    half = licenses.BLOCK // 2
-    for start in range(-half, len(w), half):
-        block = set(w[max(0, start) : start + licenses.BLOCK])
-        for label, notice in licenses.TEMPLATES:
-            t = set(licenses.template_words(notice))
-            share = len(t & block) / len(t)
+    for label, notice in templates:
+        t, n = set(licenses.template_words(notice)), 64
+        while n < 2 * len(re.findall("[a-z0-9]+", notice.lower())):
+            n *= 2
+        for start in range(-(n // 2), len(w), n // 2):
+            share = len(t & set(w[max(0, start) : start + n])) / len(t)
             if share >= licenses.CONTAINMENT - 1e-9:
                 own[label] = max(own.get(label, 0), share)
     score = 1.0 if places else max(own.values(), default=0.0)
@@ -245,6 +245,28 @@ def test_licenses(spark, odd_rows):
         assert got[d][-1] == pytest.approx(licenses_plain(text)[-1])
 
 
+def test_templates_of_any_length(spark):
+    """Templates of 5 to 300 words, whole or with a few words gone, at any place of a block."""
+    rng = random.Random(8)
+    notice = lambda n, tag: " ".join(f"{tag}{rng.randint(0, n)}" if rng.random() < 0.8 else "the" for _ in range(n))
+    templates = tuple((f"t{n}", notice(n, f"w{n}x")) for n in (1, 5, 32, 33, 40, 80, 300))
+    rows, whole = [], {}
+    for label, text in templates:
+        for shift in (0, 1, 31, 33, 63, 127, 250, 300, 511, 1000):
+            words = text.split()
+            whole[len(rows)] = label
+            rows.append((len(rows), " ".join(["filler"] * shift + words + ["the"] * 7)))
+            rows.append((len(rows), " ".join(["filler"] * shift + [x for x in words if rng.random() < 0.93])))
+    found = licenses.license_scan(spark.createDataFrame(rows, SCHEMA), templates=templates).collect()
+    got = {r["doc_id"]: tuple(r)[1:] for r in found}
+    for d, text in rows:
+        wanted = licenses_plain(text, templates)
+        assert got[d][:-1] == wanted[:-1] and got[d][-1] == pytest.approx(wanted[-1]), text
+        assert d not in whole or whole[d] in got[d][5].split(",") and got[d][-1] == 1.0
+    with pytest.raises(ValueError, match="without words"):
+        licenses.license_scan(spark.createDataFrame(rows, SCHEMA), templates=(("x", " -- "),))
+
+
 def test_licenses_over_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: tuple(r)[1:] for r in licenses.license_scan(docs).collect()}
