@@ -8,38 +8,21 @@ and so are counts of buckets between the quantiles found. Counts are shuffled, n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 # Rank error of the summary, as a share of a group's rows, is at most 1 / ACCURACY (which is 3 or more).
 ACCURACY = 10_000
 BRACKET_CELLS = 1024
-CELLS_PER_OCTAVE = 16
-FINE_CELLS = 65_536
-ROWS_PER_CELL = 1_000_000
-# A coarse cell spans a factor of 2**(1/16); two finer grids divide it by 2**32, and a double has 52
-# binary digits, which leaves at most 2**17 values. A cell with few rows is not cut at all.
-MOST_VALUES = ROWS_PER_CELL
-
-
-def coarse_cell(value: str) -> str:
-    """SQL of a cell number that never falls when the value rises: sixteen cells for each power of two.
-
-    Never null, so that a join on it adds no null test that would be computed again at the scan.
-    """
-    octave = f"least(greatest(log2(abs({value})), -1075D), 1025D)"
-    return f"coalesce(cast(signum({value}) as bigint) * (17201L + cast(floor({CELLS_PER_OCTAVE} * {octave}) as bigint)), 0L)"
-
-
-def fine_cell(value: str, low: str, high: str, cells: str) -> str:
-    """SQL of an equal-width cell between the smallest and the largest value of a cell above it."""
-    place = f"floor(({value} - {low}) / ({high} - {low}) * {cells})"
-    return f"case when {high} > {low} then least({place}, {cells} - 1) else 0L end"
-
 
 def bracket_counts(
     df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = (), reference: Column | None = None
@@ -156,49 +139,56 @@ def quantiles_approx(df: DataFrame, value: str, probabilities: Sequence[float],
 def rank_auc(long: DataFrame, by: str, value: str, target: str) -> DataFrame:
     """``by``, positives, negatives, auc: the chance that a bad has a larger value than a good.
 
-    Equal values count one half. The rows are read once and counted per distinct value; those are
-    ordered inside cells, and only the cells' totals are ordered per group. A cell with more than
-    ``ROWS_PER_CELL`` distinct values is cut on a finer grid, and so are its cells, after which no
-    more doubles exist in one than ``MOST_VALUES``.
+    Equal values count one half. The rows are read once and counted per distinct value; the counts are
+    dealt into ranges of (``by``, value), which no crowd of values near each other can fill, and run
+    through in order. Only a range's totals are ordered per group; no group or cell is gathered.
     """
     counts = (
         long.select(by, F.col(value).cast("double").alias("_v"), F.col(target).cast("bigint").alias("_t"))
         .filter("_v is not null and not isnan(_v)")
         .groupBy(by, "_v")
         .agg(F.expr("count_if(_t = 1) as _pos"), F.expr("count_if(_t = 0) as _neg"))
-        .withColumn("_cell", F.expr(coarse_cell("_v")))
-    )
-    grid = ["_cell"]
-    for level in ("_cut", "_cut2"):
-        # One row for each cell with very many distinct values, so at most one in ROWS_PER_CELL of
-        # them. The filter reads all counts: with the same columns all uses share one shuffle.
-        crowded = (
-            counts.groupBy(by, *grid)
-            .agg(*[F.expr(e) for e in ("count(*) as _n", "sum(_pos + _neg) as _all", "min(_v) as _lo", "max(_v) as _hi")])
-            .filter(f"_n > {ROWS_PER_CELL} and _all >= 0")
-            .select(by, *grid, "_lo", "_hi")
-        )
-        cut = F.expr(f"coalesce({fine_cell('_v', '_lo', '_hi', str(FINE_CELLS))}, 0L)")
-        counts = counts.join(crowded, [by, *grid], "left").select(by, *grid, cut.alias(level), "_v", "_pos", "_neg")
-        grid.append(level)
-    cell = ", ".join(grid)
-    below = f"sum(_neg) over (partition by `{by}`, {cell} order by _v rows between unbounded preceding and 1 preceding)"
-    cells = (
-        counts.withColumn("_wins", F.expr(f"_pos * (coalesce({below}, 0L) + _neg / 2)"))
-        .groupBy(by, *grid)
-        .agg(*[F.expr(f"sum({c}) as {c}") for c in ("_wins", "_pos", "_neg")])
-    )
-    # totals of fine cells are ordered inside their coarse cell first, so that this window is short too
-    order = f"sum(_neg) over (partition by `{by}`, _cell order by _cut, _cut2 rows between unbounded preceding and 1 preceding)"
-    whole = (
-        cells.withColumn("_wins", F.expr(f"_wins + cast(_pos as double) * coalesce({order}, 0L)"))
-        .groupBy(by, "_cell")
-        .agg(*[F.expr(f"sum({c}) as {c}") for c in ("_wins", "_pos", "_neg")])
     )
-    before = f"sum(_neg) over (partition by `{by}` order by _cell rows between unbounded preceding and 1 preceding)"
+    kind = long.schema[by].dataType
+    schema = StructType([StructField("_by", kind), StructField("_range", IntegerType())])
+    for name, of in (("_pos", LongType()), ("_neg", LongType()), ("_wins", DoubleType())):
+        schema = schema.add(name, of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(0))
+            ends = runs.run_ends.to_numpy()
+            pos, neg = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            done = []
+            for key, low, high in zip(runs.values, [0, *ends[:-1]], ends, strict=True):
+                if held is None or not held[0].equals(key):
+                    if held is not None:
+                        done.append(held)
+                    held = [key, 0, 0, 0.0]
+                p, q = pos[low:high], neg[low:high]
+                below = held[2] + np.cumsum(q) - q
+                held[3] += float((p * (below + q / 2)).sum())
+                held[1] += int(p.sum())
+                held[2] += int(q.sum())
+            if done:
+                yield packed(place, done, batch.schema.field(0).type)
+        if held is not None:
+            yield packed(place, [held], held[0].type)
+
+    def packed(place: int, rows: list, key: pa.DataType) -> pa.RecordBatch:
+        keys, pos, neg, wins = zip(*rows, strict=True)
+        columns = [pa.array([k.as_py() for k in keys], key), pa.array([place] * len(rows), pa.int32()), *map(pa.array, (pos, neg, wins))]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    in_order = counts.repartitionByRange(by, "_v").sortWithinPartitions(by, "_v").select(by, "_pos", "_neg")
+    before = "sum(_neg) over (partition by _by order by _range rows between unbounded preceding and 1 preceding)"
     return (
-        whole.withColumn("_wins", F.expr(f"_wins + cast(_pos as double) * coalesce({before}, 0L)"))
-        .groupBy(by)
+        in_order.mapInArrow(run, schema)
+        .withColumn("_wins", F.expr(f"_wins + cast(_pos as double) * coalesce({before}, 0L)"))
+        .groupBy("_by")
         .agg(F.expr("sum(_pos) as positives"), F.expr("sum(_neg) as negatives"), F.expr("sum(_wins) as _wins"))
-        .selectExpr(f"`{by}`", "positives", "negatives", "try_divide(_wins, cast(positives as double) * negatives) as auc")
+        .selectExpr(f"_by as `{by}`", "positives", "negatives", "try_divide(_wins, cast(positives as double) * negatives) as auc")
     )

@@ -163,27 +163,21 @@ SHAPES = {
 
 
 @pytest.mark.parametrize("shape", SHAPES)
-def test_hot_cells_are_split(spark, monkeypatch, shape):
-    """Values that crowd into few cells stay exact, and no ordered window outgrows the bound."""
-    monkeypatch.setattr(quantiles, "ROWS_PER_CELL", 500)
+def test_crowded_values(spark, monkeypatch, shape):
+    """Values that crowd together stay exact, and are dealt evenly over the ranges of the rank statistic."""
     df = spark.range(40_000).selectExpr(f"{SHAPES[shape]} as v", "cast(rand(9) < 0.4 as int) as t", "'x' as k").persist()
     values = sorted(r.v for r in df.collect())
     for accuracy in (10, 100, 10_000):
         monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
         found = quantiles.exact_quantiles(df.repartition(12), "v", ["0.01", "0.5", "0.9"])
         assert [r.value for r in found.orderBy("position").collect()] == [brute_quantile(values, p) for p in (1, 50, 90)]
-    cells = df.selectExpr(f"{quantiles.coarse_cell('v')} as c", "v")
-    grid = "c"
-    for level in ("f1", "f2"):
-        edges = cells.selectExpr("*", f"min(v) over (partition by {grid}) as lo", f"max(v) over (partition by {grid}) as hi")
-        cells = edges.selectExpr(*grid.split(", "), "v", f"{quantiles.fine_cell('v', 'lo', 'hi', str(quantiles.FINE_CELLS))} as {level}")
-        grid += f", {level}"
-    assert cells.groupBy(*grid.split(", ")).count().agg({"count": "max"}).first()[0] <= 500
     rows = df.collect()
-    auc = quantiles.rank_auc(df, "k", "v", "t").first().auc
+    found = quantiles.rank_auc(df, "k", "v", "t")
     bads, goods = sorted(r.v for r in rows if r.t), sorted(r.v for r in rows if not r.t)
     wins = sum((bisect_left(goods, b) + bisect_right(goods, b)) / 2 for b in bads)
-    assert auc == pytest.approx(wins / (len(bads) * len(goods)), abs=1e-12)
+    assert found.first().auc == pytest.approx(wins / (len(bads) * len(goods)), abs=1e-12)
+    ranges = df.select("k", "v").distinct().repartitionByRange(8, "k", "v").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in ranges.collect()) < 2 * 40_000 / 8
     df.unpersist()
 
 
@@ -228,10 +222,13 @@ def test_quantiles_without_rows(spark):
     assert quantiles.exact_quantiles(empty, "v", ["0.5"], ["g"]).isEmpty()
 
 
-@pytest.mark.parametrize("rows_per_cell", [1, 5, 10**6])
-def test_rank_auc_matches_brute_force(spark, monkeypatch, rows_per_cell):
-    monkeypatch.setattr(quantiles, "ROWS_PER_CELL", rows_per_cell)
-    rng = random.Random(rows_per_cell)
+@pytest.mark.parametrize("coalesced, batch", [("false", 10_000), ("true", 10_000), ("false", 7)])
+def test_rank_auc_matches_brute_force(spark, coalesced, batch):
+    """With as many ranges as there are, with ranges put together, and with batches shorter than a group."""
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    rng = random.Random(batch)
     data = {
         "ties": [(float(rng.randint(0, 4)), rng.randint(0, 1)) for _ in range(120)],
         "cluster": [(1e9 + rng.random(), rng.randint(0, 1)) for _ in range(120)],
@@ -240,7 +237,11 @@ def test_rank_auc_matches_brute_force(spark, monkeypatch, rows_per_cell):
         "one_class": [(float(i), 1) for i in range(10)],
     }
     df = spark.createDataFrame([(k, v, t) for k, rows in data.items() for v, t in rows], "k string, v double, t int")
-    found = {r.k: r.auc for r in quantiles.rank_auc(df, "k", "v", "t").collect()}
+    try:
+        found = {r.k: r.auc for r in quantiles.rank_auc(df, "k", "v", "t").collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     for key, pairs in data.items():
         expected = brute_auc(pairs)
         assert found[key] == (pytest.approx(expected, abs=1e-12) if expected is not None else None)
