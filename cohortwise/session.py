@@ -54,8 +54,9 @@ def _remove(folders: list[str]) -> None:
 
 @atexit.register
 def _remove_own() -> None:
-    with suppress(Exception):  # the JVM may have ended before
-        _remove(_OWNERS[0])
+    for folder in _OWNERS[0]:
+        with suppress(Exception):  # the JVM may have ended before
+            _remove([folder])
 
 
 @contextmanager

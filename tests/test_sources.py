@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -94,6 +95,49 @@ def test_refresh_drops_a_requested_partition_without_rows(spark):
     assert _rows(spark, path) == [(1, 11)]
 
 
+@pytest.mark.parametrize("stop", range(6))
+def test_a_refresh_that_was_stopped_is_finished(spark, monkeypatch, stop):
+    """Stopped at any step: before the commit the old table stands, after it the next call completes the new one."""
+    path = scratch_dir(spark, "refresh")
+    old, new = [(m, 10 * m) for m in range(1, 6)], [(1, 11), (2, 21), (6, 61)]
+    writers.write_partitioned(spark.createDataFrame(old, "m int, v int"), path, "m")
+    left = {"steps": stop}
+
+    class Stopped(Exception):
+        pass
+
+    def counted(step):
+        def run(*args):
+            if left["steps"] == 0:
+                raise Stopped
+            left["steps"] -= 1
+            return step(*args)
+
+        return run
+
+    with monkeypatch.context() as m:
+        for name in ("move", "commit"):
+            m.setattr(writers._Files, name, counted(getattr(writers._Files, name)))
+        with pytest.raises(Stopped):
+            writers.refresh_partitions(spark.createDataFrame(new, "m int, v int"), path, "m", [1, 2, 3, 6])
+    committed = stop >= 2  # the write of the commit and its move
+    if not committed:
+        assert _rows(spark, path) == old
+    writers.finish_refresh(spark, path)
+    assert _rows(spark, path) == (sorted(new + old[3:]) if committed else old)
+    writers.refresh_partitions(spark.createDataFrame(new, "m int, v int"), path, "m", [1, 2, 3, 6])
+    assert _rows(spark, path) == sorted(new + old[3:])
+    assert not [p for p in Path(path.removeprefix("file:")).iterdir() if p.name.startswith(writers.ASIDE)]
+
+
+def test_a_table_can_be_refreshed_from_itself(spark):
+    path = scratch_dir(spark, "refresh")
+    writers.write_partitioned(spark.createDataFrame([(1, 10), (2, 20)], "m int, v int"), path, "m")
+    table = spark.read.parquet(path)
+    writers.refresh_partitions(table.withColumn("v", F.col("v") + 1), path, "m", [1])
+    assert _rows(spark, path) == [(1, 11), (2, 20)]
+
+
 def test_refresh_of_a_new_table_and_text_values(spark):
     path = scratch_dir(spark, "refresh")
     df = spark.createDataFrame([("2015-01-01", 1), ("a b/c", 2)], "m string, v int")
