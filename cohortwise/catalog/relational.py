@@ -304,6 +304,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _weighted_std(spark, sf, True)
 
 
+@query(
+    "ordered_rows",
+    "A17",
+    """SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate), o_orderpriority, o_totalprice) AS position,
+              year(o_orderdate)::INT AS year, o_orderpriority || ' ' || o_totalprice::DECIMAL(12,2) AS profile
+       FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Few keys with many distinct values each, which as arrays would each be one task's."""
+    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    profile = F.struct(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").cast("decimal(12,2)").alias("t"))
+    known = orders.where("o_orderpriority is not null and o_totalprice is not null")
+    rows = aggregates.ordered_rows(known, ["o_orderstatus"], "year", profile, "_s")
+    return rows.select("o_orderstatus", "position", "year", F.concat_ws(" ", "_s.p", "_s.t").alias("profile"))
+
+
 @query(
     "collect_ordered",
     "A17",

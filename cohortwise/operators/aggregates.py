@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.quantiles import exact_quantiles
 from cohortwise.operators.relational import melt_numeric, numeric_columns, share_of_total
+from cohortwise.session import scratch_table
 
 PAIR_SCHEMA = "row string, column string, correlation double"
 PAIR_ARROW = pa.schema([("row", pa.string()), ("column", pa.string()), ("correlation", pa.float64())])
@@ -220,6 +222,35 @@ def collect_ordered(
     return lists.select(*keys, F.flatten(F.transform("_l", lambda e: F.array_repeat(e["_x"], e["_n"]))).alias(name))
 
 
+def ordered_rows(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str) -> DataFrame:
+    """``collect_ordered`` as rows, for keys of any size: ``keys``, position (from 1), ``order``, ``name``.
+
+    Known values by period and then value, a row for each copy. Values are counted first; the counts are
+    dealt into ranges of key, period and value, so that a key with most of the rows fills many ranges.
+    Positions are running counts inside a range and totals of the ranges before it.
+    """
+    counts = df.select(*keys, F.col(order).alias("_p"), value.alias("_x")).filter("_x is not null").groupBy(*keys, "_p", "_x").agg(F.count("*").alias("_n"))
+    placed = scratch_table(_in_ranges(counts, [*keys, "_p", "_x"]), "ordered")
+    totals = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumn("_upto", F.sum("_n").over(inside))
+    same = [F.col(key).eqNullSafe(F.col(f"_k{i}")) for i, key in enumerate(keys)]
+    joined = running.join(offsets, reduce(Column.__and__, same, F.col("_range") == F.col("_r")))
+    last = F.col("_before") + F.col("_upto")
+    positions = F.explode(F.sequence(last - F.col("_n") + 1, last)).alias("position")
+    return joined.select(*keys, positions, F.col("_p").alias(order), F.col("_x").alias(name))
+
+
+def _in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` dealt into ranges, with _range and _at, numbers that rise in the order. Write it before it is used twice."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn("_range", F.shiftright("_at", 33))
+
+
 def weighted_std(
     df: DataFrame,
     keys: Sequence[str],
