@@ -184,45 +184,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _links_across(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between components within a bucket: enough of them to join all components that a link joins.
+def _near(table: pa.Table, root: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a group those after it whose sketches may reach the threshold, and the estimates.
 
-    Sketches rule most pairs out; the others are verified on the whole sets there and then, so that
-    only links leave a group. A bucket of many members is cut into blocks of about BLOCK, and each
-    pair of blocks is one group.
+    Members of one component (``root``) and, in a group of two blocks, of one block are left out. Components
+    that the caller joins in ``root`` meanwhile do not come up again.
     """
     floor = percent / 100 - MARGIN
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = rows.join(sizes, "bucket").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = placed.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    r = _matrix(table.column("registers").combine_chunks())
+    n, mine, low, high = (table.column(c).to_numpy() for c in ("n", "own", "low", "high"))
+    for i in range(len(n) - 1):
+        rest = np.arange(i + 1, len(n))
+        apart = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+        if low[0] != high[0]:
+            apart &= mine[rest] != mine[i]  # pairs inside one block belong to that block's own group
+        rest = rest[apart]
+        # the share of equal registers, quick to count, is near the estimate: it goes first
+        rest = rest[(r[rest] == r[i]).mean(axis=1) >= floor - 0.05]
+        if len(rest):
+            one = np.repeat(r[i : i + 1], len(rest), axis=0)
+            near = estimate(one, r[rest], np.full(len(rest), float(n[i])), n[rest].astype(float))
+            yield i, rest[near >= floor], near[near >= floor]
+
+
+def _links_across(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between components within a bucket: enough of them to join all components that a link joins.
+
+    ``rows``: bucket, node, root, n and registers. A bucket of many members is cut into blocks of about
+    BLOCK, and each pair of blocks is one group. Sketches alone go to all groups, and tell which members
+    of a group may have a link; texts go to the groups for those members, and the sets are
+    verified there and then, so that only links leave a group.
+    """
+
+    def candidates(table: pa.Table) -> pa.Table:
+        marked = np.zeros(len(table), dtype=bool)
+        for i, near, _ in _near(table, table.column("root").to_numpy(), percent):
+            marked[i] |= len(near) > 0
+            marked[near] = True
+        return table.select(["bucket", "low", "high", "node"]).filter(pa.array(marked))
 
     def run(table: pa.Table) -> pa.Table:
-        r = _matrix(table.column("registers").combine_chunks())
         sets = distinct_shingles(*text_buffer(table.column("text").combine_chunks()))
-        node, n, root, mine, low, high = (table.column(c).to_numpy() for c in ("node", "n", "root", "own", "low", "high"))
-        root, found = root.copy(), []
-        for i in range(len(node) - 1):
-            rest = np.arange(i + 1, len(node))
-            apart = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if low[0] != high[0]:
-                apart &= mine[rest] != mine[i]  # pairs inside one block belong to that block's own group
-            rest = rest[apart]
-            # the share of equal registers, quick to count, is near the estimate: it goes first
-            rest = rest[(r[rest] == r[i]).mean(axis=1) >= floor - 0.05]
-            if not len(rest):
-                continue
-            one = np.repeat(r[i : i + 1], len(rest), axis=0)
-            near = estimate(one, r[rest], np.full(len(rest), float(n[i])), n[rest].astype(float))
-            for k in rest[near >= floor][np.argsort(-near[near >= floor], kind="stable")].tolist():
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy().copy()
+        links: list[tuple[int, int]] = []
+        for i, rest, near in _near(table, root, percent):
+            for k in rest[np.argsort(-near, kind="stable")].tolist():
                 if root[k] != root[i] and similar(sets[i], sets[k], percent):
-                    found.append((int(node[i]), int(node[k])))
+                    links.append((int(node[i]), int(node[k])))
                     root[root == root[k]] = root[i]
-        a, b = zip(*found, strict=True) if found else ((), ())
+        a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = placed.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    kind = rows.schema["bucket"].dataType.simpleString()
+    some = spread.groupBy("bucket", "low", "high").applyInArrow(candidates, f"bucket {kind}, low int, high int, node long")
+    some = settle(some, "some")
+    texts = _texts(docs, some.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    whole = some.join(placed, ["bucket", "node"]).join(texts, "node")
+    return whole.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -266,8 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     roots = components(links)
     mixed = settle(_mixed(members, roots), "mixed")
     if not mixed.isEmpty():
-        texts = _texts(docs, mixed.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        more = settle(_links_across(mixed.join(sketch, "node").join(texts, "node"), percent), "verified")
+        more = settle(_links_across(mixed.join(sketch, "node"), docs, percent), "verified")
         if not more.isEmpty():
             roots = components(links.unionAll(more))
 

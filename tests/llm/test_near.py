@@ -252,3 +252,26 @@ def test_contaminations_of_odd_rows(spark, odd, empty):
     assert sorted(str(r["doc_id"]) for r in decontamination.contaminations(odd, items).collect()) == ["8", "None"]
     assert decontamination.contaminations(empty, items).count() == 0
     assert decontamination.contaminations(odd, items.limit(0)).count() == 0
+
+
+def test_links_in_a_bucket_of_many_blocks(spark, monkeypatch):
+    """A template gives all members a third of their shingles; a few are near each other. Texts go out for those only."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    template = [word() for _ in range(60)]
+    rows = [(d, " ".join(template + [word() for _ in range(60)])) for d in range(60)]
+    for d in range(60, 72):  # near copies of some
+        words = rows[d - 55][1].split()
+        words[-3] = "other"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sketches = near_dedup._sketched(docs).select(F.lit(7).alias("bucket"), F.col("doc_id").alias("node"), F.col("doc_id").alias("root"), F.col("n_shingles").alias("n"), "registers")
+    asked, texts = [], near_dedup._texts
+    monkeypatch.setattr(near_dedup, "_texts", lambda docs, pairs: asked.append(pairs.distinct().count()) or texts(docs, pairs))
+    links = near_dedup._links_across(sketches, docs, 75).collect()
+    assert asked == [24]
+    roots = {d: d for d, _ in rows}
+    for a, b in sorted(tuple(sorted(x)) for x in links):
+        roots[b] = roots[a]
+    assert roots == plain.components(rows)
