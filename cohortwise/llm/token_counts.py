@@ -198,10 +198,18 @@ def token_counts(docs: DataFrame, vocabulary: str, budgets: list[int], keep_pref
     return text_rows(docs).mapInArrow(run, schema)
 
 
-def truncate(docs: DataFrame, counted: DataFrame, budget: int, budgets: list[int]) -> DataFrame:
-    """Texts cut to ``budget`` tokens, from counts made before; one of ``budgets`` is looked up.
+def truncate(docs: DataFrame, counted: DataFrame, budget: int, budgets: list[int] | None = None) -> DataFrame:
+    """Texts cut to ``budget`` tokens, from counts made before, without encoding again.
 
-    Rows are matched by doc_id, which must be unique here. Returns doc_id and text.
+    With stored prefix counts (``keep_prefixes``) any budget is answered; without, one of ``budgets``,
+    the list that the counts were made for. Rows are matched by doc_id, which must be unique here.
+    Returns doc_id and text.
     """
-    keep = F.col("fits")[budgets.index(budget)].cast("int")
-    return text_rows(docs).join(counted.select("doc_id", "fits"), "doc_id").select("doc_id", F.substring("text", F.lit(1), keep).alias("text"))
+    if "prefix_counts" in counted.columns:
+        longest = F.transform("prefix_counts", lambda c, i: F.when(c <= budget, i))
+        kept = counted.select("doc_id", F.array_max(longest).alias("keep"))
+    elif budgets and budget in budgets:
+        kept = counted.select("doc_id", F.col("fits")[budgets.index(budget)].cast("int").alias("keep"))
+    else:
+        raise ValueError(f"counts for {budgets} cannot answer {budget}: keep the prefix counts")
+    return text_rows(docs).join(kept, "doc_id").select("doc_id", F.expr("substring(text, 1, keep)").alias("text"))

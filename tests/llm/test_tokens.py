@@ -62,6 +62,24 @@ def test_truncation(documents, tokenizer, vocabulary):
         assert len(tokenizer.encode(r["text"], add_special_tokens=False).ids) <= 64
 
 
+def test_any_budget_from_stored_prefixes(documents, tokenizer, vocabulary, spark):
+    """Ten budgets answered from one stored table: the longest prefix within each, by the tokenizer itself."""
+    some = documents.where("length(text) < 400").limit(12)
+    counted = token_counts.token_counts(some, vocabulary, [], keep_prefixes=True).persist()
+    count = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+    whole = {r["doc_id"]: r["text"] for r in some.collect()}
+    random.seed(11)
+    for budget in [0, 1, 10**6, *(random.randint(2, 120) for _ in range(7))]:
+        for r in token_counts.truncate(documents, counted, budget).collect():
+            text = whole[r["doc_id"]]
+            longest = max(k for k in range(len(text) + 1) if count(text[:k]) <= budget)
+            assert r["text"] == text[:longest]
+    counted.unpersist()
+    bare = token_counts.token_counts(some, vocabulary, [64], keep_prefixes=False)
+    with pytest.raises(ValueError, match="cannot answer 65"):
+        token_counts.truncate(documents, bare, 65, [64])
+
+
 def test_odd_rows(odd, odd_rows, empty, tokenizer, vocabulary):
     got = sorted(map(tuple, bpe.encode(odd, vocabulary).select("n_tokens").collect()))
     wanted = sorted((len(tokenizer.encode(t or "", add_special_tokens=False).ids),) for _, t in odd_rows)
