@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import sys
 from pathlib import Path
 
@@ -14,6 +15,7 @@ sys.path.insert(0, str(ROOT / "tools"))
 from check import compare  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from cohortwise.catalog import REGISTRY  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +40,11 @@ def test_entry_is_the_stability_index(spark):
 
 def test_sql_belongs_to_queries():
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "regex", "cohortwise.llm", "corpus_pipeline"])
+def test_entry_without_an_optional_module(missing):
+    """Whatever the text queries lack, the others are there."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q), set(e.oracle_sql()) <= set(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(REGISTRY)), "False", "True"], done.stderr
