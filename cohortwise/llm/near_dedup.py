@@ -184,11 +184,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _near(table: pa.Table, root: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _near(
+    table: pa.Table, root: np.ndarray, percent: int, known: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each member of a group those after it whose sketches may reach the threshold, and the estimates.
 
     Members of one component (``root``) and, in a group of two blocks, of one block are left out. Components
-    that the caller joins in ``root`` meanwhile do not come up again.
+    that the caller joins in ``root`` meanwhile do not come up again, nor do pairs of two ``known`` members.
     """
     floor = percent / 100 - MARGIN
     r = _matrix(table.column("registers").combine_chunks())
@@ -198,6 +200,8 @@ def _near(table: pa.Table, root: np.ndarray, percent: int) -> Iterator[tuple[int
         apart = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
         if low[0] != high[0]:
             apart &= mine[rest] != mine[i]  # pairs inside one block belong to that block's own group
+        if known is not None and known[i]:
+            apart &= ~known[rest]
         rest = rest[apart]
         # the share of equal registers, quick to count, is near the estimate: it goes first
         rest = rest[(r[rest] == r[i]).mean(axis=1) >= floor - 0.05]
@@ -218,7 +222,7 @@ def _links_across(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def candidates(table: pa.Table) -> pa.Table:
         marked = np.zeros(len(table), dtype=bool)
-        for i, near, _ in _near(table, table.column("root").to_numpy(), percent):
+        for i, near, _ in _near(table, table.column("root").to_numpy(), percent, marked):
             marked[i] |= len(near) > 0
             marked[near] = True
         return table.select(["bucket", "low", "high", "node"]).filter(pa.array(marked))
