@@ -37,8 +37,8 @@ _MASK = (1 << 64) - 1
 WORKER_MEMORY = {
     "ARROW_DEFAULT_MEMORY_POOL": "system",
     "MALLOC_ARENA_MAX": "2",
-    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
-    "MALLOC_TRIM_THRESHOLD_": str(4 << 20),
+    "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(16 << 20),
 }
 
 
