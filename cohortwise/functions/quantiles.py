@@ -23,9 +23,18 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 # Rank error of the summary, as a share of a group's rows, is at most 1 / ACCURACY (which is 3 or more).
 ACCURACY = 10_000
 BRACKET_CELLS = 1024
+# Parts that the rows of a group are dealt into where they are shuffled to meet its brackets.
+GROUP_PARTS = 64
+
 
 def bracket_counts(
-    df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = (), reference: Column | None = None
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[str],
+    by: Sequence[str] = (),
+    keep: Sequence[str] = (),
+    reference: Column | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Counts that settle quantiles of the ``reference`` rows (all rows, unless given), in two reads.
 
@@ -35,6 +44,9 @@ def bracket_counts(
     without _x. A row of the summary's answer has a rank within 1 / ``ACCURACY`` of the one asked for, so
     a bracket from three times that below a probability to as much above holds its quantile. Values
     inside brackets are at most 6 / ``ACCURACY`` of a group's rows for each probability.
+
+    ``few``: the groups are no more than the names of the caller's list, so their brackets go to the rows by
+    broadcast. Otherwise rows are shuffled, each group in ``GROUP_PARTS`` parts, so that no task gets one whole.
     """
     by, keep, ends = list(by), list(keep), 2 * len(probabilities)
     rows = df.select(*by, *keep, F.col(value).cast("double").alias("_v"), (F.lit(True) if reference is None else F.coalesce(reference, F.lit(False))).alias("_ref"))
@@ -54,6 +66,12 @@ def bracket_counts(
     # Second read: _i ends are at or below a value; the place before end _i is covered by a bracket or not.
     # NaN stands for an end that is not there: it is above all values.
     same_group = [F.col(name).eqNullSafe(F.col(f"_by{k}")) for k, name in enumerate(by)]
+    if few or not by:
+        brackets = F.broadcast(brackets)
+    else:
+        rows = rows.withColumn("_part", F.monotonically_increasing_id() % GROUP_PARTS)
+        brackets = brackets.withColumn("_of_part", F.explode(F.sequence(F.lit(0), F.lit(GROUP_PARTS - 1))))
+        same_group.append(F.col("_part") == F.col("_of_part"))
     joined = rows.join(brackets, reduce(Column.__and__, same_group, F.lit(True)), "left")
     joined = joined.withColumn("_b", F.coalesce("_b", F.array_repeat(F.lit(float("nan")), ends)))
     joined = joined.withColumn("_i", F.expr(_reached(0, ends))).withColumn("_at", F.expr("case when _i > 0 then _b[_i - 1] end"))
@@ -112,13 +130,13 @@ def settle_quantiles(counts: DataFrame, probabilities: Sequence[str], by: Sequen
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[str], by: Sequence[str] = (), few: bool = False) -> DataFrame:
     """``by``, position (from 1), value: the smallest value whose rank reaches ``p * n``.
 
     ``probabilities`` are decimal texts such as ``"0.25"``, so that ``p * n`` is exact. Two reads of the
-    rows, whatever the data.
+    rows, whatever the data. ``few`` as in ``bracket_counts``.
     """
-    return settle_quantiles(bracket_counts(df, value, probabilities, by), probabilities, by)
+    return settle_quantiles(bracket_counts(df, value, probabilities, by, few=few), probabilities, by)
 
 
 def _names(by: Sequence[str], *others: str) -> list[str]:

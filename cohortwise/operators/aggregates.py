@@ -42,7 +42,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """``describe`` with the quartiles, one row per numeric column."""
     names = list(columns or numeric_columns(df))
     quartiles = (
-        exact_quantiles(melt_numeric(df, names), "value", ["0.25", "0.5", "0.75"], by=["variable"])
+        exact_quantiles(melt_numeric(df, names), "value", ["0.25", "0.5", "0.75"], by=["variable"], few=True)
         .groupBy("variable")
         .agg(*[F.max(F.when(F.col("position") == i, F.col("value"))).alias(n) for i, n in enumerate(("q_25", "median", "q_75"), 1)])
     )

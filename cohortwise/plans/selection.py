@@ -107,7 +107,7 @@ def variability(
         sketch = quantiles_approx(long, "value", [float(p) for p in points], ["variable"], accuracy)
         wide = sketch.select("variable", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
     else:
-        exact = exact_quantiles(long, "value", points, by=["variable"])
+        exact = exact_quantiles(long, "value", points, by=["variable"], few=True)
         slots = [F.max(F.when(F.col("position") == i, F.col("value"))).alias(name) for i, name in enumerate(names, 1)]
         wide = exact.groupBy("variable").agg(*slots)
     wide = wide.withColumn("iqr", F.col("q_75") - F.col("q_25"))

@@ -56,7 +56,7 @@ def quantile_buckets(
     that settle the cuts: what lies between two values of a row without a value of its own no cut splits.
     """
     points = percent_positions(n)
-    counts = bracket_counts(long, "value", points, ["variable"], keep, reference)
+    counts = bracket_counts(long, "value", points, ["variable"], keep, reference, few=True)
     cuts = settle_quantiles(counts, points, ["variable"])
     placed = counts.select("variable", *keep, F.coalesce("_x", "_at").alias("value"), "_n")
     return cuts, assign_bucket(placed, cut_columns(cuts, n, unique), n).select("variable", *keep, "bucket", "_n")

@@ -245,3 +245,22 @@ def test_rank_auc_matches_brute_force(spark, coalesced, batch):
     for key, pairs in data.items():
         expected = brute_auc(pairs)
         assert found[key] == (pytest.approx(expected, abs=1e-12) if expected is not None else None)
+
+
+def test_no_task_gets_the_rows_of_a_whole_group(spark):
+    """Brackets of a caller's few names go to the rows; rows of other groups are dealt into parts before they meet theirs."""
+    df = spark.range(20_000).selectExpr("if(id % 100 = 0, 'b', 'a') as g", "cast(id % 7919 as double) as v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = "hashpartitioning(coalesce(g"
+        listed, dealt = (quantiles.bracket_counts(df, "v", ["0.5"], ["g"], few=few) for few in (True, False))
+        plans = [counts._jdf.queryExecution().executedPlan().toString() for counts in (listed, dealt)]
+        assert whole not in plans[0] and "SortMergeJoin" not in plans[0]
+        assert all("_part#" in line for line in plans[1].splitlines() if whole in line and "_by0" not in line)
+        parts = {few: quantiles.exact_quantiles(df, "v", ["0.1", "0.5"], ["g"], few=few).collect() for few in (True, False)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    values = {g: [i % 7919 for i in range(20_000) if (i % 100 == 0) == (g == "b")] for g in "ab"}
+    expected = {(g, k): brute_quantile(values[g], p) for g in "ab" for k, p in ((1, 10), (2, 50))}
+    assert all({(r.g, r.position): r.value for r in found} == expected for found in parts.values())
