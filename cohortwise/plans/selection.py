@@ -22,6 +22,9 @@ from cohortwise.operators.relational import (
 from cohortwise.session import scratch_table, scratch_tables
 from cohortwise.sources.readers import persist_stage
 
+# Numbers in a part of a working table; a forest's row takes about 8 bytes for each of them.
+PART_NUMBERS = 1 << 24
+
 
 def candidates(df: DataFrame, variables: Sequence[str], target: str, black_list: Sequence[str] = ()) -> list[str]:
     """The numeric variables that are neither the target nor black-listed."""
@@ -126,7 +129,7 @@ def forest_importance(
     rows = df.select(
         *[F.col(name).cast("double").alias(name) for name in variables], F.col(target).cast("double").alias("label")
     ).na.drop()
-    with working_table(rows) as table:
+    with working_table(rows, num_trees) as table:
         return _fit_forest(table, variables, num_trees, max_depth, seed)
 
 
@@ -139,13 +142,17 @@ def _fit_forest(table: DataFrame, variables: Sequence[str], num_trees: int, max_
 
 
 @contextmanager
-def working_table(df: DataFrame) -> Iterator[DataFrame]:
+def working_table(df: DataFrame, extra: int = 0) -> Iterator[DataFrame]:
     """A table that is about to be read several times: dealt out evenly over the cores and persisted.
 
-    One layout at every size, since a forest samples by partition. The dealing is by position, not
-    by a key, so equal rows don't meet in one task.
+    A part has at most about ``PART_NUMBERS`` numbers, so that their count grows with the rows and what a task
+    reads does not; up to that size there is one for each core. ``extra`` numbers are counted to each row for
+    what a fit keeps beside its columns: a forest one for each tree. A forest samples by partition, and the
+    layout depends on the counted rows alone. The dealing is by position, not by a key, so equal rows don't
+    meet in one task.
     """
-    with persist_stage(df.repartition(df.sparkSession.sparkContext.defaultParallelism)) as kept:
+    needed = -(-df.count() * (len(df.columns) + extra) // PART_NUMBERS)
+    with persist_stage(df.repartition(max(needed, df.sparkSession.sparkContext.defaultParallelism))) as kept:
         yield kept
 
 
@@ -208,7 +215,7 @@ def select_features(
     """
     names = candidates(df, variables, target, black_list)
     spark = df.sparkSession
-    with scratch_tables(keep=True), working_table(df.select(*names, target)) as table:
+    with scratch_tables(keep=True), working_table(df.select(*names, target), num_trees) as table:
         pairs = scratch_table(correlated_pairs(table, names, lim_corr), "pairs")
         gini = scratch_table(univariate_gini(table, names, target, only=pair_members(pairs)), "gini")
         spread = scratch_table(variability(table, names, special_values), "variability")

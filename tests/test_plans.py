@@ -310,6 +310,17 @@ def test_forest_importance_sums_to_one(model):
     assert rows == again
 
 
+def test_parts_of_a_working_table_grow_with_its_rows(spark, model, monkeypatch):
+    rows, cores = model.select("a", "c"), spark.sparkContext.defaultParallelism
+    for numbers, extra, parts in ((1 << 24, 0, cores), (400, 0, 20), (400, 3, 50), (401, 3, 50)):
+        monkeypatch.setattr(selection, "PART_NUMBERS", numbers)
+        with selection.working_table(rows, extra) as table:
+            sizes = table.rdd.mapPartitions(lambda found: [sum(1 for _ in found)]).collect()
+        assert len(sizes) == parts and sum(sizes) == 4000 and max(sizes) - min(sizes) <= 16
+    first = selection.forest_importance(model, ["a", "c", "flat"], "target", 5, 3, 1).collect()
+    assert sum(r.importance for r in first) == pytest.approx(1) and first[0].variable == "a"
+
+
 def test_selection_matrix_counts_flags(spark):
     names = spark.createDataFrame([("a",), ("b",), ("c",)], "variable string")
     lists = [spark.createDataFrame([(v,) for v in vs], "variable string") for vs in (["a", "b"], ["b"], [])]
