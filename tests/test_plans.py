@@ -295,6 +295,43 @@ def test_rank_gini_is_close_to_logistic(model):
     assert all(rank[v] == pytest.approx(logistic[v], abs=1e-3) for v in rank)
 
 
+def test_logistic_fits_are_those_of_spark_ml(spark, model, monkeypatch):
+    """All fits share each read of the table; the number of reads does not grow with the variables."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rare = F.when(F.col("id") % 3 == 0, F.exp((F.col("id") * 7 % 101) / 12.0)).when(F.col("id") % 7 == 0, float("nan"))
+    rows = model.select("a", (-F.col("b")).alias("b"), "c", "flat", F.col("target").cast("double").alias("label"), (F.col("a") * 4000).cast("int").alias("id"))
+    rows = rows.withColumn("rare", rare).drop("id").persist()
+    reads, sums = [], selection._logistic_sums
+    monkeypatch.setattr(selection, "_logistic_sums", lambda table, fits: reads.append(len(fits)) or sums(table, fits))
+    names = ["a", "b", "c", "flat", "rare"]
+    found = selection._logistic_fits(rows, names)
+    assert len(reads) <= selection.LOGISTIC_READS and reads[0] == 4
+    for name in names:
+        data = VectorAssembler(inputCols=[name], outputCol="features").transform(rows.select(name, "label").na.drop())
+        fit = LogisticRegression(maxIter=100, tol=1e-12).fit(data)
+        assert found[name] == pytest.approx((fit.intercept, fit.coefficients[0]), rel=1e-4, abs=1e-5)
+    rows.unpersist()
+
+
+def test_logistic_gini_of_odd_columns(spark):
+    """Parted classes, one value, unknown values and labels, and a target of one class."""
+    rows = [(float(i), -float(i), 1.0, None if i % 2 else float(i % 8), int(i >= 30)) for i in range(50)] + [(1.0, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "up double, down double, flat double, some double, t int")
+    names = ["up", "down", "flat", "some"]
+    found = {r.variable: (round(r.gini, 9), r.direction) for r in selection.univariate_gini(df, names, "t", method="logistic").collect()}
+    exact = {r.variable: round(r.gini, 9) for r in selection.univariate_gini(df, names, "t").collect()}
+    assert found == {v: (exact[v], "d") for v in names} and found["up"][0] == found["down"][0] == 1 and found["flat"][0] == 0
+    none = spark.createDataFrame([], "variable string")
+    assert selection.univariate_gini(df, names, "t", only=none, method="logistic").isEmpty()
+    one = selection.univariate_gini(df.filter("t = 1"), ["up"], "t", method="logistic").collect()
+    assert [(r.gini, r.direction) for r in one] == [(1.0, "d")]
+    for wrong in (df.withColumn("t", F.lit(2)), df.withColumn("up", F.lit(float("inf"))), df.withColumn("up", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError, match="up"):
+            selection.univariate_gini(wrong, ["up"], "t", method="logistic")
+
+
 def test_variability_of_constant_and_unknown_columns(model):
     rows = {r.variable: r for r in selection.variability(model, ["a", "flat"], {"c": [1.0]}).collect()}
     assert rows["flat"].variability == 0.0 and rows["flat"].iqr == 0.0
